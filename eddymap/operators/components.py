@@ -66,15 +66,17 @@ def connected_components(
         links, n_edges = first.df, first.rows
         written.append(first)
     rounds: list[DataFrame] = []
-    size, remaining = n_edges, n_edges
+    remaining = n_edges
     while remaining:
         if len(rounds) == max_rounds:
             raise RuntimeError(f"components not found within {max_rounds} rounds")
+        # A round has at most two vertices per link.
         pointers = store.cut_if_large(
-            _point_to_first(links, len(rounds)), remaining, "component-pointers"
+            _point_to_first(links, len(rounds)), 2 * remaining, "component-pointers"
+        )
+        pointers = store.cut_if_large(
+            _follow(pointers, pointers), 2 * remaining, "component-pointers"
         )
-        pointers = _follow(pointers, pointers)
-        pointers = _follow(pointers, pointers)
         rounds.append(pointers)
         after = store.cut(_contract(links, pointers), "component-links")
         written.append(after)
@@ -84,8 +86,9 @@ def connected_components(
     roots = rounds[-1]
     for pointers in reversed(rounds[:-1]):
         roots = _follow(pointers, roots, "left")
+    roots = store.cut_if_large(roots, 2 * n_edges, "component-roots")
     lowest = store.cut_if_large(
-        roots.groupBy("rep").agg(F.min("id").alias("label")), size, "component-lowest"
+        roots.groupBy("rep").agg(F.min("id").alias("label")), 2 * n_edges, "component-lowest"
     )
     labels = store.cut(roots.join(lowest, "rep").select("id", "label"), "labels")
     for table in written:

@@ -117,14 +117,15 @@ def chosen_merges(
 ) -> Written:
     """The round's merges as a stored table.
 
-    Improving pairs are filtered before the minimum is taken.  On a large partition they are stored
-    first, so that the join with the minima can split a module that has very many proposals.
+    Improving pairs are filtered before the minimum is taken.  On a large partition proposals and
+    minima are written before they are joined, so that the join can split a module with very many
+    proposals.
     """
     both = direction.lower() != "asymmetric"
     proposals = _directed(scored_pairs(part).filter("dl < 0"), both)
-    stored = store.cut_if_large(proposals, part.n_links, "proposals")
-    least = store.cut_if_large(smallest_delta(stored), part.n_links, "smallest-delta")
-    return store.cut(best_targets(stored, least, tie_tol), "merges")
+    proposals = store.cut_if_large(proposals, 2 * part.n_links, "proposals")
+    least = store.cut_if_large(smallest_delta(proposals), 2 * part.n_links, "smallest-delta")
+    return store.cut(best_targets(proposals, least, tie_tol), "merges")
 
 
 def module_map(

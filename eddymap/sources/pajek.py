@@ -2,15 +2,14 @@
 
 The file is split across tasks like any text file.  Only the section headers reach the driver, and
 only while they are few; every line then finds its section by comparing positions.  A position is
-``(start of the file split, running line id inside it)``, which orders the lines as in the file.
+``(file, start of the file split, running line id inside it)``, which orders the lines as in the
+file.  A directory of part files in name order, as Spark writes one, is read as one document.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddymap.graph import Graph, sum_parallel_edges
@@ -50,45 +49,42 @@ class PajekError(ValueError):
     """The file breaks the format."""
 
 
-@dataclass(frozen=True)
-class Header:
-    block: int
-    line_id: int
-    text: str
-    name: str
-
-    @property
-    def position(self) -> tuple[int, int]:
-        return (self.block, self.line_id)
+POSITION = ("file", "block", "line_id")
+SPLIT = ("file", "block")
 
 
 def _position() -> Column:
-    return F.struct("block", "line_id")
+    return F.struct(*POSITION)
+
+
+def _at(row: Row) -> tuple[str, int, int]:
+    return (row.file, row.block, row.line_id)
+
+
+def _after(at: tuple[str, int, int]) -> Column:
+    file, block, line_id = at
+    return _position() > F.struct(
+        F.lit(file).alias("file"), F.lit(block).cast("bigint").alias("block"),
+        F.lit(line_id).cast("bigint").alias("line_id"),
+    )
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-empty, non-comment lines ``(block, line_id, text)``, decoded from Latin-1."""
+    """Non-empty, non-comment lines with their position, decoded from Latin-1."""
     raw = spark.read.text(path)
     return raw.select(
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("text"),
     ).filter("text <> '' and not startswith(text, '%')")
 
 
-def _line_number(lines: DataFrame, block: int, line_id: int) -> int:
-    at_or_before = (F.col("block") < block) | ((F.col("block") == block) & (F.col("line_id") <= line_id))
-    return lines.filter(at_or_before).count()
-
-
-def _sections_by_literal(lines: DataFrame, headers: list[Header]) -> DataFrame:
+def _sections_by_literal(lines: DataFrame, headers: list[Row]) -> DataFrame:
     """Add ``section`` by comparing with each header's position, last one first."""
     section = F.lit("")
     for header in headers:
-        after = (F.col("block") > header.block) | (
-            (F.col("block") == header.block) & (F.col("line_id") > header.line_id)
-        )
-        section = F.when(after, F.lit(header.name)).otherwise(section)
+        section = F.when(_after(_at(header)), F.lit(header["name"])).otherwise(section)
     return lines.withColumn("section", section)
 
 
@@ -99,40 +95,39 @@ def _sections_by_window(lines: DataFrame) -> DataFrame:
     inherits is the last header of the splits before it, one row per split.
     """
     named = lines.withColumn("header", F.lower(F.nullif(F.regexp_extract("text", HEADER, 1), F.lit(""))))
-    inside = Window.partitionBy("block").orderBy("line_id")
+    inside = Window.partitionBy(*SPLIT).orderBy("line_id")
     seen = named.withColumn("here", F.last("header", ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, -1)
     ))
-    last_of_split = named.groupBy("block").agg(
+    last_of_split = named.groupBy(*SPLIT).agg(
         F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_id"))).alias("header")
     )
-    carried = last_of_split.select("block", F.last("header", ignorenulls=True).over(
-        Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_of_split.select(*SPLIT, F.last("header", ignorenulls=True).over(
+        Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     ).alias("carried"))
-    return seen.join(carried, "block").select(
-        "block", "line_id", "text", F.coalesce("here", "carried", F.lit("")).alias("section")
+    return seen.join(carried, list(SPLIT)).select(
+        *POSITION, "text", F.coalesce("here", "carried", F.lit("")).alias("section")
     )
 
 
 def _with_sections(lines: DataFrame) -> tuple[DataFrame, int | None, dict]:
     """Lines with their section, the declared node count, and where the headers are."""
     heads = lines.filter(F.col("text").rlike(HEADER)).select(
-        "block", "line_id", "text", F.lower(F.regexp_extract("text", HEADER, 1)).alias("name")
-    )
-    first = heads.orderBy("block", "line_id").limit(LITERAL_HEADERS + 1).collect()
-    headers = [Header(r.block, r.line_id, r.text, r["name"]) for r in first]
+        *POSITION, "text", F.lower(F.regexp_extract("text", HEADER, 1)).alias("name")
+    ).orderBy(*POSITION)
+    headers = heads.limit(LITERAL_HEADERS + 1).collect()
     vertex_heads = heads.filter(F.col("name") == "vertices")
     if len(headers) <= LITERAL_HEADERS:
         body = _sections_by_literal(lines, headers)
     else:
         body = _sections_by_window(lines)
-    found = vertex_heads.orderBy("block", "line_id").limit(2).collect()
-    wrong = heads.filter(~F.col("name").isin(*SECTIONS)).orderBy("block", "line_id").limit(1).collect()
-    faults = [((r.block, r.line_id), UNKNOWN_SECTION) for r in wrong]
+    found = vertex_heads.limit(2).collect()
+    wrong = heads.filter(~F.col("name").isin(*SECTIONS)).limit(1).collect()
+    faults = [(_at(row), UNKNOWN_SECTION) for row in wrong]
     count = None
     where = None
     if found:
-        where = (found[0].block, found[0].line_id)
+        where = _at(found[0])
         digits = lines.sparkSession.range(1).select(
             F.regexp_extract(F.lit(found[0].text), VERTEX_HEADER, 1).alias("n")
         ).first().n
@@ -141,7 +136,7 @@ def _with_sections(lines: DataFrame) -> tuple[DataFrame, int | None, dict]:
         else:
             faults.append((where, BAD_NODE_NUMBER))
     if len(found) > 1:
-        faults.append(((found[1].block, found[1].line_id), ONE_VERTICES_SECTION))
+        faults.append((_at(found[1]), ONE_VERTICES_SECTION))
     body = body.filter(~F.col("text").rlike(HEADER))
     return body, count, {"where": where, "faults": faults}
 
@@ -167,16 +162,13 @@ def _targets() -> Column:
     return F.filter(F.split(F.col("text"), r"\s+"), lambda word: word != "")
 
 
-def _fault(count: int | None, where: tuple[int, int] | None) -> Column:
+def _fault(count: int | None, where: tuple[str, int, int] | None) -> Column:
     """Message for a line that breaks its section's rules, else NULL."""
     fields = _pair_fields()
     if where is None:
         in_force = F.lit(-1)
     else:
-        declared = (F.col("block") > where[0]) | (
-            (F.col("block") == where[0]) & (F.col("line_id") > where[1])
-        )
-        in_force = F.when(declared, F.lit(-1 if count is None else count)).otherwise(-1)
+        in_force = F.when(_after(where), F.lit(-1 if count is None else count)).otherwise(-1)
     bad_index = F.replace(F.lit(BAD_INDEX), F.lit("{n}"), in_force.cast("string"))
 
     def inside(column: Column) -> Column:
@@ -213,11 +205,11 @@ def _raise_first_fault(lines: DataFrame, body: DataFrame, count: int | None, fou
     )
     faults = list(found["faults"])
     if worst is not None:
-        faults.append(((worst.at.block, worst.at.line_id), worst.fault))
+        faults.append((_at(worst.at), worst.fault))
     if faults:
-        (block, line_id), message = min(faults)
+        at, message = min(faults)
         if "{line}" in message:
-            message = message.replace("{line}", str(_line_number(lines, block, line_id)))
+            message = message.replace("{line}", str(lines.filter(~_after(at)).count()))
         raise PajekError(message)
     if count is None:
         raise PajekError(ONE_VERTICES_SECTION)
@@ -250,7 +242,7 @@ def read_pajek(spark: SparkSession, path: str) -> Graph:
     _raise_first_fault(lines, body, count, found)
 
     declared = body.filter("section = 'vertices'").select(
-        "block", "line_id",
+        *POSITION,
         F.regexp_extract("text", VERTEX, 1).try_cast("bigint").alias("id"),
         F.regexp_extract("text", VERTEX, 2).alias("name"),
     )

@@ -15,10 +15,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Up to this many rows a step that needs a small aggregate of its own input is planned as one job;
+# Up to this many rows a step that joins with an aggregate of its own input is planned as one job;
 # beyond it the aggregate is written first, so that both join sides are plain shuffles which
 # adaptive execution can split when one key is hot.
-ONE_JOB_ROWS = 1_000_000
+ONE_JOB_ROWS = 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -85,5 +85,5 @@ class Store:
         return Written(table, path, seen.get, self)
 
     def cut_if_large(self, df: DataFrame, rows: int, name: str) -> DataFrame:
-        """Write ``df`` only if the ``rows`` it is derived from exceed the one-job bound."""
+        """Write ``df`` if ``rows``, a bound on its size, exceeds the one-job bound."""
         return self.cut(df, name).df if rows > ONE_JOB_ROWS else df
