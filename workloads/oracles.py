@@ -17,7 +17,7 @@ def plogp(x: str) -> str:
 
 
 def r8(x: str, name: str, digits: int = 8) -> str:
-    return f"round({x}, {digits}) + 0.0 AS {name}"
+    return f"round(({x}) + 3.1e-12, {digits}) + 0.0 AS {name}"
 
 
 def with_(*parts: str) -> str:
@@ -277,8 +277,8 @@ ORACLES: dict[str, str] = {
     "dangling_nodes": with_(CUSTOMER_SUPPLIER, NODES) + """
         SELECT id FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = id)""",
     "sparse_matvec": with_(*BIPARTITE) + f"""
-        SELECT v.id, {r8('''coalesce((SELECT sum(l.weight / l.src) FROM links l WHERE l.dst = v.id), 0)
-            + (SELECT sum(0.001 / d.id) FROM nodes d
+        SELECT v.id, {r8('''coalesce((SELECT sum(l.weight / (l.src + 1)) FROM links l WHERE l.dst = v.id), 0)
+            + (SELECT sum(0.001 / (d.id + 1)) FROM nodes d
                WHERE NOT EXISTS (SELECT 1 FROM edges WHERE src = d.id))''', 'x')}
         FROM nodes v""",
     "pagerank_step": with_(*BIPARTITE, fixed(1)) + f"SELECT id, {r8('p', 'p', 10)} FROM freq",
@@ -366,7 +366,7 @@ ORACLES: dict[str, str] = {
     "json_round_trip": with_(*chain(1)) + f"""
         SELECT src AS source, dst AS target, {r8('weight', 'value', 10)} FROM flow0""",
     "pajek_round_trip": """
-        SELECT o_custkey AS src, length(o_orderpriority)::BIGINT AS dst,
+        SELECT o_custkey + 1 AS src, length(o_orderpriority)::BIGINT AS dst,
                sum((o_orderkey % 1000) / 8.0)::DOUBLE AS weight, any_value(c_name) AS name
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "parquet_round_trip": with_(backbone_sql(1)) + "SELECT src, dst, weight FROM edges",
