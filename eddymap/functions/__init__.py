@@ -1,14 +1,8 @@
 from eddymap.functions.flow_math import (
-    codelength_value,
-    exit_flow,
-    log2_or_zero,
-    merge_delta,
-    merge_delta_value,
-    plogp,
-    plogp_value,
+    codelength_value, exit_flow, log2, merge_delta, module_term, number, plogp, plogp_value,
 )
 
 __all__ = [
-    "codelength_value", "exit_flow", "log2_or_zero", "merge_delta", "merge_delta_value", "plogp",
+    "codelength_value", "exit_flow", "log2", "merge_delta", "module_term", "number", "plogp",
     "plogp_value",
 ]

@@ -1,33 +1,39 @@
-"""Map-equation formulas as Column expressions, and their scalar forms for driver-side sums."""
+"""Map-equation formulas as SQL expressions, and scalar forms for sums taken on the driver.
+
+Each function takes and returns SQL text, for ``F.expr`` or ``selectExpr``; Spark compiles it into
+the stage like any built-in expression.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+def number(value: float) -> str:
+    """A double literal."""
+    return f"({float(value)!r}D)"
 
 
-def log2_or_zero(x: Column) -> Column:
+def log2(x: str) -> str:
     """Base-2 logarithm, 0 where it is undefined."""
-    return F.when(x > 0, F.log2(x)).otherwise(F.lit(0.0))
+    return f"(CASE WHEN ({x}) > 0 THEN log2({x}) ELSE 0D END)"
 
 
-def plogp(x: Column) -> Column:
+def plogp(x: str) -> str:
     """``x * log2(x)`` with its limit 0 at ``x <= 0``; Spark's own log2 gives NULL there."""
-    return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+    return f"(CASE WHEN ({x}) > 0 THEN ({x}) * log2({x}) ELSE 0D END)"
 
 
 def plogp_value(x: float) -> float:
     return x * math.log2(x) if x > 0 else 0.0
 
 
-def exit_flow(n_nodes: int, tele: float, n: Column, p: Column, w: Column) -> Column:
+def exit_flow(n_nodes: int, tele: float, n: str, p: str, w: str) -> str:
     """Rate ``q`` at which a walker leaves a module of ``n`` nodes, frequency ``p``, link flow ``w``."""
+    stays = f"{number(1.0 - tele)} * ({w})"
     if n_nodes <= 1:
-        return F.lit(1.0 - tele) * w
-    share = (F.lit(n_nodes) - n) / F.lit(float(n_nodes - 1))
-    return F.lit(tele) * share * p + F.lit(1.0 - tele) * w
+        return f"({stays})"
+    return f"({number(tele)} * ({n_nodes}L - ({n})) / {number(n_nodes - 1)} * ({p}) + {stays})"
 
 
 def codelength_value(n_modules: int, q_sum: float, module_terms: float, prob_sum: float) -> float:
@@ -37,36 +43,26 @@ def codelength_value(n_modules: int, q_sum: float, module_terms: float, prob_sum
     return plogp_value(q_sum) + module_terms - prob_sum
 
 
-def module_term(p: Column, q: Column) -> Column:
+def module_term(p: str, q: str) -> str:
     """What one module adds to the code length."""
-    return F.lit(-2.0) * plogp(q) + plogp(p + q)
+    return f"({plogp(f'{p} + {q}')} - 2 * {plogp(q)})"
 
 
 def merge_delta(
     q_sum: float, codelength: float, prob_sum: float,
-    p1: Column, p2: Column, q1: Column, q2: Column, q12: Column,
-) -> Column:
-    """Change of code length if two modules become one with exit rate ``q12``."""
-    rest = F.lit(q_sum) + q12 - q1 - q2
+    p1: str, p2: str, q1: str, q2: str, q12: str,
+) -> str:
+    """Change of code length if two modules become one with exit rate ``q12``.
+
+    If nothing leaves any module afterwards, everything has become one module.
+    """
+    rest = f"{number(q_sum)} + {q12} - {q1} - {q2}"
     change = (
-        plogp(rest) - F.lit(plogp_value(q_sum))
-        - 2 * plogp(q12) + 2 * plogp(q1) + 2 * plogp(q2)
-        + plogp(p1 + p2 + q12) - plogp(p1 + q1) - plogp(p2 + q2)
+        f"{plogp(rest)} - {number(plogp_value(q_sum))}"
+        f" - 2 * {plogp(q12)} + 2 * {plogp(q1)} + 2 * {plogp(q2)}"
+        f" + {plogp(f'{p1} + {p2} + {q12}')} - {plogp(f'{p1} + {q1}')} - {plogp(f'{p2} + {q2}')}"
     )
-    everything_merged = F.lit(-prob_sum - codelength)
-    return F.when((q12 > 0) & (rest > 0), change).otherwise(everything_merged)
-
-
-def merge_delta_value(
-    q_sum: float, codelength: float, prob_sum: float,
-    p1: float, p2: float, q1: float, q2: float, q12: float,
-) -> float:
-    """Scalar form of :func:`merge_delta`."""
-    rest = q_sum + q12 - q1 - q2
-    if q12 <= 0 or rest <= 0:
-        return -prob_sum - codelength
     return (
-        plogp_value(rest) - plogp_value(q_sum)
-        - 2 * plogp_value(q12) + 2 * plogp_value(q1) + 2 * plogp_value(q2)
-        + plogp_value(p1 + p2 + q12) - plogp_value(p1 + q1) - plogp_value(p2 + q2)
+        f"(CASE WHEN {q12} > 0 AND {rest} > 0 THEN {change}"
+        f" ELSE {number(-prob_sum - codelength)} END)"
     )

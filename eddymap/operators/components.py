@@ -9,43 +9,42 @@ edge table falls by a constant factor per round, and the total work stays near o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eddymap.store import Store, Written
 
 
-def _order(seed: int, column: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(column))
-
-
 def _point_to_first(links: DataFrame, seed: int) -> DataFrame:
     """``(id, rep)``: the first in this round's order among a vertex and its neighbours."""
-    both = links.select(F.explode(F.array(
-        F.struct(F.col("a").alias("id"), F.col("b").alias("near")),
-        F.struct(F.col("b").alias("id"), F.col("a").alias("near")),
-    )).alias("end")).select("end.id", "end.near")
-    first = both.groupBy("id").agg(F.min_by("near", _order(seed, "near")).alias("near"))
-    keeps = _order(seed, "id") < _order(seed, "near")
-    return first.select("id", F.when(keeps, F.col("id")).otherwise(F.col("near")).alias("rep"))
+    return links.sparkSession.sql(
+        f"""
+        SELECT id, if(xxhash64({seed}, id) < xxhash64({seed}, near), id, near) AS rep FROM (
+            SELECT id, min_by(near, xxhash64({seed}, near)) AS near FROM (
+                SELECT inline(array(struct(a AS id, b AS near), struct(b AS id, a AS near)))
+                FROM {{links}})
+            GROUP BY id)
+        """, links=links,
+    )
 
 
-def _follow(pointers: DataFrame, onward: DataFrame, how: str = "inner") -> DataFrame:
+def _follow(pointers: DataFrame, onward: DataFrame, how: str = "INNER") -> DataFrame:
     """Replace each ``rep`` by what ``onward`` says about it."""
-    nxt = onward.select(F.col("id").alias("rep"), F.col("rep").alias("onward"))
-    return pointers.join(nxt, "rep", how).select(
-        "id", F.coalesce("onward", "rep").alias("rep")
+    return pointers.sparkSession.sql(
+        f"""
+        SELECT x.id, coalesce(y.rep, x.rep) AS rep
+        FROM {{pointers}} x {how} JOIN {{onward}} y ON y.id = x.rep
+        """, pointers=pointers, onward=onward,
     )
 
 
 def _contract(links: DataFrame, pointers: DataFrame) -> DataFrame:
-    to_a = pointers.select(F.col("id").alias("a"), F.col("rep").alias("new_a"))
-    to_b = pointers.select(F.col("id").alias("b"), F.col("rep").alias("new_b"))
-    return (
-        links.filter("a <> b").join(to_a, "a").join(to_b, "b")
-        .filter("new_a <> new_b")
-        .select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b"))
-        .distinct()
+    return links.sparkSession.sql(
+        """
+        SELECT DISTINCT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b
+        FROM {links} l JOIN {pointers} x ON x.id = l.a JOIN {pointers} y ON y.id = l.b
+        WHERE l.a <> l.b AND x.rep <> y.rep
+        """, links=links, pointers=pointers,
     )
 
 
@@ -85,7 +84,7 @@ def connected_components(
         return store.cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("label")), "labels")
     roots = rounds[-1]
     for pointers in reversed(rounds[:-1]):
-        roots = _follow(pointers, roots, "left")
+        roots = _follow(pointers, roots, "LEFT")
     roots = store.cut_if_large(roots, 2 * n_edges, "component-roots")
     lowest = store.cut_if_large(
         roots.groupBy("rep").agg(F.min("id").alias("label")), 2 * n_edges, "component-lowest"

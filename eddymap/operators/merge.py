@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.functions.flow_math import exit_flow, merge_delta
+from eddymap.functions.flow_math import exit_flow, merge_delta, number
 from eddymap.graph import Partition
 from eddymap.operators.components import connected_components
 from eddymap.store import Store, Written
@@ -14,28 +14,13 @@ from eddymap.store import Store, Written
 TIE_TOLERANCE = 1e-12
 
 
-def _ends(part: Partition) -> tuple[DataFrame, DataFrame]:
-    first = part.modules.select(
-        F.col("module").alias("m1"), F.col("n").alias("n1"), F.col("p").alias("p1"),
-        F.col("w").alias("w1"), F.col("q").alias("q1"),
-    )
-    second = part.modules.select(
-        F.col("module").alias("m2"), F.col("n").alias("n2"), F.col("p").alias("p2"),
-        F.col("w").alias("w2"), F.col("q").alias("q2"),
-    )
-    return first, second
-
-
-def with_delta(pairs: DataFrame, part: Partition, q_sum: float | None = None) -> DataFrame:
+def with_delta(pairs: DataFrame, part: Partition) -> DataFrame:
     """Add ``dl`` to pair rows that hold both modules' numbers and the flow ``w1221`` between them."""
-    q12 = exit_flow(
-        part.n_nodes, part.tele, F.col("n1") + F.col("n2"), F.col("p1") + F.col("p2"),
-        F.col("w1") + F.col("w2") - F.col("w1221"),
+    q12 = exit_flow(part.n_nodes, part.tele, "n1 + n2", "p1 + p2", "w1 + w2 - w1221")
+    dl = merge_delta(
+        part.q_sum, part.codelength, part.prob_sum, "p1", "p2", "q1", "q2", "q12"
     )
-    return pairs.withColumn("q12", q12).withColumn("dl", merge_delta(
-        part.q_sum if q_sum is None else q_sum, part.codelength, part.prob_sum,
-        F.col("p1"), F.col("p2"), F.col("q1"), F.col("q2"), F.col("q12"),
-    )).drop("q12")
+    return pairs.selectExpr("*", f"{q12} AS q12").selectExpr("* EXCEPT (q12)", f"{dl} AS dl")
 
 
 def scored_pairs(part: Partition) -> DataFrame:
@@ -44,31 +29,26 @@ def scored_pairs(part: Partition) -> DataFrame:
     ``forth`` and ``back`` tell which directions exist.  Scoring the unordered pair needs no join of
     the links with their reverse and gives both directions the same bits.
     """
-    flows = (
-        part.links.filter("src <> dst")
-        .groupBy(F.least("src", "dst").alias("m1"), F.greatest("src", "dst").alias("m2"))
-        .agg(
-            F.sum("weight").alias("w1221"),
-            F.bool_or(F.col("src") < F.col("dst")).alias("forth"),
-            F.bool_or(F.col("src") > F.col("dst")).alias("back"),
-        )
+    numbered = part.links.sparkSession.sql(
+        """
+        SELECT f.*, a.n AS n1, b.n AS n2, a.p AS p1, b.p AS p2, a.w AS w1, b.w AS w2,
+               a.q AS q1, b.q AS q2
+        FROM (SELECT least(src, dst) AS m1, greatest(src, dst) AS m2, sum(weight) AS w1221,
+                     bool_or(src < dst) AS forth, bool_or(src > dst) AS back
+              FROM {links} WHERE src <> dst GROUP BY 1, 2) f
+        JOIN {modules} a ON a.module = f.m1 JOIN {modules} b ON b.module = f.m2
+        """, links=part.links, modules=part.modules,
     )
-    first, second = _ends(part)
-    return with_delta(flows.join(first, "m1").join(second, "m2"), part)
+    return with_delta(numbered, part)
 
 
 def _directed(pairs: DataFrame, both: bool) -> DataFrame:
     """``(src, dst, dl)`` along existing directions, or from either end if ``both``."""
-    ways = F.array(
-        F.struct(F.col("m1").alias("src"), F.col("m2").alias("dst"),
-                 (F.lit(both) | F.col("forth")).alias("there")),
-        F.struct(F.col("m2").alias("src"), F.col("m1").alias("dst"),
-                 (F.lit(both) | F.col("back")).alias("there")),
-    )
-    return (
-        pairs.select(F.explode(ways).alias("way"), "dl")
-        .filter("way.there").select("way.src", "way.dst", "dl")
-    )
+    forth, back = ("true", "true") if both else ("forth", "back")
+    return pairs.selectExpr(
+        f"inline(array(struct(m1 AS src, m2 AS dst, {forth} AS there),"
+        f" struct(m2 AS src, m1 AS dst, {back} AS there)))", "dl",
+    ).filter("there").select("src", "dst", "dl")
 
 
 def delta_table(part: Partition) -> DataFrame:
@@ -78,10 +58,9 @@ def delta_table(part: Partition) -> DataFrame:
 
 def symmetric_deltas(delta: DataFrame) -> DataFrame:
     """Let either end propose: both directions of each row, the smaller ``dl`` where both exist."""
-    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return (
-        delta.select(F.explode(ways).alias("way"), "dl")
-        .groupBy("way.src", "way.dst").agg(F.min("dl").alias("dl"))
+        delta.selectExpr("inline(array(struct(src, dst), struct(dst AS src, src AS dst)))", "dl")
+        .groupBy("src", "dst").agg(F.min("dl").alias("dl"))
     )
 
 
@@ -103,8 +82,7 @@ def best_targets(
     least = smallest_delta(proposals) if least is None else least
     return (
         proposals.join(least, "src")
-        .filter(F.col("dl") <= F.col("least") + F.lit(tie_tol))
-        .select("src", "dst")
+        .filter(f"dl <= least + {number(tie_tol)}").select("src", "dst")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eddymap.functions.flow_math import (
-    codelength_value, exit_flow, module_term, plogp,
+    codelength_value, exit_flow, module_term, number, plogp,
 )
 from eddymap.graph import Graph, Partition
 from eddymap.operators.edges import drop_self_loops
@@ -18,7 +18,7 @@ def module_sums() -> dict[str, Column]:
     """The sums over a module table that the code length needs."""
     return {
         "q_sum": F.sum("q"),
-        "terms": F.sum(module_term(F.col("p"), F.col("q"))),
+        "terms": F.expr(f"sum({module_term('p', 'q')})"),
     }
 
 
@@ -32,9 +32,9 @@ def codelength(modules: DataFrame, prob_sum: float) -> float:
 def codelength_table(modules: DataFrame, prob_sum: float) -> DataFrame:
     """The code length as a one-row table."""
     sums = {"n": F.count(F.lit(1)), **module_sums()}
-    several = plogp(F.col("q_sum")) + F.col("terms") - F.lit(prob_sum)
-    return modules.agg(*[column.alias(key) for key, column in sums.items()]).select(
-        F.when(F.col("n") == 1, F.lit(-prob_sum)).otherwise(several).alias("codelength")
+    several = f"{plogp('q_sum')} + terms - {number(prob_sum)}"
+    return modules.agg(*[column.alias(key) for key, column in sums.items()]).selectExpr(
+        f"CASE WHEN n = 1 THEN {number(-prob_sum)} ELSE {several} END AS codelength"
     )
 
 
@@ -53,18 +53,13 @@ def init_partition(
     try:
         found = iterate_walk(walk, 1.0 - tele, err_factor, store, fixed_iter, max_iter)
         state = found.table.df.select("id", "slots", "p")
-        linked, p = F.col("slots") > 0, F.col("p")
         if walk.n_nodes == 1:
-            flows = [F.lit(1.0).alias("p"), F.lit(0.0).alias("w"), F.lit(0.0).alias("q")]
+            flows = ["1D AS p", "0D AS w", "0D AS q"]
         else:
-            flows = [
-                p,
-                F.when(linked, p).otherwise(0.0).alias("w"),
-                F.when(linked, p).otherwise(F.lit(tele) * p).alias("q"),
-            ]
+            flows = ["p", "if(slots > 0, p, 0D) AS w", f"if(slots > 0, p, {number(tele)} * p) AS q"]
         modules = store.cut(
-            state.select(F.col("id").alias("module"), F.lit(1).cast("bigint").alias("n"), *flows),
-            "modules", prob_sum=F.sum(plogp(F.col("p"))), **module_sums(),
+            state.selectExpr("id AS module", "1L AS n", *flows),
+            "modules", prob_sum=F.expr(f"sum({plogp('p')})"), **module_sums(),
         )
         links = store.cut(flow_rows(walk, state), "links")
     finally:
@@ -89,14 +84,13 @@ def relabel_nodes(graph: Graph, module_map: DataFrame) -> Graph:
 
 def contract_edges(links: DataFrame, module_map: DataFrame) -> DataFrame:
     """Relabel both ends and sum; rows with ``src = dst`` are the flow inside a module."""
-    by_src = module_map.select(F.col("module").alias("src"), F.col("target").alias("new_src"))
-    by_dst = module_map.select(F.col("module").alias("dst"), F.col("target").alias("new_dst"))
-    return (
-        links.join(by_src, "src", "left").join(by_dst, "dst", "left")
-        .groupBy(
-            F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst")
-        )
-        .agg(F.sum("weight").alias("weight"))
+    return links.sparkSession.sql(
+        """
+        SELECT coalesce(a.target, l.src) AS src, coalesce(b.target, l.dst) AS dst,
+               sum(l.weight) AS weight
+        FROM {links} l LEFT JOIN {map} a ON a.module = l.src LEFT JOIN {map} b ON b.module = l.dst
+        GROUP BY 1, 2
+        """, links=links, map=module_map,
     )
 
 
@@ -104,21 +98,15 @@ def contract_modules(
     modules: DataFrame, module_map: DataFrame, contracted: DataFrame, n_nodes: int, tele: float
 ) -> DataFrame:
     """Sum the merged modules; flow that became internal no longer leaves."""
-    sums = (
-        modules.join(module_map, "module", "left")
-        .groupBy(F.coalesce("target", "module").alias("module"))
-        .agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("w").alias("w"))
-    )
-    inside = contracted.filter("src = dst").select(
-        F.col("src").alias("module"), F.col("weight").alias("inside")
-    )
-    return (
-        sums.join(inside, "module", "left")
-        .withColumn("w", F.col("w") - F.coalesce("inside", F.lit(0.0)))
-        .select(
-            "module", "n", "p", "w",
-            exit_flow(n_nodes, tele, F.col("n"), F.col("p"), F.col("w")).alias("q"),
-        )
+    return modules.sparkSession.sql(
+        """
+        SELECT module, n, p, w, """ + exit_flow(n_nodes, tele, "n", "p", "w") + """ AS q FROM (
+            SELECT module, sum(n) AS n, sum(p) AS p, sum(w) AS w FROM (
+                SELECT coalesce(t.target, m.module) AS module, m.n, m.p, m.w
+                FROM {modules} m LEFT JOIN {map} t ON t.module = m.module
+                UNION ALL SELECT src, 0L, 0D, -weight FROM {contracted} WHERE src = dst)
+            GROUP BY module)
+        """, modules=modules, map=module_map, contracted=contracted,
     )
 
 

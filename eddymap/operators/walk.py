@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eddymap.functions.flow_math import number
 from eddymap.graph import Graph
 from eddymap.operators.edges import out_weight
 from eddymap.store import Store, Written
@@ -95,15 +96,15 @@ def start_frequencies(walk: Walk) -> DataFrame:
     return walk.nodes.df.withColumn("p", F.lit(1.0 / walk.n_nodes))
 
 
+SPREAD = """(SELECT id AS src, explode(sequence(0, slots - 1)) AS slot, p
+             FROM {state} WHERE slots > 0)"""
+
+
 def flow_rows(walk: Walk, state: DataFrame) -> DataFrame:
     """Flow ``(src, dst, weight)`` over each link: source frequency times normalised weight."""
-    sources = state.filter("slots > 0").select(
-        F.col("id").alias("src"),
-        F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
-        "p",
-    )
-    return walk.links.join(sources, ["src", "slot"]).select(
-        "src", "dst", (F.col("p") * F.col("weight")).alias("weight")
+    return state.sparkSession.sql(
+        f"SELECT src, l.dst, s.p * l.weight AS weight FROM {{links}} l JOIN {SPREAD} s USING (src, slot)",
+        links=walk.links, state=state,
     )
 
 
@@ -113,16 +114,23 @@ def pagerank_step(
     """One step: ``(id, slots, p, before)``.
 
     Dangling vertices jump anywhere with equal chance; their summed frequency ``dangling_mass``
-    comes from the previous step, so the step reads its state in two joins and nothing else.
+    comes from the previous step.  What arrives and what was there before meet in one aggregate, so
+    a step joins once, on the links' own partitioning, and shuffles partial sums once.
     """
     n = walk.n_nodes
-    arrived = flow_rows(walk, state).groupBy("dst").agg(F.sum("weight").alias("arrived"))
-    base = (1.0 - damping) / n
-    p = F.lit(base) + F.lit(damping) * (
-        F.coalesce("arrived", F.lit(0.0)) + F.lit(dangling_mass / n)
-    )
-    return state.join(arrived, state.id == arrived.dst, "left").select(
-        "id", "slots", p.alias("p"), F.col("p").alias("before")
+    return state.sparkSession.sql(
+        f"""
+        SELECT id, slots, before,
+               {number((1.0 - damping) / n)} + {number(damping)} * (arrived + {number(dangling_mass / n)}) AS p
+        FROM (
+            SELECT id, max(slots) AS slots, sum(arrived) AS arrived, max(before) AS before FROM (
+                SELECT l.dst AS id, s.p * l.weight AS arrived,
+                       CAST(NULL AS INT) AS slots, CAST(NULL AS DOUBLE) AS before
+                FROM {{links}} l JOIN {SPREAD} s USING (src, slot)
+                UNION ALL SELECT id, 0D, slots, p FROM {{state}})
+            GROUP BY id)
+        WHERE slots IS NOT NULL
+        """, links=walk.links, state=state,
     )
 
 
@@ -148,8 +156,8 @@ def iterate_walk(
         # One job per step: the written state also carries the distance and the next dangling mass.
         after = store.cut(
             pagerank_step(walk, state, dangling_mass, damping), f"rank-{step}",
-            square=F.sum(F.pow(F.col("p") - F.col("before"), 2)),
-            dangling=F.sum(F.when(F.col("slots") == 0, F.col("p")).otherwise(0.0)),
+            square=F.expr("sum((p - before) * (p - before))"),
+            dangling=F.expr("sum(if(slots = 0, p, 0D))"),
         )
         if before is not None:
             before.drop()

@@ -3,6 +3,7 @@
 import pytest
 
 from eddymap import detect_communities, init_partition
+from eddymap.operators.partition import codelength
 
 # Fixed expectations: initial and final code length, and the module of each vertex.
 CASES = {
@@ -26,10 +27,14 @@ FOUR_GROUP_LINKS = {
 }
 
 
-@pytest.mark.parametrize("mode,direction", [
-    ("multi", "symmetric"), ("multi", "asymmetric"), ("pair", None),
-])
-@pytest.mark.parametrize("name", CASES)
+SEARCHES = [("multi", "symmetric"), ("multi", "asymmetric"), ("pair", None)]
+# Every network with the symmetric search, and all three searches where they have most to do.
+RUNS = [(name, *SEARCHES[0]) for name in CASES]
+RUNS += [(name, *search) for name in ("triangles", "two-fans", "four-groups") for search in SEARCHES[1:]]
+RUNS += [("one", "pair", None), ("arrow", "multi", "asymmetric")]
+
+
+@pytest.mark.parametrize("name,mode,direction", RUNS)
 def test_known_networks(net, name, mode, direction):
     before, after, modules = CASES[name]
     graph = net(name)
@@ -45,3 +50,25 @@ def test_known_networks(net, name, mode, direction):
     codelengths = [r.codelength for r in found.trace.orderBy("round").collect()]
     assert len(codelengths) == len(found.trace_rows)
     assert all(b <= a + 1e-12 for a, b in zip(codelengths, codelengths[1:]))
+
+
+def test_pair_search_snapshots(net):
+    """Asking for every state changes nothing, and each state is consistent."""
+    graph = net("triangles")
+    part = init_partition(graph)
+    seen = []
+
+    def on_round(number, state_graph, state):
+        modules = {r.module for r in state_graph.vertices.collect()}
+        assert modules == {r.module for r in state.modules.collect()}
+        seen.append((number, len(modules), codelength(state.modules, state.prob_sum)))
+
+    found = detect_communities(graph, part, "pair", on_round=on_round)
+    assert [s[:2] for s in seen] == [(r[0], r[1]) for r in found.trace_rows]
+    assert [s[2] for s in seen] == pytest.approx([r[3] for r in found.trace_rows])
+    assert {r.id: r.module for r in found.graph.vertices.collect()} == CASES["triangles"][2]
+
+
+def test_unknown_mode(net):
+    with pytest.raises(ValueError, match="unknown mode"):
+        detect_communities(net("one"), None, "other")
