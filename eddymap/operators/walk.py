@@ -42,8 +42,8 @@ def sparse_matvec(matrix: DataFrame, constant: DataFrame, vector: DataFrame) ->
 class Walk:
     """A graph prepared for walking.
 
-    ``links`` are the normalised edges ``(src, slot, dst, weight)``, kept partitioned by
-    ``(src, slot)`` so that a step moves only vertex rows and partial sums, never edges.  ``nodes``
+    ``links`` are the normalised edges ``(src, slot, dst, weight)``, kept partitioned and sorted by
+    ``(src, slot)`` so that a step moves only vertex rows and partial sums, and sorts no edges.  ``nodes``
     are ``(id, slots)``: over how many slots the out-edges are spread, 0 for a dangling vertex.
     """
 
@@ -86,6 +86,7 @@ def prepare_walk(
             (F.col("weight") / F.col("total")).alias("weight"),
         )
         .repartition(partitions, "src", "slot")
+        .sortWithinPartitions("src", "slot")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     return Walk(links, nodes, out, nodes.rows, nodes.stats["dangling"])
@@ -96,41 +97,36 @@ def start_frequencies(walk: Walk) -> DataFrame:
     return walk.nodes.df.withColumn("p", F.lit(1.0 / walk.n_nodes))
 
 
-SPREAD = """(SELECT id AS src, explode(sequence(0, slots - 1)) AS slot, p
-             FROM {state} WHERE slots > 0)"""
-
-
 def flow_rows(walk: Walk, state: DataFrame) -> DataFrame:
     """Flow ``(src, dst, weight)`` over each link: source frequency times normalised weight."""
-    return state.sparkSession.sql(
-        f"SELECT src, l.dst, s.p * l.weight AS weight FROM {{links}} l JOIN {SPREAD} s USING (src, slot)",
-        links=walk.links, state=state,
+    sources = state.filter("slots > 0").selectExpr(
+        "id AS src", "explode(sequence(0, slots - 1)) AS slot", "p"
     )
+    return walk.links.join(sources, ["src", "slot"]).selectExpr("src", "dst", "p * weight AS weight")
 
 
 def pagerank_step(
     walk: Walk, state: DataFrame, dangling_mass: float, damping: float
 ) -> DataFrame:
-    """One step: ``(id, slots, p, before)``.
+    """One step: ``(id, slots, before, p)``.
 
     Dangling vertices jump anywhere with equal chance; their summed frequency ``dangling_mass``
     comes from the previous step.  What arrives and what was there before meet in one aggregate, so
     a step joins once, on the links' own partitioning, and shuffles partial sums once.
     """
     n = walk.n_nodes
-    return state.sparkSession.sql(
-        f"""
-        SELECT id, slots, before,
-               {number((1.0 - damping) / n)} + {number(damping)} * (arrived + {number(dangling_mass / n)}) AS p
-        FROM (
-            SELECT id, max(slots) AS slots, sum(arrived) AS arrived, max(before) AS before FROM (
-                SELECT l.dst AS id, s.p * l.weight AS arrived,
-                       CAST(NULL AS INT) AS slots, CAST(NULL AS DOUBLE) AS before
-                FROM {{links}} l JOIN {SPREAD} s USING (src, slot)
-                UNION ALL SELECT id, 0D, slots, p FROM {{state}})
-            GROUP BY id)
-        WHERE slots IS NOT NULL
-        """, links=walk.links, state=state,
+    arriving = flow_rows(walk, state).selectExpr(
+        "dst AS id", "weight AS arrived", "CAST(NULL AS INT) AS slots", "CAST(NULL AS DOUBLE) AS before"
+    )
+    p = (
+        f"{number((1.0 - damping) / n)} + {number(damping)} * (arrived + {number(dangling_mass / n)})"
+    )
+    return (
+        arriving.union(state.selectExpr("id", "0D", "slots", "p"))
+        .groupBy("id")
+        .agg(F.max("slots").alias("slots"), F.sum("arrived").alias("arrived"), F.max("before").alias("before"))
+        .filter("slots IS NOT NULL")
+        .selectExpr("id", "slots", "before", f"{p} AS p")
     )
 
 

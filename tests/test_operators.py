@@ -233,3 +233,22 @@ def test_histogram(spark):
         assert [r[1] for r in found] + [found[-1][2]] == pytest.approx(list(bounds))
     assert [r[3] for r in rows(analysis.histogram(table, "x", bins=2, above=9), "bin")] == [0, 1]
     assert rows(analysis.histogram(table, "x", above=99)) == []
+
+
+def test_step_moves_no_links(spark, net, monkeypatch):
+    """Even without broadcasts a step neither shuffles, sorts nor recomputes the kept links."""
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        graph, cut = net("four-groups"), Store(spark)
+        prepared = walk.prepare_walk(graph.vertices, graph.edges, cut)
+        step = walk.pagerank_step(prepared, walk.start_frequencies(prepared), 0.0, 0.85)
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        final = plan[:plan.index("Initial Plan")]
+        joined = final[final.index("SortMergeJoin"):final.index("InMemoryTableScan")]
+        assert "Exchange" not in joined and "Sort [" not in joined
+        prepared.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
