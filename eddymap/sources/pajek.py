@@ -8,6 +8,7 @@ file.  A directory of part files in name order, as Spark writes one, is read as
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,9 +113,10 @@ def _sections_by_window(lines: DataFrame) -> DataFrame:
 
 def _with_sections(lines: DataFrame) -> tuple[DataFrame, int | None, dict]:
     """Lines with their section, the declared node count, and where the headers are."""
-    heads = lines.filter(F.col("text").rlike(HEADER)).select(
+    kept = lines.filter(F.col("text").rlike(HEADER)).select(
         *POSITION, "text", F.lower(F.regexp_extract("text", HEADER, 1)).alias("name")
-    ).orderBy(*POSITION)
+    ).persist(StorageLevel.MEMORY_AND_DISK)  # so that the text is searched for headers once
+    heads = kept.orderBy(*POSITION)
     headers = heads.limit(LITERAL_HEADERS + 1).collect()
     vertex_heads = heads.filter(F.col("name") == "vertices")
     if len(headers) <= LITERAL_HEADERS:
@@ -123,6 +125,7 @@ def _with_sections(lines: DataFrame) -> tuple[DataFrame, int | None, dict]:
         body = _sections_by_window(lines)
     found = vertex_heads.limit(2).collect()
     wrong = heads.filter(~F.col("name").isin(*SECTIONS)).limit(1).collect()
+    kept.unpersist()
     faults = [(_at(row), UNKNOWN_SECTION) for row in wrong]
     count = None
     where = None
