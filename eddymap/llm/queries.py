@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymap.llm import fingerprints, line_crf, mixing, secrets, url_filter
+from eddymap.llm import fingerprints, line_crf, mixing, pieces, secrets, toxicity, url_filter
 from eddymap.llm.common import table
 
 
@@ -27,11 +27,29 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+#: The public model that texts are encoded with; see /opt/tokenizers/README.md.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and the text its ids decode to, as digests."""
+    encoded = pieces.encode_documents(documents(spark, sf_dir), PIECES_MODEL)
+    decoded = pieces.decode_documents(encoded.select("doc_id", "ids"), PIECES_MODEL)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return line_crf.apply_rules(docs, line_crf.fit_on_labels(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 # Fixed values of the URL query: (host, path, verdict), and the names whose pages make up the list.
 PREFIXES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
             ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -48,7 +66,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_secret_scan, op4_fingerprints, op5_mix_sources, op7_quality_rules, op10_url_filter)
+        op2_secret_scan, op4_fingerprints, op5_mix_sources, op6_sentencepiece, op7_quality_rules,
+        op8_toxicity, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {}
