@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from eddymap.llm.common import rows_of
 
-LENGTH, DECAY = 4, 0.6
+LENGTH, DECAY = 4, 0.7
 WIDTH = 24  # longer words are seen through overlapping windows of this many characters
 LEAST = 0.25  # smaller kernel values count as 0
+POWERS = (1, 4)  # a normalised kernel's powers are kernels: one forgives changes, one tells near words apart
 _EDGE = re.compile(r"^\W+|\W+$")
 _SPELT = re.compile(r"(?<!\S)(?:\S )+\S(?!\S)")
 
@@ -167,35 +168,40 @@ class Model:
 
     def margin(self, found: list[dict[int, float]]) -> float:
         """Distance from the boundary of the worst sentence; that of a clean one if none is described."""
-        return max([self.bias, *(self.bias + sum(self.weights[k] * v for k, v in s.items()) for s in found)])
+        m = len(self.landmarks)
+        return max([self.bias, *(self.bias + sum(
+            self.weights[i * m + k] * v ** power for k, v in s.items() for i, power in enumerate(POWERS)) for s in found)])
 
     def probability(self, margin: float) -> float:
         return 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * margin + self.offset, -50, 50))))
 
 
-def _train(landmarks: list[str], bags: list[tuple[int, list[dict[int, float]]]], rounds: int = 400) -> Model:
+def _train(landmarks: list[str], bags: list[tuple[int, list[dict[int, float]]]], rounds: int = 2000) -> Model:
     """Hinge loss on sentences in the Nyström map, then a logistic curve on documents."""
     marks = Landmarks(landmarks)
     m = len(landmarks)
     gram = np.stack([kernel(np.repeat(marks.rows[i:i + 1], m, 0), marks.rows) for i in range(m)])
     gram /= np.sqrt(np.outer(marks.own, marks.own))
-    value, vector = np.linalg.eigh(gram)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
-    dense = lambda s: np.array([s.get(k, 0.0) for k in range(m)])
-    x, y = [np.zeros(m)], [-1.0]  # a sentence without anything in common
+    root = np.zeros((len(POWERS) * m, len(POWERS) * m))
+    for i, power in enumerate(POWERS):
+        value, vector = np.linalg.eigh(gram ** power)
+        root[i * m:(i + 1) * m, i * m:(i + 1) * m] = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.1))) @ vector.T
+    dense = lambda s: np.array([s.get(k, 0.0) ** power for power in POWERS for k in range(m)])
+    x, y = [np.zeros(len(root))], [-1.0]  # a sentence without anything in common
     for label, bag in bags:
         vectors = [dense(s) for s in bag]
         if label and vectors:
-            vectors = [max(vectors, key=lambda v: float(v.max()))]
+            worst = max(float(v.max()) for v in vectors)
+            vectors = [v for v in vectors if v.max() >= 0.9 * worst]  # which sentence earned the label is not known
         x += vectors
         y += [1.0 if label else -1.0] * len(vectors)
     x, y = np.array(x) @ root, np.array(y)
     balance = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / (y < 0).sum())
-    w, b, mean_w, mean_b = np.zeros(m), 0.0, np.zeros(m), 0.0
+    w, b, mean_w, mean_b = np.zeros(len(root)), 0.0, np.zeros(len(root)), 0.0
     for t in range(1, rounds + 1):
         hit = (y * (x @ w + b) < 1) * balance
         rate = 4.0 / np.sqrt(t)
-        w = (1 - rate * 1e-3) * w + rate * ((hit * y) @ x)
+        w = (1 - rate * 1e-4) * w + rate * ((hit * y) @ x)
         b += rate * float((hit * y).sum())
         mean_w, mean_b = mean_w + (w - mean_w) / t, mean_b + (b - mean_b) / t
     model = Model(landmarks, root @ mean_w, mean_b)
@@ -234,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model([], np.zeros(0), -1.0, 1.0, -50.0)
     prior = sizes[1] / (sizes[0] + sizes[1])
     lift = (F.col("bad") - prior * F.col("docs")) / F.sqrt(prior * (1 - prior) * F.col("docs"))
-    ranked = counts.filter("bad >= 3").withColumn("lift", lift).filter("lift > 4").orderBy(
+    ranked = counts.filter("bad >= 4").withColumn("lift", lift).filter("lift > 4.5").orderBy(
         F.col("lift").desc(), "word").limit(10 * max_landmarks).collect()
     landmarks: list[str] = []
     for word in (r["word"] for r in ranked):
