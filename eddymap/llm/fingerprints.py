@@ -177,13 +177,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     firsts = {r["part"]: r["first"] for r in placed.groupBy("part").agg(F.min(order).alias("first")).collect()}
     used = sorted(firsts)
     closes = {following: part for part, following in zip(used, used[1:] + used[:1])}
-    heads = docs.sparkSession.createDataFrame(
-        [(p, closes[p], *firsts[p]) for p in used], "of int, closes int, minus long, digest string")
+    # Four values per part, so at most `max_parts` rows are broadcast.
+    heads = F.broadcast(docs.sparkSession.createDataFrame(
+        [(p, closes[p], *firsts[p]) for p in used], "of int, closes int, minus long, digest string"))
     closing = (
         placed.join(heads, (F.col("part") == F.col("of")) & (-F.col("doc_id")).eqNullSafe(F.col("minus"))
-                    & (F.md5("text") == F.col("digest")), "left_semi").dropDuplicates(["part"])
-        .join(heads.select("of", "closes"), F.col("part") == F.col("of"))
-        .select(F.col("closes").alias("part"), "doc_id", "text", F.lit(True).alias("close"))
+                    & (F.md5("text") == F.col("digest")))
+        .groupBy(F.col("closes").alias("part"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.lit(True).alias("close"))
     )
     runs = (
         placed.select("part", "doc_id", "text", F.lit(False).alias("close")).unionByName(closing)
