@@ -35,7 +35,9 @@ def row_print(doc_id: Column, text: Column) -> Column:
                              F.when(text.isNull(), "0").otherwise("1"), text))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
-    """Each Arrow batch with its columns as Python lists."""
+def rows_of(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[tuple[pa.RecordBatch, list[list]]]:
+    """Slices of at most ``size`` rows with their columns as Python lists, so that few texts are held twice."""
     for batch in batches:
-        yield batch, [column.to_pylist() for column in batch.columns]
+        for start in range(0, batch.num_rows, size):
+            part = batch.slice(start, size)
+            yield part, [column.to_pylist() for column in part.columns]

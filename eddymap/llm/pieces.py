@@ -178,6 +178,19 @@ def transfer(pieces: Pieces, text: str, stop: int) -> np.ndarray:
     return matrix
 
 
+def trace_chunk(pieces: Pieces, text: str, stop: int, enter: int, leave: int) -> list[int]:
+    """Ids of the best path through a chunk between two boundary states."""
+    end = stop + leave
+    cuts = _cuts(text, stop)
+    if cuts is None:
+        return pieces.trace(text, pieces.forward(text[:end], enter, stop)[1], enter, end)
+    first, last = cuts
+    ids = pieces.trace(text, pieces.forward(text[:first], enter, first)[1], enter, first)
+    for stretch in _STRETCH.findall(text[first:last]):
+        ids += pieces.segment(stretch)[0]
+    return ids + pieces.trace(text[last:], pieces.forward(text[last:end], 0, stop - last)[1], 0, end - last)
+
+
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     product = (left[:, :, None] + right[None, :, :]).max(1)
@@ -250,11 +263,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for _, (names, ks, parts, stops, enters, leaves, totals) in rows_of(batches):
-            found = []
-            for text, n, a, b in zip(parts, stops, enters, leaves):
-                text = blanked(text)
-                _, back = pieces.forward(text[:n + b], a, n)
-                found.append(pieces.trace(text, back, a, n + b))
+            found = [trace_chunk(pieces, blanked(t), n, a, b) for t, n, a, b in zip(parts, stops, enters, leaves)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(names), pa.array(ks, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(totals, pa.int64())],
                 names=["name", "k", "ids", "total"])
