@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymap.llm import fingerprints, line_crf, mixing, pieces, secrets, toxicity, url_filter
+from eddymap.llm import fingerprints, line_crf, mixing, pieces, pii, secrets, toxicity, url_filter
 from eddymap.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -66,8 +70,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_secret_scan, op4_fingerprints, op5_mix_sources, op6_sentencepiece, op7_quality_rules,
-        op8_toxicity, op10_url_filter)
+        op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources, op6_sentencepiece,
+        op7_quality_rules, op8_toxicity, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {}
