@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymap.llm import fingerprints, line_crf, mixing, pieces, pii, secrets, toxicity, url_filter
+from eddymap.llm import fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, toxicity, url_filter
 from eddymap.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(documents(spark, sf_dir))
+
+
 # Fixed values of the URL query: (host, path, verdict), and the names whose pages make up the list.
 PREFIXES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
             ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -71,7 +75,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources, op6_sentencepiece,
-        op7_quality_rules, op8_toxicity, op10_url_filter)
+        op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {}
