@@ -38,7 +38,7 @@ NONE = -(1 << 60)
 class Pieces:
     """A model's vocabulary with integer scores."""
 
-    def __init__(self, model: bytes, cache: int = 200_000):
+    def __init__(self, model: bytes, cache: int = 600_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.text) if sp.is_byte(i)}
@@ -51,8 +51,91 @@ class Pieces:
         self.penalty = min(s for p, s in self.score.items() if p.strip(BLANK_MARK)) - 10 * SCALE
         if any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in self.id) or any("\n" in p for p in self.id):
             raise ValueError("pieces must not hold a blank mark after another character, nor a line end")
-        self.memo: dict[str, tuple[list[int], int]] = {}
+        self.worth = np.zeros(len(self.text), np.int64)  # score by id; of byte pieces the first of a character pays
+        for piece, i in self.id.items():
+            self.worth[i] = self.score[piece]
+        for b, i in self.bytes.items():
+            self.worth[i] = 0 if 0x80 <= b < 0xC0 else self.penalty
+        self.memo: dict[str, bytes] = {}
         self.limit = cache
+        self._hash_pieces()
+
+    def _hash_pieces(self, slots: int = 20) -> None:
+        """A table from the hash of a piece to its number, with room for two pieces in a slot."""
+        self.names = list(self.id)
+        self.shift = np.uint64(64 - slots)
+        for seed in range(3, 1000, 2):
+            self.base = np.uint64(0x9E3779B97F4A7C15 * seed & (2 ** 64 - 1))
+            keys = []
+            for piece in self.names:
+                h = 0
+                for c in piece:
+                    h = (h + ord(c)) * int(self.base) & (2 ** 64 - 1)
+                keys.append(h)
+            slot: dict[int, list[int]] = {}
+            for k, h in enumerate(keys):
+                slot.setdefault(h >> (64 - slots), []).append(k)
+            if len(set(keys)) == len(keys) and max(map(len, slot.values())) <= 2:
+                break
+        none = len(keys)
+        self.keys = np.array([*keys, 0], np.uint64)
+        self.slot = np.full(1 << slots, none, np.int32)
+        self.second = np.full(none + 1, none, np.int32)
+        for at, found in slot.items():
+            self.slot[at] = found[0]
+            if len(found) == 2:
+                self.second[found[0]] = found[1]
+        self.number = np.array([*(self.id[p] for p in self.names), 0], np.uint32)
+        self.points = np.array([*(self.score[p] for p in self.names), NONE], np.int64)
+
+    def segment_all(self, texts: list[str]) -> list[bytes | None]:
+        """Best ids of many stretches of one length at once; None where a character has no piece."""
+        n, length = len(texts), len(texts[0])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(np.uint64)
+        best = np.full((length + 1, n), NONE, np.int64)
+        back = np.zeros((length + 1, n), np.int64)  # number of the last piece, and where it starts
+        best[0] = 0
+        for i in range(length):
+            h = np.zeros(n, np.uint64)
+            for j in range(i + 1, min(length, i + self.longest) + 1):
+                h = (h + codes[j - 1]) * self.base
+                found = self.slot[h >> self.shift]
+                found = np.where(self.keys[found] == h, found, self.second[found])
+                score = np.where(self.keys[found] == h, self.points[found], NONE) + best[i]
+                better = score > best[j]
+                np.copyto(best[j], score, where=better)
+                np.copyto(back[j], found * np.int64(64) + i, where=better)
+        ids = np.zeros((n, length), np.uint32)
+        at, taken, every = np.full(n, length, np.int64), np.zeros(n, np.int64), np.arange(n)
+        while (at > 0).any():
+            rows = every[at > 0]
+            taken[rows] += 1
+            last = back[at[rows], rows]
+            ids[rows, length - taken[rows]] = self.number[last >> 6]
+            at[rows] = last & 63
+        whole = (best[length] > NONE // 2).tolist()
+        return [row[length - k:].tobytes() if ok else None for row, k, ok in zip(ids, taken.tolist(), whole)]
+
+    def learn(self, stretches: set[str]) -> None:
+        """Put the stretches that are short and new into the memo."""
+        if len(self.memo) + len(stretches) > self.limit:
+            self.memo.clear()
+        by_length: dict[int, list[str]] = {}
+        for s in stretches:
+            if len(s) <= 32 and s not in self.memo:
+                by_length.setdefault(len(s), []).append(s)
+        for same in by_length.values():
+            for s, ids in zip(same, self.segment_all(same)):
+                self.memo[s] = self._alone(s) if ids is None else ids
+
+    def _alone(self, text: str) -> bytes:
+        _, back = self.forward(text, 0, len(text))
+        return np.array(self.trace(text, back, 0, len(text)), np.uint32).tobytes()
+
+    def ids_of(self, stretches: list[str]) -> np.ndarray:
+        """Ids of stretches in a row; long ones are not remembered."""
+        memo = self.memo
+        return np.frombuffer(b"".join([memo.get(s) or self._alone(s) for s in stretches]), np.uint32)
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
         """Best score and start of the last piece, for every end from ``start`` to the end of ``text``.
@@ -89,18 +172,6 @@ class Pieces:
             stop = i
         return out[::-1]
 
-    def segment(self, text: str) -> tuple[list[int], int]:
-        """Ids and score of a stretch that no piece crosses at its ends; short ones are remembered."""
-        known = self.memo.get(text)
-        if known is None:
-            best, back = self.forward(text, 0, len(text))
-            known = self.trace(text, back, 0, len(text)), best[len(text)]
-            if len(text) <= 32:
-                if len(self.memo) >= self.limit:
-                    self.memo.clear()
-                self.memo[text] = known
-        return known
-
 
 def blanked(text: str) -> str:
     """The text with a blank mark for each space."""
@@ -115,17 +186,11 @@ def marked(text: str) -> str:
 _STRETCH = re.compile(f"{BLANK_MARK}*[^{BLANK_MARK}\n]+|{BLANK_MARK}+|\n")
 
 
-def encode_text(pieces: Pieces, text: str) -> tuple[list[int], int]:
-    """Ids and score of a whole text; an empty text has none."""
-    ids: list[int] = []
-    total = 0
-    if text:
-        memo = pieces.memo
-        for stretch in _STRETCH.findall(marked(text)):
-            known = memo.get(stretch) or pieces.segment(stretch)
-            ids += known[0]
-            total += known[1]
-    return ids, total
+def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
+    """Ids of whole texts; an empty text has none."""
+    split = [_STRETCH.findall(marked(t)) if t else [] for t in texts]
+    pieces.learn(set().union(*split))
+    return [pieces.ids_of(stretches) for stretches in split]
 
 
 def decode_ids(pieces: Pieces, ids: list[int]) -> str:
@@ -164,7 +229,7 @@ def transfer(pieces: Pieces, text: str, stop: int) -> np.ndarray:
                 matrix[a, b] = max(best[stop + b], NONE)
         return matrix
     first, last = cuts
-    middle = sum(pieces.segment(m)[1] for m in _STRETCH.findall(text[first:last]))
+    middle = int(pieces.worth[pieces.ids_of(_STRETCH.findall(text[first:last]))].sum())
     end, _ = pieces.forward(text[last:], 0, stop - last)
     tail = [end[stop - last + b] if stop + b <= len(text) else NONE for b in range(states)]
     for a in range(min(states, first + 1)):
@@ -186,8 +251,7 @@ def trace_chunk(pieces: Pieces, text: str, stop: int, enter: int, leave: int) ->
         return pieces.trace(text, pieces.forward(text[:end], enter, stop)[1], enter, end)
     first, last = cuts
     ids = pieces.trace(text, pieces.forward(text[:first], enter, first)[1], enter, first)
-    for stretch in _STRETCH.findall(text[first:last]):
-        ids += pieces.segment(stretch)[0]
+    ids += pieces.ids_of(_STRETCH.findall(text[first:last])).tolist()
     return ids + pieces.trace(text[last:], pieces.forward(text[last:end], 0, stop - last)[1], 0, end - last)
 
 
@@ -227,10 +291,12 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         for _, (ids, texts) in rows_of(batches):
-            found = [encode_text(pieces, t or "") for t in texts]
+            found = encode_texts(pieces, [t or "" for t in texts])
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = np.concatenate(found).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int32())),
-                 pa.array([s for _, s in found], pa.int64())], names=["doc_id", "ids", "score"])
+                [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                 pa.array([int(pieces.worth[x].sum()) for x in found], pa.int64())], names=["doc_id", "ids", "score"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (prints, texts) in rows_of(batches):
@@ -249,7 +315,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        for _, (names, ks, parts, stops) in rows_of(batches):
+        for _, (names, ks, parts, stops) in rows_of(batches, 64):
+            pieces.learn(set().union(*(_STRETCH.findall(blanked(t)) for t in parts)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(names), pa.array(ks, pa.int32()),
                 pa.array([transfer(pieces, blanked(t), n).tobytes() for t, n in zip(parts, stops)], pa.binary())],
@@ -262,7 +329,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        for _, (names, ks, parts, stops, enters, leaves, totals) in rows_of(batches):
+        for _, (names, ks, parts, stops, enters, leaves, totals) in rows_of(batches, 64):
+            pieces.learn(set().union(*(_STRETCH.findall(blanked(t)) for t in parts)))
             found = [trace_chunk(pieces, blanked(t), n, a, b) for t, n, a, b in zip(parts, stops, enters, leaves)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(names), pa.array(ks, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(totals, pa.int64())],
