@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the polynomial over words
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -37,9 +38,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def powers(n: int) -> np.ndarray:
-    """``_ODD ** 0 .. _ODD ** (n - 1)``."""
-    out = np.full(n, _ODD, np.uint64)
+def powers(n: int, base: np.uint64 = _ODD) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)``."""
+    out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
     return np.multiply.accumulate(out)
@@ -60,12 +61,10 @@ class Spans:
     """Prefix sums of a polynomial over word hashes: the hash of any span in one step."""
 
     def __init__(self, words: np.ndarray):
-        self.power = powers(len(words) + 1)
+        self.back = powers(len(words) + 1, _BACK)
         self.sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * self.power[:-1], out=self.sums[1:])
+        np.cumsum(words * powers(len(words)), out=self.sums[1:])
 
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of ``words[start:stop]`` for each pair; spans are brought to the same power first."""
-        top = len(self.power) - 1
-        return mixed((self.sums[stop] - self.sums[start]) * self.power[top - start] * _ODD
-                     + (stop - start).astype(np.uint64))
+        """Hash of ``words[start:stop]`` for each pair, wherever it stands."""
+        return mixed((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))

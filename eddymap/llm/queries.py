@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymap.llm import fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, toxicity, url_filter
+from eddymap.llm import (
+    fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, toxicity, url_filter,
+)
 from eddymap.llm.common import table
 
 
@@ -15,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
@@ -74,8 +80,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources, op6_sentencepiece,
-        op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter)
+        op1_substring_dedup, op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources,
+        op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter)
 }
 
 ORACLES: dict[str, str] = {}
