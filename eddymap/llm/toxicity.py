@@ -11,13 +11,12 @@ Nearly all words have nothing in common with a landmark: the length of the longe
 computed for whole arrays of words in machine words, sorts them out before any kernel is evaluated.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -267,6 +266,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return _train(landmarks, sorted(bags, key=str))
 
 
+def _scores(memo: Memo, model: Model, texts: list[str | None]) -> list[float]:
+    scores: list[float] = []
+    for start in range(0, len(texts), 300):
+        split = [document_words(t or "") for t in texts[start:start + 300]]
+        memo.learn(set().union(*split))
+        scores += [model.probability(model.margin(sentences(w, memo.known))) for w in split]
+    return scores
+
+
+def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns."""
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = Memo(Landmarks(model.landmarks))
+        for batch in texts:
+            yield pd.Series(_scores(memo, model, batch.tolist()), dtype="float64")
+
+    return docs.filter(score(F.col(text_col)) < 0.5)
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, score, predicted`` for every row of ``docs``.
 
@@ -276,11 +295,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Landmarks(model.landmarks))
         for _, (ids, texts) in rows_of(batches):
-            scores = []
-            for start in range(0, len(texts), 300):
-                split = [document_words(t or "") for t in texts[start:start + 300]]
-                memo.learn(set().union(*split))
-                scores += [model.probability(model.margin(sentences(w, memo.known))) for w in split]
+            scores = _scores(memo, model, texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return (
