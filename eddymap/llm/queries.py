@@ -61,7 +61,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_components(documents(spark, sf_dir))
+    return jaccard_join.link_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 # Fixed values of the URL query: (host, path, verdict), and the names whose pages make up the list.
@@ -84,4 +84,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH docs AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id,
+                   coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+        windows AS MATERIALIZED (
+            SELECT r, i, md5(array_to_string(words[i:i + 34], ' ')) AS h
+            FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM docs)),
+        again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+        covered AS (SELECT DISTINCT r, i + k AS pos FROM windows SEMI JOIN again USING (h), range(35) AS t(k)),
+        placed AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs),
+        kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+                 FROM placed ANTI JOIN covered USING (r, pos) GROUP BY r)
+        SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE docs AS MATERIALIZED (
+            SELECT doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words
+            FROM documents),
+        sets AS MATERIALIZED (
+            SELECT doc_id, list_sort(list_distinct(CASE
+                WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+                WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END)) AS shingles
+            FROM docs),
+        alike AS MATERIALIZED (SELECT min(doc_id) AS id, shingles, len(shingles) AS n FROM sets
+                               WHERE len(shingles) > 0 GROUP BY shingles),
+        flat AS MATERIALIZED (SELECT id, n, unnest(shingles) AS s FROM alike),
+        links AS MATERIALIZED (
+            SELECT a.id AS a, b.id AS b FROM flat a JOIN flat b ON a.s = b.s AND a.id <> b.id
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT id, id AS other FROM alike UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        lowest AS (SELECT id, min(other) AS low FROM reach GROUP BY id)
+        SELECT d.doc_id, len(d.shingles) AS n_shingles, coalesce(low, d.doc_id) AS component_id
+        FROM sets d LEFT JOIN alike a ON a.shingles = d.shingles LEFT JOIN lowest USING (id)""",
+    "op10_url_filter": rf"""
+        WITH parsed AS (
+            SELECT page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+                       '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        named AS (
+            SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':[0-9]*$|\.$', ''), '^www\.', '')
+                      || regexp_replace(path, '/+$', '') AS canon FROM parsed),
+        listed AS (SELECT DISTINCT canon FROM named WHERE regexp_matches(host, '{LISTED_NAMES}')),
+        rules AS (SELECT * FROM (VALUES {", ".join(map(str, PREFIXES))}) AS t(h, p, says)),
+        ruled AS (
+            SELECT page_id, url, max_by(h || p, len(h || p)) AS rule, max_by(says, len(h || p)) AS says
+            FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            WHERE contains(url, '://') GROUP BY page_id, url)
+        SELECT n.page_id, host, path, rule,
+               coalesce(says, CASE WHEN listed.canon IS NOT NULL AND contains(n.url, '://') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM named n LEFT JOIN ruled r ON r.page_id = n.page_id AND r.url = n.url LEFT JOIN listed ON listed.canon = n.canon""",
+}

@@ -36,18 +36,37 @@ def codes(words: list[str]) -> np.ndarray:
     return np.array(words, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
 
 
-def common_lengths(rows: np.ndarray, word: str) -> np.ndarray:
-    """Length of the longest common subsequence of each row with ``word`` (at most 31 letters)."""
-    table = np.zeros(1024, np.uint32)
-    for i, c in enumerate(word):
-        table[min(ord(c), 1023)] |= np.uint32(1 << i)
-    full = np.uint32((1 << len(word)) - 1)
-    state = np.full(len(rows), full, np.uint32)
-    for t in range(WIDTH):
-        match = table[np.minimum(rows[:, t], 1023)]
-        shared = state & match
-        state = ((state + shared) | (state - shared)) & full
-    return np.bitwise_count(~state & full)
+class CommonLengths:
+    """Length of the longest common subsequence with each of many words, several words to a machine word.
+
+    The usual bit-vector recurrence; a spare bit behind each word takes the carry of its addition.
+    """
+
+    def __init__(self, words: list[str]):
+        self.lanes: list[tuple[np.ndarray, np.uint64, list[tuple[int, np.uint64]]]] = []
+        table, full, members, used = np.zeros(1024, np.uint64), 0, [], 0
+        for k, word in enumerate(words):
+            if used + len(word) > 63:
+                self.lanes.append((table, np.uint64(full), members))
+                table, full, members, used = np.zeros(1024, np.uint64), 0, [], 0
+            for i, c in enumerate(word):
+                table[min(ord(c), 1023)] |= np.uint64(1 << (used + i))
+            mask = ((1 << len(word)) - 1) << used
+            full, used = full | mask, used + len(word) + 1
+            members.append((k, np.uint64(mask)))
+        self.lanes.append((table, np.uint64(full), members))
+
+    def of(self, rows: np.ndarray):
+        """``(number of the word, lengths)`` for each word in turn."""
+        letters = np.minimum(rows, 1023).T.copy()
+        for table, full, members in self.lanes:
+            state = np.full(len(rows), full, np.uint64)
+            for column in letters:
+                shared = state & table[column]
+                state = ((state + shared) | (state - shared)) & full
+            state = ~state
+            for k, mask in members:
+                yield k, np.bitwise_count(state & mask)
 
 
 def kernel(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -80,25 +99,25 @@ class Landmarks:
         self.words = words
         self.rows = codes(words) if words else np.zeros((0, WIDTH), np.uint32)
         self.own = _own(self.rows) if words else np.zeros(0)
+        self.common = CommonLengths(words)
         self.needed = [max(LENGTH, -(-len(w) * 6 // 10)) for w in words]
 
     def values(self, words: list[str]) -> dict[int, dict[int, float]]:
         """For the words with anything in common: landmark number -> kernel value of at least ``LEAST``."""
-        rows = codes(words)
+        if not self.words or not words:
+            return {}
+        rows = codes(words)[:, :max(1, max(map(len, words)))]
+        pairs = [(np.flatnonzero(shared >= self.needed[k]), k) for k, shared in self.common.of(rows)]
+        at = np.concatenate([near for near, _ in pairs])
+        mark = np.repeat([k for _, k in pairs], [len(near) for near, _ in pairs])
+        if not len(at):
+            return {}
+        once, of = np.unique(at, return_inverse=True)
+        width = max(map(len, self.words))
+        value = kernel(rows[at], self.rows[mark, :width]) / np.sqrt(_own(rows[once])[of] * self.own[mark])
         found: dict[int, dict[int, float]] = {}
-        own = np.zeros(len(words))
-        for k, word in enumerate(self.words):
-            near = np.flatnonzero(common_lengths(rows, word) >= self.needed[k])
-            if not len(near):
-                continue
-            missing = near[own[near] == 0]
-            if len(missing):
-                own[missing] = _own(rows[missing])
-            width = len(word)
-            value = kernel(rows[near], np.repeat(self.rows[k:k + 1, :width], len(near), 0)) / np.sqrt(own[near] * self.own[k])
-            for i, v in zip(near.tolist(), value.tolist()):
-                if v >= LEAST:
-                    found.setdefault(i, {})[k] = v
+        for i in np.flatnonzero(value >= LEAST).tolist():
+            found.setdefault(int(at[i]), {})[int(mark[i])] = float(value[i])
         return found
 
 
@@ -112,25 +131,26 @@ class Memo:
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.limit:
             self.known.clear()
-        new = [w for w in words if w not in self.known]
+        units: dict[int, list[str]] = {}  # by length, so that short words take few steps
+        of: dict[int, list[str]] = {}
         known = self.known
-        for start in range(0, len(new), 20_000):
-            part = new[start:start + 20_000]
-            units, of = [], []
-            for i, word in enumerate(part):
-                bare = _EDGE.sub("", word)
-                if len(bare) <= WIDTH:
-                    units.append(bare)
-                    of.append(i)
-                else:
-                    windows = range(0, len(bare) - WIDTH // 2, WIDTH // 2)
-                    units.extend(bare[a:a + WIDTH] for a in windows)
-                    of.extend([i] * len(windows))
-                known[word] = None
-            for u, values in self.landmarks.values(units).items():
-                word = part[of[u]]
-                have = known[word] or {}
-                known[word] = {k: max(have.get(k, 0.0), values.get(k, 0.0)) for k in have | values}
+        for word in words:
+            if word in known:
+                continue
+            known[word] = None
+            bare = _EDGE.sub("", word)
+            if len(bare) < LENGTH:
+                continue
+            parts = [bare] if len(bare) <= WIDTH else [bare[a:a + WIDTH] for a in range(0, len(bare) - WIDTH // 2, WIDTH // 2)]
+            size = -(-len(bare) // 3) if len(bare) <= WIDTH else 0
+            units.setdefault(size, []).extend(parts)
+            of.setdefault(size, []).extend([word] * len(parts))
+        for size, group in units.items():
+            for start in range(0, len(group), 20_000):
+                for u, values in self.landmarks.values(group[start:start + 20_000]).items():
+                    word = of[size][start + u]
+                    have = known[word] or {}
+                    known[word] = {k: max(have.get(k, 0.0), values.get(k, 0.0)) for k in have | values}
 
 
 def document_words(text: str) -> list[str]:
@@ -253,8 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         memo = Memo(Landmarks(landmarks))
         for _, (marks, texts) in rows_of(batches):
             bags = []
-            for start in range(0, len(texts), 300):
-                split = [document_words(t) for t in texts[start:start + 300]]
+            for start in range(0, len(texts), 500):
+                split = [document_words(t) for t in texts[start:start + 500]]
                 memo.learn(set().union(*split))
                 bags += [[sorted(s.items()) for s in sentences(w, memo.known)][:50] for w in split]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(
@@ -268,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scores(memo: Memo, model: Model, texts: list[str | None]) -> list[float]:
     scores: list[float] = []
-    for start in range(0, len(texts), 300):
-        split = [document_words(t or "") for t in texts[start:start + 300]]
+    for start in range(0, len(texts), 500):
+        split = [document_words(t or "") for t in texts[start:start + 500]]
         memo.learn(set().union(*split))
         scores += [model.probability(model.margin(sentences(w, memo.known))) for w in split]
     return scores
