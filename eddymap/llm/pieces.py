@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -35,10 +37,21 @@ SCALE = 1024
 NONE = -(1 << 60)
 
 
+class _Memo(dict):
+    """Ids of stretches; what is not held is worked out and not kept."""
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, stretch: str) -> bytes:
+        return self.pieces._alone(stretch)
+
+
 class Pieces:
     """A model's vocabulary with integer scores."""
 
-    def __init__(self, model: bytes, cache: int = 600_000):
+    def __init__(self, model: bytes, cache: int = 800_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.text = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.text) if sp.is_byte(i)}
@@ -56,7 +69,11 @@ class Pieces:
             self.worth[i] = self.score[piece]
         for b, i in self.bytes.items():
             self.worth[i] = 0 if 0x80 <= b < 0xC0 else self.penalty
-        self.memo: dict[str, bytes] = {}
+        raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.replace(BLANK_MARK, " ").encode() for i, p in enumerate(self.text)]
+        self.sizes = np.array([len(b) for b in raw], np.int64)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.memo = _Memo(self)
         self.limit = cache
         self._hash_pieces()
 
@@ -116,13 +133,15 @@ class Pieces:
         whole = (best[length] > NONE // 2).tolist()
         return [row[length - k:].tobytes() if ok else None for row, k, ok in zip(ids, taken.tolist(), whole)]
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, split: list[list[str]]) -> None:
         """Put the stretches that are short and new into the memo."""
-        if len(self.memo) + len(stretches) > self.limit:
+        new = set(filterfalse(self.memo.__contains__, chain.from_iterable(split)))
+        if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
+            new = set(chain.from_iterable(split))
         by_length: dict[int, list[str]] = {}
-        for s in stretches:
-            if len(s) <= 32 and s not in self.memo:
+        for s in new:
+            if len(s) <= 32:
                 by_length.setdefault(len(s), []).append(s)
         for same in by_length.values():
             for s, ids in zip(same, self.segment_all(same)):
@@ -134,8 +153,7 @@ class Pieces:
 
     def ids_of(self, stretches: list[str]) -> np.ndarray:
         """Ids of stretches in a row; long ones are not remembered."""
-        memo = self.memo
-        return np.frombuffer(b"".join([memo.get(s) or self._alone(s) for s in stretches]), np.uint32)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, stretches)), np.uint32)
 
     def forward(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
         """Best score and start of the last piece, for every end from ``start`` to the end of ``text``.
@@ -189,22 +207,31 @@ _STRETCH = re.compile(f"{BLANK_MARK}*[^{BLANK_MARK}\n]+|{BLANK_MARK}+|\n")
 def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
     """Ids of whole texts; an empty text has none."""
     split = [_STRETCH.findall(marked(t)) if t else [] for t in texts]
-    pieces.learn(set().union(*split))
+    pieces.learn(split)
     return [pieces.ids_of(stretches) for stretches in split]
 
 
+def decode_all(pieces: Pieces, flat: np.ndarray, ends: list[int]) -> list[str]:
+    """Texts of id lists that lie one after another in ``flat`` and end at ``ends``.
+
+    Byte pieces are their bytes, blank marks become spaces, the first of which is dropped.
+    """
+    sizes = pieces.sizes[flat]
+    stops = np.cumsum(sizes)
+    at = np.arange(stops[-1] if len(stops) else 0) + np.repeat(pieces.places[flat] - (stops - sizes), sizes)
+    data = pieces.blob[at].tobytes()
+    edges = [0, *(int(stops[e - 1]) if e else 0 for e in ends)]
+    return [data[a + 1:b].decode("utf-8", "replace") for a, b in zip(edges, edges[1:])]
+
+
 def decode_ids(pieces: Pieces, ids: list[int]) -> str:
-    """The text of ids: byte pieces are joined to characters, blank marks become spaces."""
-    text, of_byte = pieces.text, pieces.of_byte
-    if of_byte.keys().isdisjoint(ids):
-        return "".join([text[i] for i in ids]).replace(BLANK_MARK, " ")[1:]
-    out = bytearray()
-    for i in ids:
-        if i in of_byte:
-            out.append(of_byte[i])
-        else:
-            out += text[i].replace(BLANK_MARK, " ").encode()
-    return out.decode("utf-8", "surrogatepass")[1:]
+    return decode_all(pieces, np.array(ids, np.int64), [len(ids)])[0]
+
+
+@lru_cache(maxsize=2)
+def vocabulary(model: bytes) -> Pieces:
+    """The vocabulary and its memo, kept by a worker from task to task."""
+    return Pieces(model)
 
 
 def _cuts(text: str, stop: int) -> tuple[int, int] | None:
@@ -289,7 +316,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         raise ValueError(f"chunk must be at least {2 * longest} characters")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = vocabulary(model)
         for _, (ids, texts) in rows_of(batches):
             found = encode_texts(pieces, [t or "" for t in texts])
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
@@ -314,9 +341,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                         pa.array([stops[k] - starts[k] for k in part], pa.int32())], names=["name", "k", "part", "stop"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = vocabulary(model)
         for _, (names, ks, parts, stops) in rows_of(batches, 64):
-            pieces.learn(set().union(*(_STRETCH.findall(blanked(t)) for t in parts)))
+            pieces.learn([_STRETCH.findall(blanked(t)) for t in parts])
             yield pa.RecordBatch.from_arrays([
                 pa.array(names), pa.array(ks, pa.int32()),
                 pa.array([transfer(pieces, blanked(t), n).tobytes() for t, n in zip(parts, stops)], pa.binary())],
@@ -328,9 +355,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         return pd.DataFrame({"name": group["name"], "k": group["k"], "enter": states[:-1], "leave": states[1:], "total": score})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = vocabulary(model)
         for _, (names, ks, parts, stops, enters, leaves, totals) in rows_of(batches, 64):
-            pieces.learn(set().union(*(_STRETCH.findall(blanked(t)) for t in parts)))
+            pieces.learn([_STRETCH.findall(blanked(t)) for t in parts])
             found = [trace_chunk(pieces, blanked(t), n, a, b) for t, n, a, b in zip(parts, stops, enters, leaves)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(names), pa.array(ks, pa.int32()), pa.array(found, pa.list_(pa.int32())), pa.array(totals, pa.int64())],
@@ -364,10 +391,14 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
         model = f.read()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        for batch, (_, ids) in rows_of(batches):
-            texts = [None if x is None else decode_ids(pieces, x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+        pieces = vocabulary(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                ids = part.column(1)
+                texts = decode_all(pieces, ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist())
+                texts = [t if known else None for t, known in zip(texts, ids.is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return (encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
             .mapInArrow(work, "doc_id long, ids array<int>, text string").withColumnRenamed("doc_id", id_col))
