@@ -66,9 +66,10 @@ def components(rows, cover):
     return sorted((i, len(s), least[v]) for (i, s), v in zip(sets, label))
 
 
-@pytest.mark.parametrize("cover,least_frequent", [(85, 64), (85, 2), (50, 2)])
-def test_components_of_links(docs, prose, cover, least_frequent):
-    found = jaccard_join.link_components(docs(prose), cover=cover, least_frequent=least_frequent)
+@pytest.mark.parametrize("cover,options", [
+    (85, {}), (85, {"least_frequent": 2}), (50, {"least_frequent": 2, "long_list": 2, "block": 3})])
+def test_components_of_links(docs, prose, cover, options):
+    found = jaccard_join.link_components(docs(prose), cover=cover, **options)
     assert sorted(tuple(r)[:3] for r in found.collect()) == components(prose, cover)
 
 
@@ -82,6 +83,13 @@ def test_small_sets_meet_through_subsets():
         assert len(jaccard_join.subset_keys(a, 85, 40)) == jaccard_join.subset_count(n, 85)
 
 
+def test_overlaps_of_every_two_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 30, 50, 50, 9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert (np.array(want) - jaccard_join.overlaps(sets, 7))[~np.eye(6, dtype=bool)].tolist() == [0] * 30
+
+
 def test_links_of_odd_and_empty_tables(odd_docs, empty_docs):
     found = sorted((r[0] or -1, r[1], r[2] or -1) for r in jaccard_join.link_components(odd_docs).collect())
     assert found == [(-1, 0, -1), (-1, 1, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 1, 4), (5, 1, 5), (6, 1, 6)]
