@@ -59,9 +59,15 @@ def locate(shard: list[tuple[int, int, int, bytes]], width: int, phrases: int) -
 
     Segments without any are left out.
     """
-    texts = [np.frombuffer(codes, np.uint32) for *_, codes in shard]
-    windows = [Spans(t.astype(np.uint64) + np.uint64(1)).hashes(
-        np.arange(len(t) - width + 1), np.arange(width, len(t) + 1)) for t in texts]
+    flat = np.frombuffer(b"".join(codes for *_, codes in shard), np.uint32)
+    length_of = [len(codes) // 4 for *_, codes in shard]
+    begins = np.cumsum([0, *length_of])
+    counts = np.array(length_of) - width + 1
+    firsts = np.cumsum([0, *counts.tolist()])  # number of the first window of each segment
+    owner = np.repeat(np.arange(len(shard)), counts)
+    offset = np.arange(firsts[-1]) - firsts[owner]
+    places = begins[owner] + offset
+    hashes = Spans(flat.astype(np.uint64) + np.uint64(1)).hashes(places, places + width)
     alone: dict[int, int] = {}
     for anchor, *_ in shard:
         alone[anchor] = alone.get(anchor, 0) + 1
@@ -69,17 +75,18 @@ def locate(shard: list[tuple[int, int, int, bytes]], width: int, phrases: int) -
     # Phrases to confirm: (hash, segment, start, length).
     whole = [i for i, (anchor, _, times, _) in enumerate(shard) if alone[anchor] == 1 and times > 1]
     single = [i for i, (anchor, *_) in enumerate(shard) if alone[anchor] > 1]
-    todo = [(i, 0, len(texts[i])) for i in whole]
+    todo = [(i, 0, length_of[i]) for i in whole]
     if single:
-        hashes = np.concatenate([windows[i] for i in single])
-        of = np.repeat(single, [len(windows[i]) for i in single])
-        at = np.concatenate([np.arange(len(windows[i])) for i in single])
-        times = np.array([s[2] for s in shard], np.int64)[of]
-        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        mine = np.isin(owner, single)
+        times = np.array([s[2] for s in shard], np.int64)[owner[mine]]
+        _, where, inverse = np.unique(hashes[mine], return_index=True, return_inverse=True)
         often = np.bincount(inverse, weights=times) > 1
+        of, at = owner[mine], offset[mine]
         todo += [(int(of[k]), int(at[k]), width) for k in where[often]]
 
-    streams = [_alphabet(t) for t in texts]
+    text = _alphabet(flat)
+    streams = [text[a:b] for a, b in zip(begins.tolist(), begins[1:].tolist())]
+    window, first_of = hashes.tolist(), firsts.tolist()
     starts: list[list[tuple[int, int]]] = [[] for _ in shard]
     for begin in range(0, len(todo), phrases):
         automaton = ahocorasick.Automaton()
@@ -96,7 +103,8 @@ def locate(shard: list[tuple[int, int, int, bytes]], width: int, phrases: int) -
                 for i, start, length in entries:
                     a = end + 1 - length
                     b = length - width  # windows of the phrase after its first
-                    if windows[j][a] == windows[i][start] and windows[j][a + b] == windows[i][start + b]:
+                    here, there = first_of[j] + a, first_of[i] + start
+                    if window[here] == window[there] and window[here + b] == window[there + b]:
                         starts[j].append((a, a + b))
     found = []
     for (anchor, segment, *_), runs in zip(shard, starts):
