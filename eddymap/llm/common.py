@@ -24,6 +24,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return Store(df.sparkSession).cut(df, name).df
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, where the session has not set less.
+
+    Texts are long: the default of 10,000 rows a batch is held several times on either side of a
+    Python worker's pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1))), F.lit(0)).cast("long")

@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import rows_of
+from eddymap.llm.common import bounded_batches, rows_of
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
@@ -158,6 +158,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     is its own successor; an empty table gives no rows; other columns are ignored.  Returns
     ``id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counted = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     parts = max(1, min(counted // rows_per_part, max_parts))

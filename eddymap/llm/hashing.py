@@ -24,7 +24,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Memo word -> 64-bit hash; emptied when it holds ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

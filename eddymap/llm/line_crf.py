@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import rows_of
+from eddymap.llm.common import bounded_batches, rows_of
 from eddymap.llm.hashing import mixed
 
 SYMBOLS = "#*$%&|<>"
@@ -166,6 +166,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     share a document must reach is then set where the sample's labels are met best, among cuts that
     keep 98 % of the good ones.  Without labels of both kinds every line counts as content.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
     chosen = marked.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(max_docs)
@@ -211,6 +212,7 @@ def apply_rules(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_
     Null and blank texts have no words, so the base rules fail them; rows may repeat; an empty table
     gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (ids, texts) in rows_of(batches):
             found = [(i, *judge_document(t, field)) for i, t in zip(ids, texts)]

@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import row_print, rows_of
+from eddymap.llm.common import bounded_batches, row_print, rows_of
 
 BLANK_MARK = "▁"
 #: Stands for a blank mark that is part of the text itself, which becomes byte pieces; a lone surrogate
@@ -309,6 +309,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     score 0; rows may repeat; an empty table gives no rows; other columns are ignored.  Of
     segmentations that tie any one is returned; the score and the text they decode to are the same.
     """
+    bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     longest = Pieces(model).longest
@@ -387,6 +388,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id, ids, text``: the texts that ids stand for.  Null ids give a null text, no ids an empty one."""
+    bounded_batches(encoded.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import cut, rows_of
+from eddymap.llm.common import bounded_batches, cut, rows_of
 
 # The patterns and the order of the kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -164,6 +164,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty and has no spans; rows may repeat; an empty table gives no rows; other
     columns are ignored; equal starts are ordered by kind.
     """
+    bounded_batches(docs.sparkSession)
     scanned = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                   .mapInArrow(_scan, _FOUND), "secret-candidates")
     bin_of = F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int")

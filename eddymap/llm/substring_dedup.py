@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import cut, rows_of
+from eddymap.llm.common import bounded_batches, cut, rows_of
 from eddymap.llm.hashing import Spans, WordHashes, shingle_hashes
 
 ANCHOR = 14
@@ -155,6 +155,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats is another place; an empty table gives no rows; other columns are ignored.  Bit maps of
     fixed size (``bits``) drop most rows before the exact joins; when full they let everything pass.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import rows_of
+from eddymap.llm.common import bounded_batches, rows_of
 
 LENGTH, DECAY = 4, 0.7
 WIDTH = 24  # longer words are seen through overlapping windows of this many characters
@@ -241,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     over-represented in toxic documents of the sample, no two of them much alike.  Without labels of
     both kinds the model scores everything 0.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(
         F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"))
     chosen = marked.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(max_docs)
@@ -297,6 +298,7 @@ def _scores(memo: Memo, model: Model, texts: list[str | None]) -> list[float]:
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below one half, with all their columns."""
+    bounded_batches(docs.sparkSession)
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Memo(Landmarks(model.landmarks))
@@ -312,6 +314,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     Null and empty texts get the score of a text without anything in common; rows may repeat; an
     empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Landmarks(model.landmarks))
         for _, (ids, texts) in rows_of(batches):
