@@ -58,40 +58,33 @@ def connected_components(
     with its row count ``n_edges``; without the count the table is written first.
     """
     store = store or Store(edges.sparkSession)
+    start = store.mark()
     links = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    written = []
     if n_edges is None:
         first = store.cut(links, "component-edges")
         links, n_edges = first.df, first.rows
-        written.append(first)
-    rounds: list[DataFrame] = []
-    remaining = n_edges
+    rounds: list[Written] = []
+    remaining, held = n_edges, None
     while remaining:
         if len(rounds) == max_rounds:
             raise RuntimeError(f"components not found within {max_rounds} rounds")
-        # A round has at most two vertices per link.
-        pointers = store.cut_if_large(
-            _point_to_first(links, len(rounds)), 2 * remaining, "component-pointers"
-        )
-        pointers = store.cut_if_large(
-            _follow(pointers, pointers), 2 * remaining, "component-pointers"
-        )
+        nearest = store.cut(_point_to_first(links, len(rounds)), "component-nearest")
+        pointers = store.cut(_follow(nearest.df, nearest.df), "component-pointers")
+        nearest.drop()
         rounds.append(pointers)
-        after = store.cut(_contract(links, pointers), "component-links")
-        written.append(after)
-        links, remaining = after.df, after.rows
+        after = store.cut(_contract(links, pointers.df), "component-links")
+        if held:
+            held.drop()
+        links, remaining, held = after.df, after.rows, after
     if not rounds:
-        return store.cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("label")), "labels")
-    roots = rounds[-1]
-    for pointers in reversed(rounds[:-1]):
-        roots = _follow(pointers, roots, "LEFT")
-    roots = store.cut_if_large(roots, 2 * n_edges, "component-roots")
-    lowest = store.cut_if_large(
-        roots.groupBy("rep").agg(F.min("id").alias("label")), 2 * n_edges, "component-lowest"
-    )
-    labels = store.cut(roots.join(lowest, "rep").select("id", "label"), "labels")
-    for table in written:
-        table.drop()
+        labels = store.cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("label")), "labels")
+    else:
+        roots = rounds[-1].df
+        for pointers in reversed(rounds[:-1]):
+            roots = store.cut(_follow(pointers.df, roots, "LEFT"), "component-roots").df
+        lowest = store.cut(roots.groupBy("rep").agg(F.min("id").alias("label")), "component-lowest")
+        labels = store.cut(roots.join(lowest.df, "rep").select("id", "label"), "labels")
+    store.drop_since(start, labels)
     return labels
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eddymap.store import Store
+
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst"))
@@ -34,18 +36,15 @@ def out_weight(edges: DataFrame) -> DataFrame:
     )
 
 
-def normalize_edges(edges: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+def normalize_edges(edges: DataFrame, store: Store | None = None) -> DataFrame:
     """Divide each weight by its source's total.
 
-    A source whose total is 0 loses its edges.  The totals are combined on the map side and joined
-    back, so a hub source is never gathered into one window; pass a written ``totals`` table to let
-    adaptive execution split a hub in the join as well.
+    A source whose total is 0 loses its edges.  The totals are combined on the map side and written, so
+    that both sides of the join are plain shuffles and adaptive execution can split a hub source.
     """
-    totals = out_weight(edges) if totals is None else totals
-    return (
-        edges.join(totals.filter("total > 0").select("src", "total"), "src")
-        .select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
-    )
+    store = store or Store(edges.sparkSession)
+    totals = store.cut(out_weight(edges).filter("total > 0").select("src", "total"), "totals").df
+    return edges.join(totals, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("weight"))
 
 
 def dangling_nodes(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -56,30 +56,13 @@ def delta_table(part: Partition) -> DataFrame:
     return _directed(scored_pairs(part), both=False)
 
 
-def symmetric_deltas(delta: DataFrame) -> DataFrame:
-    """Let either end propose: both directions of each row, the smaller ``dl`` where both exist."""
-    return (
-        delta.selectExpr("inline(array(struct(src, dst), struct(dst AS src, src AS dst)))", "dl")
-        .groupBy("src", "dst").agg(F.min("dl").alias("dl"))
-    )
-
-
-def choose_merges(
-    delta: DataFrame, direction: str = "symmetric", tie_tol: float = TIE_TOLERANCE
-) -> DataFrame:
-    """``(src, dst)``: per source all targets with the smallest ``dl``, if that is below 0.
-
-    ``asymmetric`` proposes only along a link; any other direction lets both ends propose.
-    """
-    proposals = delta if direction.lower() == "asymmetric" else symmetric_deltas(delta)
-    return best_targets(proposals.filter("dl < 0"), tie_tol=tie_tol)
+def symmetric_deltas(part: Partition) -> DataFrame:
+    """``(src, dst, dl)`` from either end of every linked pair of modules."""
+    return _directed(scored_pairs(part), both=True)
 
 
-def best_targets(
-    proposals: DataFrame, least: DataFrame | None = None, tie_tol: float = TIE_TOLERANCE
-) -> DataFrame:
-    """Proposals whose ``dl`` equals their source's smallest."""
-    least = smallest_delta(proposals) if least is None else least
+def best_targets(proposals: DataFrame, least: DataFrame, tie_tol: float = TIE_TOLERANCE) -> DataFrame:
+    """Proposals whose ``dl`` is within ``tie_tol`` of their source's smallest."""
     return (
         proposals.join(least, "src")
         .filter(f"dl <= least + {number(tie_tol)}").select("src", "dst")
@@ -90,20 +73,22 @@ def smallest_delta(proposals: DataFrame) -> DataFrame:
     return proposals.groupBy("src").agg(F.min("dl").alias("least"))
 
 
-def chosen_merges(
+def choose_merges(
     part: Partition, direction: str, store: Store, tie_tol: float = TIE_TOLERANCE
 ) -> Written:
-    """The round's merges as a stored table.
+    """``(src, dst)``: per module all targets with the smallest ``dl``, if that is below 0.
 
-    Improving pairs are filtered before the minimum is taken.  On a large partition proposals and
-    minima are written before they are joined, so that the join can split a module with very many
-    proposals.
+    ``asymmetric`` proposes only along a link; any other direction lets both ends propose.  Proposals
+    and minima are written before they are joined: the join sees each number once, and can split a
+    module with very many proposals.
     """
     both = direction.lower() != "asymmetric"
-    proposals = _directed(scored_pairs(part).filter("dl < 0"), both)
-    proposals = store.cut_if_large(proposals, 2 * part.n_links, "proposals")
-    least = store.cut_if_large(smallest_delta(proposals), 2 * part.n_links, "smallest-delta")
-    return store.cut(best_targets(proposals, least, tie_tol), "merges")
+    proposals = store.cut(_directed(scored_pairs(part).filter("dl < 0"), both), "proposals")
+    least = store.cut(smallest_delta(proposals.df), "smallest-delta")
+    merges = store.cut(best_targets(proposals.df, least.df, tie_tol), "merges")
+    proposals.drop()
+    least.drop()
+    return merges
 
 
 def module_map(

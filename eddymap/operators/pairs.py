@@ -22,11 +22,12 @@ def candidate_table(part: Partition) -> DataFrame:
 
 def best_merge(candidates: DataFrame) -> DataFrame:
     """The candidate with the smallest ``dl``; ties go to the smallest ``m1``, then ``m2``."""
-    return candidates.orderBy("dl", "m1", "m2").limit(1)
+    best = candidates.agg(best_merge_metric().alias("best")).filter("best IS NOT NULL")
+    return best.select("best.*").select(*CANDIDATE_COLUMNS)
 
 
 def best_merge_metric() -> Column:
-    """:func:`best_merge` as an aggregate, to be taken while the table is written."""
+    """The smallest candidate as an aggregate, so that it can be taken while the table is written."""
     order = ("dl", "m1", "m2")
     return F.min(F.struct(*order, *[c for c in CANDIDATE_COLUMNS if c not in order]))
 

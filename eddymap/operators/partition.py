@@ -9,7 +9,7 @@ from eddymap.functions.flow_math import (
     codelength_value, exit_flow, module_term, number, plogp,
 )
 from eddymap.graph import Graph, Partition
-from eddymap.operators.edges import drop_self_loops
+from eddymap.operators.edges import drop_self_loops, split_by_module
 from eddymap.operators.walk import flow_rows, iterate_walk, prepare_walk
 from eddymap.store import Store
 
@@ -23,10 +23,8 @@ def module_sums() -> dict[str, Column]:
 
 
 def codelength(modules: DataFrame, prob_sum: float) -> float:
-    """Code length of a module table, from one aggregate row."""
-    sums = {"n": F.count(F.lit(1)), **module_sums()}
-    row = modules.agg(*[column.alias(key) for key, column in sums.items()]).first()
-    return codelength_value(row.n, row.q_sum or 0.0, row.terms or 0.0, prob_sum)
+    """Code length of a module table."""
+    return codelength_table(modules, prob_sum).first()["codelength"]
 
 
 def codelength_table(modules: DataFrame, prob_sum: float) -> DataFrame:
@@ -123,7 +121,7 @@ def contract(part: Partition, module_map: DataFrame, store: Store | None = None)
     )
     sums = modules.stats
     return Partition(
-        modules=modules.df, links=contracted.df.filter("src <> dst"), n_nodes=part.n_nodes,
+        modules=modules.df, links=split_by_module(contracted.df)[1], n_nodes=part.n_nodes,
         tele=part.tele, prob_sum=part.prob_sum, q_sum=sums["q_sum"],
         codelength=codelength_value(modules.rows, sums["q_sum"], sums["terms"], part.prob_sum),
         n_modules=modules.rows, n_links=contracted.stats["between"],

@@ -16,6 +16,8 @@ from eddymap.store import Store, Written
 
 # Most rows of one source that a single task joins; a busier source is spread over more slots.
 ROWS_PER_SLOT = 1_000_000
+# Links that one partition of the prepared graph holds on average, once there are enough of them.
+ROWS_PER_PARTITION = 4_000_000
 
 
 def sparse_matvec(matrix: DataFrame, constant: DataFrame, vector: DataFrame) -> DataFrame:
@@ -65,9 +67,9 @@ def prepare_walk(
     """Normalise the edges, spread busy sources over slots and keep the result for all steps."""
     spark = vertices.sparkSession
     totals = out_weight(edges).filter("total > 0").select(
-        "src", "total", F.ceil(F.col("degree") / F.lit(rows_per_slot)).cast("int").alias("slots")
+        "src", "total", "degree", F.ceil(F.col("degree") / F.lit(rows_per_slot)).cast("int").alias("slots")
     )
-    out = store.cut(totals, "out-weight")
+    out = store.cut(totals, "out-weight", links=F.sum("degree"))
     nodes = store.cut(
         vertices.select("id").join(out.df.withColumnRenamed("src", "id"), "id", "left")
         .select("id", F.coalesce("slots", F.lit(0)).alias("slots")),
@@ -76,7 +78,7 @@ def prepare_walk(
     )
     if nodes.rows == 0:
         raise ValueError("the graph has no vertices")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(spark.sparkContext.defaultParallelism, -(-(out.stats["links"] or 0) // ROWS_PER_PARTITION))
     links = (
         edges.join(out.df, "src")
         .select(
@@ -168,10 +170,11 @@ def iterate_walk(
 def pagerank(
     graph: Graph, damping: float = 0.85, err_factor: float = 20.0,
     fixed_iter: int | None = None, max_iter: int = 1000, store: Store | None = None,
+    rows_per_slot: int = ROWS_PER_SLOT,
 ) -> DataFrame:
     """Stationary visit frequencies ``(id, p)``; self-loops are kept."""
     store = store or Store(graph.spark)
-    walk = prepare_walk(graph.vertices, graph.edges, store)
+    walk = prepare_walk(graph.vertices, graph.edges, store, rows_per_slot)
     try:
         found = iterate_walk(walk, damping, err_factor, store, fixed_iter, max_iter)
     finally:

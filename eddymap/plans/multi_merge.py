@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from eddymap.graph import TRACE_SCHEMA, Graph, Partition
-from eddymap.operators.merge import TIE_TOLERANCE, chosen_merges, module_map
+from eddymap.operators.merge import TIE_TOLERANCE, choose_merges, module_map
 from eddymap.operators.partition import contract, relabel_nodes
-from eddymap.store import Store
+from eddymap.store import Store, Written
 
 OnRound = Callable[[int, Graph, Partition], None]
 
@@ -47,18 +47,25 @@ def multi_merge(
     """
     store = store or Store(graph.spark)
     trace = [trace_row(0, part, None)]
+    held: list[Written] = []  # tables of the current state that the search wrote itself
     for round_no in range(max_rounds):
         if on_round:
             on_round(round_no, graph, part)
-        merges = chosen_merges(part, direction, store, tie_tol)
+        start = store.mark()
+        merges = choose_merges(part, direction, store, tie_tol)
         if merges.rows == 0:
+            merges.drop()
             return Communities(graph, part, trace)
         moved = module_map(merges.df, store, merges.rows)
         merges.drop()
         after = contract(part, moved.df, store)
         if after.codelength >= part.codelength:
+            store.drop_since(start)
             return Communities(graph, part, trace)
         graph = relabel_nodes(graph, moved.df)
         trace.append(trace_row(round_no + 1, after, part))
         part = after
+        for table in held:
+            table.drop()
+        held = [table for table in store.written_since(start) if table.path != moved.path]
     raise RuntimeError(f"merging did not end within {max_rounds} rounds")

@@ -1,19 +1,20 @@
 """Pajek network text read as a Spark job.
 
-The file is split across tasks like any text file.  Only the section headers reach the driver, and
-only while they are few; every line then finds its section by comparing positions.  A position is
-``(file, start of the file split, running line id inside it)``, which orders the lines as in the
-file.  A directory of part files in name order, as Spark writes one, is read as one document.
+The file is split across tasks like any text file and read once: its lines are written as a table with
+their position, ``(file, start of the file split, running line id inside it)``, which orders them as in
+the file.  How a later job splits its input does not matter any more.  A second table adds the section
+of each line; faults, vertices and edges derive from that.  A directory of part files in name order, as
+Spark writes one, is read as one document.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eddymap.graph import Graph, sum_parallel_edges
+from eddymap.store import Store
 
 # Fixed patterns of the format.
 HEADER = r"^\*([a-zA-Z]+).*$"
@@ -21,7 +22,6 @@ VERTEX_HEADER = r"(?i)^\*Vertices[ \t]+([0-9]+)$"
 VERTEX = r"^[ \t]*([0-9]+)[ \t]+\"(.*)\".*$"
 EDGE = r"^[ \t]*([0-9]+)[ \t]+([0-9]+)[ \t]*$"
 WEIGHTED_EDGE = r"^[ \t]*([0-9]+)[ \t]+([0-9]+)[ \t]+([0-9.eE\-+]+).*$"
-WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 PAIR_SECTIONS = ("edges", "arcs")
 LIST_SECTIONS = ("edgeslist", "arcslist")
 SECTIONS = ("vertices", *PAIR_SECTIONS, *LIST_SECTIONS)
@@ -42,9 +42,6 @@ BAD_LIST = "Edge list definition error: line {line}"
 DUPLICATE_VERTEX = "Vertex {id} is not unique!"
 NO_FILE = "Cannot open file {path}"
 
-# Up to this many headers are compared as literals; files with more sections use a window per split.
-LITERAL_HEADERS = 64
-
 
 class PajekError(ValueError):
     """The file breaks the format."""
@@ -78,70 +75,50 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("text"),
-    ).filter("text <> '' and not startswith(text, '%')")
-
-
-def _sections_by_literal(lines: DataFrame, headers: list[Row]) -> DataFrame:
-    """Add ``section`` by comparing with each header's position, last one first."""
-    section = F.lit("")
-    for header in headers:
-        section = F.when(_after(_at(header)), F.lit(header["name"])).otherwise(section)
-    return lines.withColumn("section", section)
+    ).filter("text <> '' and not startswith(text, '%')").withColumn(
+        "header", F.lower(F.nullif(F.regexp_extract("text", HEADER, 1), F.lit(""))))
 
 
-def _sections_by_window(lines: DataFrame) -> DataFrame:
-    """Add ``section`` without bringing headers to the driver.
+def _sections(lines: DataFrame) -> DataFrame:
+    """Add ``section``: the last header before each line.
 
-    A window runs inside each file split, so no task holds more than one split; what a split
-    inherits is the last header of the splits before it, one row per split.
+    A window runs inside each file split, so no task holds more than one split.  What a split inherits
+    is found among one row per split of its file, and one row per file.
     """
-    named = lines.withColumn("header", F.lower(F.nullif(F.regexp_extract("text", HEADER, 1), F.lit(""))))
-    inside = Window.partitionBy(*SPLIT).orderBy("line_id")
-    seen = named.withColumn("here", F.last("header", ignorenulls=True).over(
-        inside.rowsBetween(Window.unboundedPreceding, -1)
-    ))
-    last_of_split = named.groupBy(*SPLIT).agg(
-        F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_id"))).alias("header")
-    )
-    carried = last_of_split.select(*SPLIT, F.last("header", ignorenulls=True).over(
-        Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    ).alias("carried"))
-    return seen.join(carried, list(SPLIT)).select(
-        *POSITION, "text", F.coalesce("here", "carried", F.lit("")).alias("section")
-    )
-
-
-def _with_sections(lines: DataFrame) -> tuple[DataFrame, int | None, dict]:
-    """Lines with their section, the declared node count, and where the headers are."""
-    kept = lines.filter(F.col("text").rlike(HEADER)).select(
-        *POSITION, "text", F.lower(F.regexp_extract("text", HEADER, 1)).alias("name")
-    ).persist(StorageLevel.MEMORY_AND_DISK)  # so that the text is searched for headers once
-    heads = kept.orderBy(*POSITION)
-    headers = heads.limit(LITERAL_HEADERS + 1).collect()
-    vertex_heads = heads.filter(F.col("name") == "vertices")
-    if len(headers) <= LITERAL_HEADERS:
-        body = _sections_by_literal(lines, headers)
-    else:
-        body = _sections_by_window(lines)
-    found = vertex_heads.limit(2).collect()
-    wrong = heads.filter(~F.col("name").isin(*SECTIONS)).limit(1).collect()
-    kept.unpersist()
+    seen = lines.withColumn("here", F.last("header", ignorenulls=True).over(
+        Window.partitionBy(*SPLIT).orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)))
+    of_split = lines.groupBy(*SPLIT).agg(
+        F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_id"))).alias("header"))
+    of_file = of_split.groupBy("file").agg(
+        F.max_by("header", F.when(F.col("header").isNotNull(), F.col("block"))).alias("header"))
+    before_file = of_file.select("file", F.last("header", ignorenulls=True).over(
+        Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    carried = of_split.select(*SPLIT, F.last("header", ignorenulls=True).over(
+        Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return seen.filter("header IS NULL").join(carried, list(SPLIT)).join(before_file, "file").select(
+        *POSITION, "text", F.coalesce("here", "carried", "earlier", F.lit("")).alias("section"))
+
+
+def _headings(lines: DataFrame) -> tuple[int | None, dict]:
+    """The declared node count, where it stands, and the faults among the headers.
+
+    At most two headers of vertices and one unknown header reach the driver.
+    """
+    heads = lines.filter("header IS NOT NULL").orderBy(*POSITION)
+    found = heads.filter("header = 'vertices'").withColumn(
+        "digits", F.regexp_extract("text", VERTEX_HEADER, 1)).limit(2).collect()
+    wrong = heads.filter(~F.col("header").isin(*SECTIONS)).limit(1).collect()
     faults = [(_at(row), UNKNOWN_SECTION) for row in wrong]
-    count = None
-    where = None
+    count = where = None
     if found:
         where = _at(found[0])
-        digits = lines.sparkSession.range(1).select(
-            F.regexp_extract(F.lit(found[0].text), VERTEX_HEADER, 1).alias("n")
-        ).first().n
-        if digits:
-            count = int(digits)
+        if found[0].digits:
+            count = int(found[0].digits)
         else:
             faults.append((where, BAD_NODE_NUMBER))
     if len(found) > 1:
         faults.append((_at(found[1]), ONE_VERTICES_SECTION))
-    body = body.filter(~F.col("text").rlike(HEADER))
-    return body, count, {"where": where, "faults": faults}
+    return count, {"where": where, "faults": faults}
 
 
 def _pair_fields() -> dict[str, Column]:
@@ -229,20 +206,23 @@ def _raise_duplicate_vertex(declared: DataFrame) -> None:
         raise PajekError(DUPLICATE_VERTEX.format(id=again.id))
 
 
-def read_pajek(spark: SparkSession, path: str) -> Graph:
+def read_pajek(spark: SparkSession, path: str, store: Store | None = None) -> Graph:
     """Read a Pajek file.
 
     Both ``*Edges`` and ``*Arcs`` are directed; a missing weight is 1; list sections give one edge
     of weight 1 per target; parallel edges are summed; undeclared ids are named by their number.
     """
+    store = store or Store(spark)
     try:
-        lines = _lines(spark, path)
+        raw = store.cut(_lines(spark, path), "pajek-lines")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in (error.getCondition() or ""):
             raise PajekError(NO_FILE.format(path=path)) from None
         raise
-    body, count, found = _with_sections(lines)
-    _raise_first_fault(lines, body, count, found)
+    count, found = _headings(raw.df)
+    body = store.cut(_sections(raw.df), "pajek-sections").df
+    _raise_first_fault(raw.df, body, count, found)
+    raw.drop()
 
     declared = body.filter("section = 'vertices'").select(
         *POSITION,

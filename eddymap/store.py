@@ -15,12 +15,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Up to this many rows a step that joins with an aggregate of its own input is planned as one job;
-# beyond it the aggregate is written first, so that both join sides are plain shuffles which
-# adaptive execution can split when one key is hot.
-ONE_JOB_ROWS = 100_000
-
-
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for cut tables: the session's setting, or a fresh one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -58,6 +52,7 @@ class Store:
         self.spark = spark
         self.folder = f"{checkpoint_root(spark)}/eddymap-{uuid.uuid4().hex}"
         self._count = 0
+        self._live: dict[int, Written] = {}
         path = self._hadoop_path(self.folder)
         self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(path)
@@ -67,6 +62,7 @@ class Store:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def delete(self, path: str) -> None:
+        self._live = {number: table for number, table in self._live.items() if table.path != path}
         self._fs.delete(self._hadoop_path(path), True)
 
     def cut(self, df: DataFrame, name: str, **metrics: Column) -> Written:
@@ -82,8 +78,20 @@ class Store:
         columns += [metric.alias(key) for key, metric in metrics.items()]
         df.observe(seen, *columns).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        return Written(table, path, seen.get, self)
-
-    def cut_if_large(self, df: DataFrame, rows: int, name: str) -> DataFrame:
-        """Write ``df`` if ``rows``, a bound on its size, exceeds the one-job bound."""
-        return self.cut(df, name).df if rows > ONE_JOB_ROWS else df
+        written = self._live[self._count] = Written(table, path, seen.get, self)
+        return written
+
+    def mark(self) -> int:
+        """A point in time for :meth:`drop_since`."""
+        return self._count
+
+    def written_since(self, mark: int) -> list[Written]:
+        """The tables written after ``mark`` that have not been dropped."""
+        return [table for number, table in self._live.items() if number > mark]
+
+    def drop_since(self, mark: int, *kept: Written) -> None:
+        """Delete the tables written after ``mark`` that have not been dropped, but for ``kept``."""
+        paths = {table.path for table in kept}
+        for table in self.written_since(mark):
+            if table.path not in paths:
+                table.drop()

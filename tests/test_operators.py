@@ -1,12 +1,13 @@
 """Single operators against brute force and literal expectations."""
 
 import math
+import os
 import random
 
 import pytest
 from conftest import rows
 
-from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank, store
+from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank
 from eddymap.functions.flow_math import plogp_value
 from eddymap.graph import EDGE_SCHEMA, VERTEX_SCHEMA
 from eddymap.operators import analysis, merge, walk
@@ -59,9 +60,7 @@ def test_no_edges(spark):
         label_edges(spark.createDataFrame([], "src bigint, dst bigint"))
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_components_of_long_chain_star_and_random(spark, monkeypatch, bound):
-    monkeypatch.setattr(store, "ONE_JOB_ROWS", bound)
+def test_components_of_long_chain_star_and_random(spark):
     rng = random.Random(7)
     chain = list(range(300))
     rng.shuffle(chain)
@@ -175,21 +174,43 @@ def test_zero_weights_and_zero_totals(spark):
 
 def test_ties_keep_all_targets(spark):
     delta = spark.createDataFrame(
-        [(1, 2, -1.0), (1, 3, -1.0 + 1e-14), (1, 4, -0.5), (2, 5, 0.25), (6, 1, -2.0)],
-        "src bigint, dst bigint, dl double")
-    assert rows(merge.choose_merges(delta, "asymmetric")) == [(1, 2), (1, 3), (6, 1)]
-    assert rows(merge.choose_merges(delta, "asymmetric", tie_tol=0.0)) == [(1, 2), (6, 1)]
-    assert rows(merge.choose_merges(delta, "symmetric")) == [
-        (1, 6), (2, 1), (3, 1), (4, 1), (6, 1)]
+        [(1, 2, -1.0), (1, 3, -1.0 + 1e-14), (1, 4, -0.5), (6, 1, -2.0)], "src bigint, dst bigint, dl double")
+    least = merge.smallest_delta(delta)
+    assert rows(merge.best_targets(delta, least)) == [(1, 2), (1, 3), (6, 1)]
+    assert rows(merge.best_targets(delta, least, tie_tol=0.0)) == [(1, 2), (6, 1)]
 
 
-def test_large_plans_give_the_same_result(net, monkeypatch):
-    """With every intermediate written, as on large tables, the search ends in the same place."""
-    monkeypatch.setattr(store, "ONE_JOB_ROWS", 0)
+@pytest.mark.parametrize("tie_tol", [0.0, merge.TIE_TOLERANCE])
+def test_every_module_with_a_gain_proposes(net, tie_tol):
     graph = net("four-groups")
-    found = multi_merge(graph, init_partition(graph))
+    folder = Store(graph.spark)
+    part = init_partition(graph, store=folder)
+    gains = {r.src for r in merge.symmetric_deltas(part).filter("dl < 0").collect()}
+    assert {r.src for r in merge.choose_merges(part, "symmetric", folder, tie_tol).df.collect()} == gains
+
+
+def files_of(folder):
+    return {name.split("-", 1)[1] for name in os.listdir(folder.folder.removeprefix("file:"))}
+
+
+def test_superseded_tables_are_dropped(net):
+    graph = net("four-groups")
+    folder = Store(graph.spark)
+    connected_components(graph.edges, folder)
+    assert files_of(folder) == {"labels"}
+    folder = Store(graph.spark)
+    found = multi_merge(graph, init_partition(graph, store=folder), store=folder)
+    # The caller's first partition, the last state, and a map per round for the vertex table.
+    names = sorted(name.split("-", 1)[1] for name in os.listdir(folder.folder.removeprefix("file:")))
+    assert names == ["contracted", "labels", "labels", "links", "modules", "modules"]
     assert found.part.codelength == pytest.approx(3.5140300102, abs=1e-9)
-    assert [r[1:3] for r in found.trace_rows] == [(25, 84), (9, 20), (4, 8)]
+    assert found.graph.vertices.count() == 25
+
+
+def test_hubs_over_many_slots(net):
+    graph = net("four-groups")
+    plain, spread = (rows(pagerank(graph, rows_per_slot=n)) for n in (10 ** 6, 1))
+    assert [p for _, p in spread] == pytest.approx([p for _, p in plain], abs=1e-12)
 
 
 def test_checkpoint_folder_is_the_sessions(spark):

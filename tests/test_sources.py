@@ -7,8 +7,7 @@ import pytest
 from conftest import rows
 
 from eddymap import graph_from_tables, read_graph, read_pajek, read_parquet_graph
-from eddymap.sources import PajekError
-from eddymap.sources import pajek
+from eddymap.sources import PajekError, read_node_link
 
 
 @pytest.mark.parametrize("name", ["one", "arrow-loop", "triangles"])
@@ -37,20 +36,20 @@ def test_pajek_lists_and_undeclared_vertices(spark, text_file):
     assert rows(graph.edges) == LIST_EDGES
 
 
-def test_pajek_sections_by_window_agree(spark, text_file, monkeypatch):
+def test_pajek_in_small_splits(spark, text_file):
+    """Sections are carried from split to split, and splitting anew after reading changes nothing."""
     path = text_file(LISTS)
-    monkeypatch.setattr(pajek, "LITERAL_HEADERS", 1)
-    # Small splits, so that sections are carried from one split to the next.
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "24")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        assert spark.read.text(path).rdd.getNumPartitions() > 3
-        graph = read_pajek(spark, path)
-        assert rows(graph.vertices) == LIST_VERTICES
-        assert rows(graph.edges) == LIST_EDGES
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for before, after in (("24", "1000"), ("1000", "24"), ("40", "17")):
+        try:
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            graph = read_pajek(spark, path)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", after)
+            assert rows(graph.vertices) == LIST_VERTICES
+            assert rows(graph.edges) == LIST_EDGES
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_pajek_details(spark, text_file):
@@ -124,3 +123,27 @@ def test_edges_outside_the_vertex_table(spark):
         graph_from_tables(vertices, edges)
     assert rows(graph_from_tables(vertices, edges, strict=False).edges) == [(1, 2, 1.0)]
     assert len(rows(graph_from_tables(vertices, edges, strict=None).edges)) == 2
+
+
+DOCUMENT = {
+    "nodes": [{"id": "1", "size": "0.5", "count": "2", "name": 'a "b" \u00fc', "group": "7"}],
+    "links": [{"source": "1", "target": "2", "value": "0.25"}],
+}
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps(DOCUMENT), json.dumps(DOCUMENT, indent=1), json.dumps(DOCUMENT, indent=4, ensure_ascii=False),
+    '{\n\t"nodes": [\n\t\t' + json.dumps(DOCUMENT["nodes"][0]) + '\n\t],\n\t"links": [\n\t\t'
+    + json.dumps(DOCUMENT["links"][0]) + '\n\t]\n}\n',
+])
+def test_node_link_in_any_layout(spark, tmp_path, text):
+    (tmp_path / "graph.json").write_text(text, encoding="utf-8")
+    nodes, links = read_node_link(spark, str(tmp_path / "graph.json"))
+    assert rows(nodes) == [(1, 0.5, 2, 'a "b" \u00fc', 7)] and rows(links) == [(1, 2, 0.25)]
+
+
+@pytest.mark.parametrize("text", ['{"nodes": [{"id": "1" "x"}]}', '{\n\t"nodes": [\n\t\t{"id": "1", "name": "a "b""}\n\t]\n}\n'])
+def test_broken_node_link_documents_raise(spark, tmp_path, text):
+    (tmp_path / "graph.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        read_node_link(spark, str(tmp_path / "graph.json"))[0].collect()
