@@ -53,11 +53,11 @@ def main() -> None:
             "codelength": round(found.part.codelength, 6),
         }
 
-    def build(k: int) -> Graph:
-        edges = Store(spark).cut(views.backbone(spark, sf_dir, k), "edges").df
+    def build() -> Graph:
+        edges = Store(spark).cut(views.chain_links(spark, sf_dir), "edges").df
         return graph_from_tables(views.endpoints(edges), edges)
 
-    chain = timed("graph_build", lambda: build(1))
+    chain = timed("graph_build", build)
     timed("components", lambda: connected_components(chain.edges))
     timed("pagerank", lambda: pagerank(chain))
     part = timed("init_partition", lambda: init_partition(chain))

@@ -24,8 +24,7 @@ from workloads import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Walk steps for the module tables of single-operator queries, and for the plain PageRank query.
-INIT_STEPS = 5
+# Steps of the query for a fixed number of steps; all other walks run until they converge.
 RANK_STEPS = 10
 DIGITS = 8
 
@@ -52,20 +51,20 @@ def _graph(store: Store, links: DataFrame) -> Graph:
     return graph_from_tables(views.endpoints(edges), edges, strict=None)
 
 
-def _chain(spark: SparkSession, sf_dir: str, k: int) -> tuple[Store, Graph]:
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[Store, Graph]:
     store = Store(spark)
-    return store, _graph(store, views.backbone(spark, sf_dir, k))
+    return store, _graph(store, views.chain_links(spark, sf_dir))
 
 
-def _started(spark: SparkSession, sf_dir: str, k: int = 1):
-    store, graph = _chain(spark, sf_dir, k)
-    return store, graph, init_partition(graph, fixed_iter=INIT_STEPS, store=store)
+def _started(spark: SparkSession, sf_dir: str):
+    store, graph = _chain(spark, sf_dir)
+    return store, graph, init_partition(graph, store=store)
 
 
 def _first_round(spark: SparkSession, sf_dir: str):
     """State, merges and map of the first symmetric round."""
     store, graph, part = _started(spark, sf_dir)
-    merges = merge.chosen_merges(part, "symmetric", store)
+    merges = merge.choose_merges(part, "symmetric", store)
     return store, graph, part, merge.module_map(merges.df, store, merges.rows).df
 
 
@@ -129,12 +128,12 @@ def pagerank_step_query(spark, sf_dir):
 
 
 def pagerank_10(spark, sf_dir):
-    store, graph = _chain(spark, sf_dir, 1)
+    store, graph = _chain(spark, sf_dir)
     return tidy(pagerank(graph, 0.85, fixed_iter=RANK_STEPS, store=store), 10)
 
 
 def pagerank_converged(spark, sf_dir):
-    store, graph = _chain(spark, sf_dir, 2)
+    store, graph = _chain(spark, sf_dir)
     return tidy(pagerank(graph, 0.85, 20.0, store=store), 10)
 
 
@@ -157,28 +156,30 @@ def codelength_init(spark, sf_dir):
 
 
 def delta_table(spark, sf_dir):
-    return tidy(merge.delta_table(_started(spark, sf_dir, 2)[2]))
+    return tidy(merge.delta_table(_started(spark, sf_dir)[2]))
 
 
 def symmetric_deltas(spark, sf_dir):
-    return tidy(merge.symmetric_deltas(merge.delta_table(_started(spark, sf_dir, 2)[2])))
+    return tidy(merge.symmetric_deltas(_started(spark, sf_dir)[2]))
 
 
 def choose_merges_sym(spark, sf_dir):
-    return merge.choose_merges(merge.delta_table(_started(spark, sf_dir, 2)[2]), "symmetric")
+    store, _, part = _started(spark, sf_dir)
+    return merge.choose_merges(part, "symmetric", store).df
 
 
 def choose_merges_asym(spark, sf_dir):
-    return merge.choose_merges(merge.delta_table(_started(spark, sf_dir, 2)[2]), "asymmetric")
+    store, _, part = _started(spark, sf_dir)
+    return merge.choose_merges(part, "asymmetric", store).df
 
 
 def connected_components_query(spark, sf_dir):
-    store, graph = _chain(spark, sf_dir, 1)
+    store, graph = _chain(spark, sf_dir)
     return connected_components(graph.edges, store).df
 
 
 def label_edges_query(spark, sf_dir):
-    store, graph = _chain(spark, sf_dir, 1)
+    store, graph = _chain(spark, sf_dir)
     return label_edges(graph.edges, store)
 
 
@@ -209,35 +210,35 @@ def codelength_1(spark, sf_dir):
 
 # --- searches ------------------------------------------------------------------------------------
 
-def _searched(spark, sf_dir, direction, k):
-    store, graph, part = _started(spark, sf_dir, k)
+def _searched(spark, sf_dir, direction):
+    store, graph, part = _started(spark, sf_dir)
     return multi_merge(graph, part, direction, store=store)
 
 
 def multi_merge_sym(spark, sf_dir):
-    return _searched(spark, sf_dir, "symmetric", 1).graph.vertices.select("id", "module")
+    return _searched(spark, sf_dir, "symmetric").graph.vertices.select("id", "module")
 
 
 def multi_merge_asym(spark, sf_dir):
-    return _searched(spark, sf_dir, "asymmetric", 3).graph.vertices.select("id", "module")
+    return _searched(spark, sf_dir, "asymmetric").graph.vertices.select("id", "module")
 
 
 def merge_trace(spark, sf_dir):
-    return tidy(_searched(spark, sf_dir, "symmetric", 1).trace)
+    return tidy(_searched(spark, sf_dir, "symmetric").trace)
 
 
 def _nations(spark, sf_dir):
     store = Store(spark)
     graph = _graph(store, views.nation_flow(spark, sf_dir))
-    return store, graph, init_partition(graph, fixed_iter=INIT_STEPS, store=store)
+    return store, graph, init_partition(graph, store=store)
 
 
 def candidate_pairs(spark, sf_dir):
-    return tidy(pairs.candidate_table(_started(spark, sf_dir, 2)[2]))
+    return tidy(pairs.candidate_table(_started(spark, sf_dir)[2]))
 
 
 def best_pair(spark, sf_dir):
-    return tidy(pairs.best_merge(pairs.candidate_table(_started(spark, sf_dir, 2)[2])))
+    return tidy(pairs.best_merge(pairs.candidate_table(_started(spark, sf_dir)[2])))
 
 
 def _one_merge(spark, sf_dir):
@@ -308,7 +309,7 @@ def induced_subgraph(spark, sf_dir):
 # --- sinks and sources ---------------------------------------------------------------------------
 
 def full_json_nodes(spark, sf_dir):
-    _, graph = _chain(spark, sf_dir, 1)
+    _, graph = _chain(spark, sf_dir)
     return full_nodes(graph)
 
 

@@ -14,39 +14,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link from the part on each order line to the part on the next line; not aggregated.
+    """A link from the part on each order line to the first part on the next line; not aggregated.
 
-    Lines are first reduced to one row per order and line number, so the join is one to one.
+    Rows of one order, line number and part are summed first.  Where a line number has several parts,
+    each of them links onward, and links arrive at the smallest; so the join has a unique right side.
     """
     lines = (
-        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min("l_partkey").alias("part"), F.sum("l_quantity").alias("qty"))
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey")
+        .agg(F.sum("l_quantity").alias("qty"))
     )
-    following = lines.select(
-        "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"),
-        F.col("part").alias("dst"), F.col("qty").alias("next_qty"),
+    following = (
+        lines.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"))
+        .agg(F.min(F.struct("l_partkey", "qty")).alias("next"))
     )
     return lines.join(following, ["l_orderkey", "l_linenumber"]).select(
-        F.col("part").alias("src"), "dst", (F.col("qty") + F.col("next_qty")).alias("weight")
+        F.col("l_partkey").alias("src"), F.col("next.l_partkey").alias("dst"),
+        (F.col("qty") + F.col("next.qty")).alias("weight"),
     )
 
 
 CHAIN_ROWS = """
-lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, sum(l_quantity) AS qty
-          FROM lineitem GROUP BY l_orderkey, l_linenumber),
+lines AS (SELECT l_orderkey, l_linenumber, l_partkey AS part, sum(l_quantity) AS qty
+          FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey),
+firsts AS (SELECT l_orderkey, l_linenumber, min(part) AS part, arg_min(qty, part) AS qty FROM lines GROUP BY 1, 2),
 chain_rows AS (SELECT a.part AS src, b.part AS dst, a.qty + b.qty AS weight
-               FROM lines a JOIN lines b
+               FROM lines a JOIN firsts b
                ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber)"""
 
 
-def _strongest(links: DataFrame) -> DataFrame:
-    """Per source the heaviest link, ties to the smallest target, combined on the map side."""
-    return (
-        links.groupBy("src").agg(F.max(F.struct("weight", (-F.col("dst")).alias("minus"))).alias("top"))
-        .select("src", (-F.col("top.minus")).alias("dst"), F.col("top.weight").alias("weight"))
-    )
-
-
 def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain with parallel rows summed and self-loops dropped."""
     return (
@@ -55,23 +50,9 @@ def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def backbone(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    """The ``k`` heaviest links of each part, one aggregate per rank."""
-    links = chain_links(spark, sf_dir)
-    kept = _strongest(links)
-    for _ in range(k - 1):
-        rest = links.join(kept.select("src", "dst"), ["src", "dst"], "left_anti")
-        kept = kept.unionByName(_strongest(rest))
-    return kept
-
-
-def backbone_sql(k: int) -> str:
-    return CHAIN_ROWS + f""",
-chain_links AS (SELECT src, dst, sum(weight) AS weight FROM chain_rows
-                WHERE src <> dst GROUP BY src, dst),
-edges AS MATERIALIZED (SELECT src, dst, weight FROM (
-    SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank
-    FROM chain_links) WHERE rank <= {k})"""
+CHAIN_EDGES = CHAIN_ROWS + """,
+edges AS MATERIALIZED (SELECT src, dst, sum(weight) AS weight FROM chain_rows
+                       WHERE src <> dst GROUP BY src, dst)"""
 
 
 def nation_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
