@@ -261,6 +261,34 @@ def multi_trace() -> str:
 
 PAIR_PARTS, PAIR_ROWS = pair_trace()
 
+
+def pair_modules(rounds: int) -> str:
+    """``at{r} (id, module)`` after up to ``r`` single merges."""
+    parts = ["at0 AS (SELECT id, id AS module FROM nodes)"]
+    for r in range(rounds):
+        parts.append(
+            f"at{r + 1} AS MATERIALIZED (SELECT a.id, CASE WHEN (SELECT v FROM go{r + 1})"
+            f" THEN coalesce(m.target, a.module) ELSE a.module END AS module"
+            f" FROM at{r} a LEFT JOIN map{r} m ON m.module = a.module)"
+        )
+    return ",".join(parts)
+
+
+def last_modules() -> str:
+    """The module table of the last state that was taken."""
+    rows = [f"SELECT {r} AS r, module, n, p, w, q FROM modules{r} WHERE (SELECT v FROM ok{r})" for r in range(ROUNDS + 1)]
+    every = " UNION ALL ".join(rows)
+    return f"every AS MATERIALIZED ({every}), last AS (SELECT * FROM every WHERE r = (SELECT max(r) FROM every))"
+
+
+def induced(where: str) -> str:
+    return with_(*ONE_ROUND, f"""
+        kept AS (SELECT module FROM modules1 WHERE {where}),
+        inner_flow AS (SELECT * FROM flow1 WHERE src IN (SELECT module FROM kept)
+                       AND dst IN (SELECT module FROM kept))""") + """
+        SELECT module, (SELECT count(*) FROM inner_flow WHERE src = module)
+            + (SELECT count(*) FROM inner_flow WHERE dst = module) AS degree FROM kept"""
+
 ORACLES: dict[str, str] = {
     "drop_self_loops": with_(CHAIN_ROWS) + "SELECT src, dst, weight FROM chain_rows WHERE src <> dst",
     "reverse_edges": with_(CHAIN_ROWS) + "SELECT dst AS src, src AS dst, weight FROM chain_rows",
@@ -370,6 +398,27 @@ ORACLES: dict[str, str] = {
                sum((o_orderkey % 1000) / 8.0)::DOUBLE AS weight, any_value(c_name) AS name
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "parquet_round_trip": with_(CHAIN_EDGES) + "SELECT src, dst, weight FROM edges",
+    "pair_merge_modules": with_(*NATION, PAIR_PARTS, pair_modules(PAIR_ROUNDS)) + f"SELECT id, module FROM at{PAIR_ROUNDS}",
+    "snapshots": with_(*NATION, PAIR_PARTS, pair_modules(3)) + " UNION ALL ".join(
+        f"SELECT {r}::INTEGER AS merges, id, module FROM at{r} WHERE (SELECT v FROM go{r})" for r in range(4)),
+    "run_vertices": with_(*CHAIN, search(True), final_modules())
+        + f"SELECT id, id::VARCHAR AS name, module FROM at{ROUNDS}" + ENDED,
+    "run_text_modules": with_(*CHAIN, search(True), last_modules()) + f"SELECT {MODULE_COLUMNS_8} FROM last" + ENDED,
+    "run_reduced_json": with_(*CHAIN, search(True), last_modules()) + f"""
+        SELECT module AS id, {r8('p', 'size')}, n AS count, module::VARCHAR AS name, module AS "group" FROM last""" + ENDED,
+    "induced_small": induced(SMALL),
+    "induced_singletons": induced("n = 1"),
+    "induced_large": induced("p > 0.001"),
+    "json_round_trip_nodes": with_(*CHAIN) + f"""
+        SELECT module AS id, {r8('p', 'size', 10)}, n AS count, module::VARCHAR AS name, module AS "group" FROM modules0""",
+    "parquet_round_trip_vertices": with_(CHAIN_EDGES, NODES) + "SELECT id, id::VARCHAR AS name, id AS module FROM nodes",
+    "pajek_lists": """
+        SELECT src, dst, sum(w)::DOUBLE AS weight FROM (
+            SELECT o_custkey + 1 AS src, unnest([o_orderkey % 97 + 1, 1]) AS dst, 1 AS w FROM orders) GROUP BY 1, 2""",
+    "pajek_implicit_vertices": """
+        SELECT i::BIGINT AS id, coalesce(n_name, i::VARCHAR) AS name, i::BIGINT AS module
+        FROM (SELECT unnest(range(1, max(greatest(o_custkey, o_orderkey % 97)) + 2)) AS i FROM orders)
+        LEFT JOIN nation ON n_nationkey + 1 = i""",
     "full_json_lines": with_(NATION_FLOW, NODES, """
         node_lines AS (
             SELECT id, size, 1 AS count, id::VARCHAR AS name, id AS g FROM (SELECT id, '1.0' AS size FROM nodes)

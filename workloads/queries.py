@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank, pair_merge
+from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank, pair_merge, read_graph, run
 from eddymap.operators import analysis, edges as edge_ops, merge, pairs
 from eddymap.operators.components import connected_components, label_edges
 from eddymap.operators.partition import (
     codelength_table, contract, contract_edges, contract_modules, relabel_nodes,
 )
 from eddymap.operators.walk import pagerank_step, prepare_walk, sparse_matvec, start_frequencies
+from eddymap.plans.pipeline import detect_communities
 from eddymap.sinks import (
     full_nodes, node_link_lines, reduced_nodes, vertex_lines, write_node_link, write_parquet,
 )
@@ -272,6 +274,46 @@ def pair_merge_nation(spark, sf_dir):
     return tidy(pair_merge(graph, part, store=store).trace)
 
 
+def pair_merge_modules(spark, sf_dir):
+    store, graph, part = _nations(spark, sf_dir)
+    found = detect_communities(graph, part, mode="pair", store=store)
+    return found.graph.vertices.select("id", "module")
+
+
+def snapshots(spark, sf_dir):
+    """Modules of every nation after each merge, as the search hands them out."""
+    store, graph, part = _nations(spark, sf_dir)
+    seen = []
+
+    def keep(number, state, _):
+        seen.append(store.cut(state.vertices.select(F.lit(number).alias("merges"), "id", "module"), "snapshot").df)
+    pair_merge(graph, part, max_merges=3, on_round=keep, store=store)
+    return reduce(DataFrame.unionByName, seen)
+
+
+def _ran(spark, sf_dir):
+    """The whole run with every output; returns where they are."""
+    store, graph = _chain(spark, sf_dir)
+    stem = f"{store.folder}/run"
+    run(graph, outputs={
+        "parquet": f"{stem}.parquet", "text": f"{stem}.csv", "vertices": f"{stem}-names.txt",
+        "reduced_json": f"{stem}-reduced.json"})
+    return stem
+
+
+def run_vertices(spark, sf_dir):
+    return spark.read.parquet(f"{_ran(spark, sf_dir)}-graph-vertices.parquet")
+
+
+def run_text_modules(spark, sf_dir):
+    path = f"{_ran(spark, sf_dir)}-part-vertices.csv"
+    return tidy(spark.read.schema("module bigint, n bigint, p double, w double, q double").csv(path))
+
+
+def run_reduced_json(spark, sf_dir):
+    return tidy(read_node_link(spark, f"{_ran(spark, sf_dir)}-reduced.json")[0])
+
+
 # --- statistics of a result ----------------------------------------------------------------------
 
 def component_sizes(spark, sf_dir):
@@ -306,6 +348,24 @@ def induced_subgraph(spark, sf_dir):
     return analysis.degrees(kept, inside)
 
 
+def _induced(spark, sf_dir, predicate):
+    _, _, part = _contracted(spark, sf_dir)
+    kept, inside = analysis.induced_subgraph(part.modules, part.links, predicate(part))
+    return analysis.degrees(kept, inside)
+
+
+def induced_small(spark, sf_dir):
+    return _induced(spark, sf_dir, lambda part: analysis.is_small(analysis.expected_share(part.modules)))
+
+
+def induced_singletons(spark, sf_dir):
+    return _induced(spark, sf_dir, lambda part: analysis.is_singleton())
+
+
+def induced_large(spark, sf_dir):
+    return _induced(spark, sf_dir, lambda part: F.col("p") > F.lit(0.001))
+
+
 # --- sinks and sources ---------------------------------------------------------------------------
 
 def full_json_nodes(spark, sf_dir):
@@ -386,6 +446,47 @@ def parquet_round_trip(spark, sf_dir):
     return tidy(read_parquet_graph(spark, manifest).edges)
 
 
+def json_round_trip_nodes(spark, sf_dir):
+    store, _, part = _started(spark, sf_dir)
+    path = f"{store.folder}/modules.json"
+    write_node_link(reduced_nodes(part), links_of(part.links), path)
+    return tidy(read_node_link(spark, path)[0], 10)
+
+
+def _pajek(spark, sf_dir):
+    """Orders as list sections, most vertices undeclared, read from text."""
+    store = Store(spark)
+    orders = views.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") + 1).alias("src"), (F.pmod(F.col("o_orderkey"), F.lit(97)) + 1).alias("dst"))
+    count = orders.agg(F.max(F.greatest("src", "dst"))).scalar()
+    named = views.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("bigint").alias("id"), "n_name")
+    one = spark.range(1)
+    lines = (
+        one.select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("key"), F.concat(F.lit("*vertices "), count.cast("string")).alias("value"))
+        .unionByName(named.select(F.lit(1).alias("part"), F.col("id").alias("key"), F.concat(F.col("id"), F.lit(' "'), "n_name", F.lit('"')).alias("value")))
+        .unionByName(one.select(F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("key"), F.lit("*Arcslist").alias("value")))
+        .unionByName(orders.select(F.lit(3).alias("part"), F.col("src").alias("key"), F.concat_ws(" ", "src", "dst", F.lit(1)).alias("value")))
+    )
+    path = f"{store.folder}/lists.net"
+    lines.orderBy("part", "key").select("value").write.text(path)
+    return read_graph(spark, path)
+
+
+def pajek_lists(spark, sf_dir):
+    return _pajek(spark, sf_dir).edges
+
+
+def pajek_implicit_vertices(spark, sf_dir):
+    return _pajek(spark, sf_dir).vertices
+
+
+def parquet_round_trip_vertices(spark, sf_dir):
+    store, graph, part = _started(spark, sf_dir)
+    stem = f"{store.folder}/saved"
+    write_parquet(graph, part, stem)
+    return spark.read.parquet(f"{stem}-graph-vertices")
+
+
 QUERIES: dict[str, Query] = {
     "drop_self_loops": drop_self_loops,
     "reverse_edges": reverse_edges,
@@ -435,4 +536,16 @@ QUERIES: dict[str, Query] = {
     "json_round_trip": json_round_trip,
     "pajek_round_trip": pajek_round_trip,
     "parquet_round_trip": parquet_round_trip,
+    "pair_merge_modules": pair_merge_modules,
+    "snapshots": snapshots,
+    "run_vertices": run_vertices,
+    "run_text_modules": run_text_modules,
+    "run_reduced_json": run_reduced_json,
+    "induced_small": induced_small,
+    "induced_singletons": induced_singletons,
+    "induced_large": induced_large,
+    "json_round_trip_nodes": json_round_trip_nodes,
+    "parquet_round_trip_vertices": parquet_round_trip_vertices,
+    "pajek_lists": pajek_lists,
+    "pajek_implicit_vertices": pajek_implicit_vertices,
 }
