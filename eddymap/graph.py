@@ -79,6 +79,17 @@ def check_endpoints(graph: Graph) -> None:
         raise ValueError(f"edge endpoint {stray.id} is not in the vertex table")
 
 
+def without_stray_edges(graph: Graph) -> Graph:
+    """The graph without the edges that leave the vertex table."""
+    known = graph.vertices.select("id")
+    links = (
+        graph.edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi")
+        .join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        .select("src", "dst", "weight")
+    )
+    return Graph(graph.vertices, links)
+
+
 def graph_from_tables(vertices: DataFrame, edges: DataFrame, strict: bool | None = True) -> Graph:
     """Build a graph from two tables, taken by position and cast.
 
@@ -98,14 +109,9 @@ def graph_from_tables(vertices: DataFrame, edges: DataFrame, strict: bool | None
         F.col(dst).cast("bigint").alias("dst"),
         F.col(weight).cast("double").alias("weight"),
     ))
-    if strict is False:
-        known = nodes.select("id")
-        links = (
-            links.join(known.withColumnRenamed("id", "src"), "src", "left_semi")
-            .join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            .select("src", "dst", "weight")
-        )
     graph = Graph(nodes, links)
+    if strict is False:
+        return without_stray_edges(graph)
     if strict:
         check_endpoints(graph)
     return graph
