@@ -15,6 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_local_folders: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for cut tables: the session's setting, or a fresh one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,9 +25,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="eddymap-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # One process runs everything: a temporary folder of its own serves, and the session is left alone.
+    name = spark.sparkContext.applicationId
+    if name not in _local_folders:
+        _local_folders[name] = tempfile.mkdtemp(prefix="eddymap-")
+    return _local_folders[name]
 
 
 @dataclass
