@@ -229,6 +229,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)] if out
                                              else [pa.array([], t.type) for t in schema], schema=schema)
 
+    # A row that repeats yields its segments again; the shards skip these.
     owner_bits = _some(tasks.select(F.col("of_key")), "of_key", bits)
 
     def keyed(table: np.ndarray):
@@ -240,7 +241,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = "doc_id long, text string, key long"
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
     pieces = cut(
-        rows.mapInArrow(keyed(owner_bits), schema).dropDuplicates(["doc_id", "key"]).join(tasks, same).select("text", "wanted")
+        rows.mapInArrow(keyed(owner_bits), schema).join(tasks, same).select("text", "wanted")
         .mapInArrow(cut_out, "anchor long, part long, times long, codes binary, of_anchor long, of_part long, start int"), "repeat-pieces")
     lone = pieces.filter("of_anchor IS NOT NULL")
     dealt = pieces.filter("of_anchor IS NULL").select("anchor", "part", "times", "codes").unionByName(
@@ -263,13 +264,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if held_:
                         yield done(held_)
                     now, held_ = number, []
-                held_.append(tuple(row))
+                if not held_ or held_[-1][:2] != tuple(row[:2]):  # once, however often its owner's row repeats
+                    held_.append(tuple(row))
         if held_:
             yield done(held_)
 
     located = cut(
         dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        .repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "anchor")
+        .repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "anchor", "part")
         .select("shard", "anchor", "part", "times", "codes")
         .mapInArrow(stream, "anchor long, part long, low array<int>, high array<int>"), "repeat-located")
     back = lone.select("anchor", "of_anchor", "of_part", "start").join(located.select("anchor"), "anchor").groupBy(
@@ -302,9 +304,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(kept, pa.string())], names=["of_id", "of_key", "n_removed", "stripped", "kept"])
 
     stripped = (
-        rows.mapInArrow(keyed(hit_bits), schema).dropDuplicates(["doc_id", "key"]).join(hit, same)
-        .select("doc_id", "key", "text", "runs")
+        rows.mapInArrow(keyed(hit_bits), schema).join(hit, same).select("doc_id", "key", "text", "runs")
         .mapInArrow(strip, "of_id long, of_key long, n_removed long, stripped string, kept string")
+        .dropDuplicates(["of_id", "of_key"])
     )
     told = marks.select("doc_id", "key", "n_words", "digest").join(stripped, same, "left")
     columns = [F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
