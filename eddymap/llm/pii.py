@@ -9,7 +9,10 @@ a fixed number at most, and the trees become one SQL expression.  A threshold pe
 on the same counts, selects what is redacted; base spans always are.
 
 The labels of the cells are weak: a base match that passes its checks is personal data, one that
-fails them is not.  The features do not repeat those checks.
+fails them is not.  The features do not repeat those checks.  For the generators, base matches that
+pass also stand in masked forms, phones without their ``+`` and e-mails without their ``@``; pieces of
+longer tokens, failed dotted quads and failed card numbers are no personal data.  All else that they
+propose has no label.
 """
 
 from __future__ import annotations
@@ -32,15 +35,21 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GENERATED = {
-    "number": r"(?<![0-9+])[0-9(][0-9\x20().-]{5,20}+(?<=[0-9])",
+    # One grouped number, or else any digits with at most three marks between two of them; ends on a digit.
+    "number": r"(?<![0-9+])(?:(?:[0-9]{1,2}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+              r"|[0-9(](?:[\x20().-]{0,3}+[0-9]){5,19}(?![0-9]))",
     "contact": rf"(?<![{LOCAL}])[{LOCAL}]++\x20?(?:\(at\)|\[at\]|at)\x20?[{DOMAIN}]++(?:\x20?(?:\(dot\)|\[dot\]|dot)\x20?[{DOMAIN}]++)++",
 }
 KINDS = (*BASE, *GENERATED)
 #: A text without this cannot hold a match.
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){6}", "phone": "[+][0-9]",
-          "number": r"[0-9][0-9\x20().-]{5}", "contact": r"(?:[(\[]dot|\x20dot\x20)"}
+          "number": r"[0-9(][0-9\x20().-]{6}", "contact": r"(?:[(\[]dot|\x20dot\x20)"}
 CUES = "(?i)(?:call|tel|phone|fax|mobile|mail|contact|card|visa|account|address|host|from)"
-LEVELS = {"kind": 6, "digits": 6, "marks": 4, "variety": 3, "left": 4, "right": 4, "cue": 2}
+#: Digits grouped as in phone numbers; obfuscated addresses by their brackets or a common last name.
+GROUPED = r"^(?:[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}$"
+BRACKETED, COMMON_END = r"[(\[](?:at|dot)[)\]]", r"(?i)(?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu)$"
+LONGEST_NUMBER = 21
+LEVELS = {"kind": 6, "digits": 6, "marks": 4, "variety": 3, "left": 4, "right": 4, "cue": 2, "shape": 3}
 _CANDIDATE = "array<struct<kind: int, start: int, stop: int, passed: boolean, " + ", ".join(
     f"{f}: int" for f in list(LEVELS)[1:]) + ">>"
 
@@ -77,6 +86,13 @@ def _beside(char: Column) -> Column:
             .when(char.rlike(r"^[\p{L}_]"), 2).otherwise(1))
 
 
+def _shape(kind: str, hit: Column) -> Column:
+    """0 nothing known, 1 grouped digits or an address in words with a common end, 2 an address with brackets."""
+    if kind == "contact":
+        return F.when(hit.rlike(BRACKETED), 2).when(hit.rlike(COMMON_END), 1).otherwise(0)
+    return F.when(hit.rlike(GROUPED), 1).otherwise(0)
+
+
 def _found(text: Column, kind: str) -> Column:
     """Candidates of one kind in a text, in order, with their features.
 
@@ -86,8 +102,7 @@ def _found(text: Column, kind: str) -> Column:
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                         lambda before, hit: F.struct(before.alias("before"), hit.alias("hit")))
 
-    def described(start: Column, hit: Column) -> Column:
-        stop = start + F.length(hit)
+    def described(start: Column, stop: Column, hit: Column, kind: str = kind, shape: int | None = None) -> Column:
         digits = F.regexp_replace(hit, "[^0-9]", "")
         before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
         left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
@@ -98,21 +113,40 @@ def _found(text: Column, kind: str) -> Column:
             _bucket(F.length(hit) - F.length(digits), 1, 2, 4).alias("marks"),
             _bucket(F.size(F.array_distinct(F.split(digits, ""))), 3, 7).alias("variety"),
             _beside(left).alias("left"), _beside(F.substring(text, stop + 1, F.lit(1))).alias("right"),
-            before.rlike(CUES).cast("int").alias("cue"))
+            before.rlike(CUES).cast("int").alias("cue"), (_shape(kind, hit) if shape is None else F.lit(shape)).alias("shape"))
+
+    def forms(start: Column, hit: Column) -> Column:
+        """The candidate, and masked forms of a base span that passes; these overlap it, so they are never selected."""
+        stop = start + F.length(hit)
+        own = described(start, stop, hit)
+        if kind == "phone":
+            home = F.regexp_replace(hit, r"^\+(?:[0-9]{1,3}[\x20.-]+(?=[0-9(]))?", "")
+            dashed = F.regexp_replace(F.regexp_replace(home, r"\(", ""), r"[)\x20.-]+", "-")
+            masked = [described(start, stop, x, "number") for x in (F.regexp_replace(hit, r"^\+", ""), home, dashed)]
+        elif kind == "email":
+            masked = [described(start, stop, hit, "contact", 2), described(start, stop, hit, "contact")]
+        else:
+            return F.array(own)
+        return F.when(own["passed"], F.array(own, *masked)).otherwise(F.array(own))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["before"])
         plausible = F.length(x["hit"]) >= 7 if kind != "email" else F.lit(True)
+        if kind == "number":
+            plausible = F.length(x["hit"]).between(7, LONGEST_NUMBER)
         return F.when(x["hit"].isNull(), state).otherwise(F.struct(
             (start + F.length(x["hit"])).alias("at"),
-            F.when(plausible, F.array_append(state["spans"], described(start, x["hit"]))).otherwise(state["spans"]).alias("spans")))
+            F.when(plausible, F.concat(state["spans"], forms(start, x["hit"]))).otherwise(state["spans"]).alias("spans")))
 
     spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_CANDIDATE).alias("spans")), step)["spans"]
     return F.when(text.rlike(NEEDED[kind]), spans).otherwise(F.array().cast(_CANDIDATE))
 
 
 def candidates(text: Column) -> Column:
-    """All candidates of a text: an array of kind, start, stop, whether base checks pass, and features."""
+    """All candidates of a text: an array of kind, start, stop, whether base checks pass, and features.
+
+    Masked forms of base spans are among them, for ``fit``.
+    """
     return F.concat(*[_found(text, kind) for kind in KINDS])
 
 
@@ -134,7 +168,7 @@ def _tree(cells: list[tuple], grads: list[float], hesses: list[float]) -> tuple:
         if depth == 0 or len(rows) < 2:
             return 0.3 * value(rows)
         found = (1e-6, None)
-        for f, name in enumerate(names):
+        for f, name in enumerate(names[:len(cells[0])]):
             sums = [[0.0, 0.0] for _ in range(LEVELS[name])]
             for i in rows:
                 sums[cells[i][f]][0] += grads[i]
@@ -206,17 +240,24 @@ class Redactor:
 def fit(candidate_rows: DataFrame, precision: float = 0.9) -> Redactor:
     """Boost on all candidates of a table with a column ``found`` (see ``candidates``).
 
-    The driver receives one row per distinct feature vector: at most the product of ``LEVELS``, 13,824.
-    A generated candidate takes the label of the base match it overlaps, if any.  The floor of a kind
-    is the lowest score above which at least ``precision`` of the labelled candidates are good;
-    a kind without labels takes the floor of all.
+    The driver receives one row per distinct feature vector: at most the product of ``LEVELS``, 41,472.
+    The floor of a kind is the lowest score above which at least ``precision`` of the labelled candidates
+    are good; a kind without labels takes the floor of all.  As masked forms are counted but never added,
+    a generated candidate must also be good by itself with a chance of ``precision``.
     """
+    kind = {k: i for i, k in enumerate(KINDS)}
+
     def weak(found: Column) -> Column:
         base = F.filter(found, lambda c: c["kind"] < len(BASE))
 
         def label(c: Column) -> Column:
             near = F.filter(base, lambda b: _overlaps(b, c))
-            return F.when(F.size(near) > 0, F.exists(near, lambda b: b["passed"]))
+            masks = F.when(c["kind"] == kind["number"], kind["phone"]).otherwise(kind["email"])
+            # A card match of another length than a card's says nothing about the number it is.
+            refuted = F.exists(near, lambda b: ~b["passed"] & (
+                (b["kind"] == kind["ip"]) | ((b["kind"] == kind["card"]) & b["digits"].between(3, 4))))
+            odd = (c["left"] >= 2) | (c["right"] >= 2) | ((c["kind"] == kind["contact"]) & (c["shape"] == 0))
+            return F.when(F.exists(near, lambda b: b["passed"] & (b["kind"] == masks)), True).when(refuted | odd, False)
 
         return F.transform(found, lambda c: F.struct(c.alias("c"), F.when(
             c["kind"] < len(BASE), c["passed"]).otherwise(label(c)).alias("label")))
@@ -244,7 +285,9 @@ def fit(candidate_rows: DataFrame, precision: float = 0.9) -> Redactor:
         return least
 
     labelled = {c[0] for c in cells}
-    return Redactor(trees, {k: floor(k if k in labelled else None) for k in range(len(KINDS))})
+    floors = {k: floor(k if k in labelled else None) for k in range(len(KINDS))}
+    sure = math.log(precision / (1 - precision)) if precision < 1 else math.inf
+    return Redactor(trees, {k: max(least, sure) if k >= len(BASE) else least for k, least in floors.items()})
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

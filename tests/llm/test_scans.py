@@ -103,3 +103,28 @@ def test_personal_data_of_odd_and_empty_tables(odd_docs, empty_docs):
     assert pii.find_personal_data(empty_docs).collect() == []
     kept = pii.redact(odd_docs, pii.Redactor([], {}))
     assert sorted(map(str, kept.collect())) == sorted(map(str, odd_docs.collect()))
+
+
+def test_generators_end_on_a_digit(docs):
+    rows = list(enumerate(["555-123-4567 now", "555-123-4567.", "123-45-6789 is", "call (555) 123-4567", "555-123-4567 555-987-6543",
+                           "1-555-123-4567)", "1" * 40, f"{'4' * 16} {'5' * 16}"]))
+    found = docs(rows).select("doc_id", F.explode(pii.candidates(F.col("text"))).alias("c")).filter(f"c.kind = {pii.KINDS.index('number')}")
+    spans = {i: sorted(r["c"]["start"] for r in found.collect() if r["doc_id"] == i) for i, _ in rows}
+    stops = {i: sorted(r["c"]["stop"] for r in found.collect() if r["doc_id"] == i) for i, _ in rows}
+    assert spans == {0: [0], 1: [0], 2: [0], 3: [5], 4: [0, 13], 5: [0], 6: [], 7: [0, 17]}
+    assert stops == {0: [12], 1: [12], 2: [11], 3: [19], 4: [12, 25], 5: [14], 6: [], 7: [16, 33]}
+
+
+def test_local_phones_and_obfuscated_addresses_are_added(docs):
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choices(string.digits, k=k))
+    rows = [(i, f"the +1 ({n(3)}) 555-{n(4)} and name.{n(2)}@mail{n(1)}.example.com rest") for i in range(60)]
+    rows += [(100 + i, f"an {n(16)} of ab{n(8)}cd and 300.{n(2)}.{n(2)}.{n(2)} rest") for i in range(60)]
+    rows += [(200 + i, f"so 555-{n(3)}-{n(4)} now") for i in range(20)] + [(300 + i, f"so (555) {n(3)}-{n(4)}.") for i in range(20)]
+    rows += [(400, "write john.doe [at] example [dot] org now"), (401, "write jane at example dot com now"),
+             (402, "look at the dot product now"), (403, "token 1234567890ab")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs(rows)).collect()}
+    assert all(found[200 + i] == "number:3:15" for i in range(20))
+    assert all(found[300 + i] == "number:3:17" for i in range(20))
+    assert found[400] == "contact:6:37" and found[401] == "contact:6:29" and found[402] == found[403] == ""
+    assert not any("number" in found[100 + i] for i in range(60))
