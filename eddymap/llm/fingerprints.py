@@ -4,14 +4,16 @@
 text.  Two lookups and one multiplication give the hash of any span, so equality of spans takes
 constant time and the longest common extension of two positions a binary search.
 
-A fingerprint is the text's length and the hashes of its beginnings and endings at a fixed grid of
-lengths that grow by a quarter.  Two fingerprints share the grid, so a binary search finds the longest
-beginning and ending they agree on; their likeness is the share of the longer text this covers.
+A fingerprint is the text's length, the hashes of its beginnings and endings at a fixed grid of
+lengths that grow by a quarter, and those of the spans that its content cuts it into.  Two fingerprints
+share the grid, so a binary search finds the longest beginning and ending they agree on; between these
+count the spans that both have.  Their likeness is the share of the longer text this covers.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,9 @@ from eddymap.llm.common import bounded_batches, rows_of
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_013)
+#: A text is cut behind a window of ``WINDOW`` code points whose hash is a multiple of ``EVERY``; all
+#: spans but the last have from ``WINDOW`` to ``LONGEST`` code points.
+WINDOW, EVERY, LONGEST = 16, 32, 256
 
 
 def grid(limit: int) -> list[int]:
@@ -78,6 +83,19 @@ class Prefix:
         cls._inverses[which] = have
         return have
 
+    def cuts(self) -> list[int]:
+        """Where content cuts the text, from 0 to its end."""
+        ends = np.arange(WINDOW, self.n + 1)
+        prime, inverse = PRIMES[0], self._inverse(0, self.n)
+        hashes = (self.sums[0][ends] - self.sums[0][:len(ends)]) % prime * inverse[:len(ends)] % prime
+        out = [0]
+        for end in [*ends[hashes % EVERY == 0].tolist(), self.n]:
+            while end - out[-1] > LONGEST:
+                out.append(out[-1] + LONGEST)
+            if end - out[-1] >= WINDOW or out[-1] < end == self.n:
+                out.append(end)
+        return out
+
     def equal(self, start: int, other: Prefix, other_start: int, length: int) -> bool:
         return int(self.span(start, start + length)) == int(other.span(other_start, other_start + length))
 
@@ -91,7 +109,7 @@ class Prefix:
 
 
 class Fingerprint:
-    """Length, and span hashes of beginnings and endings at the grid."""
+    """Length, span hashes of beginnings and endings at the grid, and of the spans between cuts."""
 
     def __init__(self, text: str):
         at = np.array(grid(len(text)), np.int64)
@@ -101,26 +119,36 @@ class Fingerprint:
         low = (1 << 32) - 1
         self.heads = prefix.span(np.zeros_like(at), at) & low
         self.tails = prefix.span(self.n - at, np.full_like(at, self.n)) & low
+        self.cuts = np.array(prefix.cuts(), np.int64)
+        self.spans = prefix.span(self.cuts[:-1], self.cuts[1:]) & low
+
+    def between(self, start: int, stop: int) -> Counter:
+        """How often each (length, hash) occurs among the spans inside ``start..stop``."""
+        a, b = np.searchsorted(self.cuts, start), np.searchsorted(self.cuts, stop, "right")
+        return Counter(zip(np.diff(self.cuts[a:b]).tolist(), self.spans[a:max(b - 1, a)].tolist()))
 
     def __str__(self) -> str:
-        return f"{self.n:x}.{self.whole:x}.{self.heads.astype('>u4').tobytes().hex()}.{self.tails.astype('>u4').tobytes().hex()}"
+        return ".".join([f"{self.n:x}", f"{self.whole:x}", *(x.astype(t).tobytes().hex() for x, t in (
+            (self.heads, ">u4"), (self.tails, ">u4"), (np.diff(self.cuts), ">u2"), (self.spans, ">u4")))])
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Share of the longer text that the longest agreeing beginning and ending on the grid cover."""
+    """Share of the longer text that both have: beginning and ending on the grid, and spans between them."""
     if a.n == b.n and a.whole == b.whole:
         return 1.0
     if not a.n or not b.n:
         return 0.0
     lengths = grid(min(a.n, b.n))
-    covered = 0
+    covered = []
     for mine, theirs in ((a.heads, b.heads), (a.tails, b.tails)):
         low, high = 0, len(lengths)
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if mine[middle - 1] == theirs[middle - 1] else (low, middle - 1)
-        covered += lengths[low - 1] if low else 0
-    return min(covered, min(a.n, b.n)) / max(a.n, b.n)
+        covered.append(lengths[low - 1] if low else 0)
+    head, tail = covered
+    shared = a.between(head, a.n - tail) & b.between(head, b.n - tail)
+    return min(head + tail + sum(length * times for (length, _), times in shared.items()), min(a.n, b.n)) / max(a.n, b.n)
 
 
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
