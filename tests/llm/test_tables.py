@@ -101,3 +101,16 @@ def test_pipeline_stages(spark):
     assert docs.filter("text like '%@mail%.example.com%'").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == seen[3][0] and last.filter(F.col("n_pieces") == 0).count() == docs.filter("text = ''").count()
+
+
+def test_pipeline_joins_near_copies_and_null_ids(spark, docs):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(50)]
+    base, near = " ".join(words), " ".join([*words[:25], "other", *words[26:]])  # 41 of 51 five-word shingles, 43 of 51 of four
+    rows = [(1, base), (2, near), (3, "quite another text of six words"), (None, base), (None, near), (None, "only under null ids here"),
+            (None, "only under null ids here"), (4, ""), (5, None), (None, ""), (None, "")]
+    left = corpus_pipeline.one_of_each_group(spark, docs(rows), "")
+    assert left.columns == ["doc_id", "text", "source"]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [
+        (1, base), (3, rows[2][1]), (4, ""), (5, None), (None, "only under null ids here"), (None, "")]))
