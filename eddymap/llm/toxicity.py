@@ -25,9 +25,10 @@ from eddymap.llm.common import bounded_batches, rows_of
 
 LENGTH, DECAY = 4, 0.7
 WIDTH = 24  # longer words are seen through overlapping windows of this many characters
-LEAST = 0.25  # smaller kernel values count as 0
-POWERS = (1, 4)  # a normalised kernel's powers are kernels: one forgives changes, one tells near words apart
+POWERS = (4,)  # a normalised kernel's powers are kernels; higher ones tell near words apart
 _EDGE = re.compile(r"^\W+|\W+$")
+_INNER = re.compile(r"[\W\d_]+")
+_SIGNS = str.maketrans("0134578@$!", "oieastbasi")  # signs written for letters; 1 stands for i or l
 _SPELT = re.compile(r"(?<!\S)(?:\S )+\S(?!\S)")
 
 
@@ -103,7 +104,7 @@ class Landmarks:
         self.needed = [max(LENGTH, -(-len(w) * 6 // 10)) for w in words]
 
     def values(self, words: list[str]) -> dict[int, dict[int, float]]:
-        """For the words with anything in common: landmark number -> kernel value of at least ``LEAST``."""
+        """For the words with anything in common: landmark number -> kernel value."""
         if not self.words or not words:
             return {}
         rows = codes(words)[:, :max(1, max(map(len, words)))]
@@ -116,11 +117,19 @@ class Landmarks:
         width = max(map(len, self.words))
         value = kernel(rows[at], self.rows[mark, :width]) / np.sqrt(_own(rows[once])[of] * self.own[mark])
         found: dict[int, dict[int, float]] = {}
-        for i in np.flatnonzero(value >= LEAST).tolist():
+        for i in range(len(at)):
             found.setdefault(int(at[i]), {})[int(mark[i])] = float(value[i])
         return found
 
 
+def forms(bare: str) -> list[str]:
+    """A word, and what it reads as without inner signs and with signs taken for letters."""
+    if not _INNER.search(bare):
+        return [bare]
+    signs = bare.translate(_SIGNS)
+    return list(dict.fromkeys([bare, *(_INNER.sub("", x) for x in (bare, signs, bare.replace("1", "l").translate(_SIGNS)))]))
+
+
 class Memo:
     """Kernel values of words met so far; emptied when it holds ``limit`` words."""
 
@@ -139,12 +148,13 @@ class Memo:
                 continue
             known[word] = None
             bare = _EDGE.sub("", word)
-            if len(bare) < LENGTH:
-                continue
-            parts = [bare] if len(bare) <= WIDTH else [bare[a:a + WIDTH] for a in range(0, len(bare) - WIDTH // 2, WIDTH // 2)]
-            size = -(-len(bare) // 3) if len(bare) <= WIDTH else 0
-            units.setdefault(size, []).extend(parts)
-            of.setdefault(size, []).extend([word] * len(parts))
+            for form in forms(bare):
+                if len(form) < LENGTH:
+                    continue
+                parts = [form] if len(form) <= WIDTH else [form[a:a + WIDTH] for a in range(0, len(form) - WIDTH // 2, WIDTH // 2)]
+                size = -(-len(form) // 3) if len(form) <= WIDTH else 0
+                units.setdefault(size, []).extend(parts)
+                of.setdefault(size, []).extend([word] * len(parts))
         for size, group in units.items():
             for start in range(0, len(group), 20_000):
                 for u, values in self.landmarks.values(group[start:start + 20_000]).items():
@@ -277,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for start in range(0, len(texts), 500):
                 split = [document_words(t) for t in texts[start:start + 500]]
                 memo.learn(set().union(*split))
-                bags += [[sorted(s.items()) for s in sentences(w, memo.known)][:50] for w in split]
+                bags += [[sorted(s.items()) for s in sentences(w, memo.known)] for w in split]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(
                 [[[{"k": k, "v": v} for k, v in s] for s in bag] for bag in bags],
                 pa.list_(pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float64())]))))], names=["label", "bag"])

@@ -39,6 +39,21 @@ def test_fingerprints_of_edited_texts(docs):
     assert all(0.3 < r["near_edited"] <= 1 and 0 <= r["near_next"] < r["near_edited"] for r in long)
 
 
+def test_likeness_sees_the_inside():
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefg hijklmé😀") for _ in range(n))
+    near = lambda a, b: fingerprints.likeness(fingerprints.Fingerprint(a), fingerprints.Fingerprint(b))
+    body = text(8000)
+    assert near("One title\n" + body + "\nfoot", "Another heading\n" + body + "\nthe end") > 0.95
+    assert near(body, body[:3000] + "#" + body[3001:]) > 0.95
+    assert near(body, text(8000)) < 0.05 and near("x" * 5000, "y" + "x" * 5000 + "y") > 0.9
+    for n in (0, 1, 15, 16, 17, 400, 5000):
+        for made in (text(n), "x" * n):
+            found = fingerprints.Fingerprint(made)
+            sizes = np.diff(found.cuts)
+            assert sizes.sum() == n and (sizes <= fingerprints.LONGEST).all() and (sizes[:-1] >= fingerprints.WINDOW).all()
+
+
 def test_fingerprints_of_odd_and_empty_tables(odd_docs, empty_docs):
     found = fingerprints.fingerprint_documents(odd_docs).collect()
     assert len(found) == 9 and all(0 <= r["near_next"] <= 1 for r in found)
@@ -171,3 +186,22 @@ def test_toxicity_holds_out_and_forgives_insertions(spark, docs, odd_docs, empty
     assert toxicity.score_documents(odd_docs, model).filter("predicted = 0").count() == 9
     nothing = toxicity.fit(empty_docs, labels)
     assert toxicity.score_documents(empty_docs, nothing).collect() == []
+
+
+def test_toxicity_reads_altered_insults(spark, docs):
+    rng = random.Random(3)
+    common = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        words = rng.choices(common, k=30)
+        if i % 4 == 0:
+            words[rng.randrange(30)] = rng.choice(["blockhead", "idiot", "foolzwump"])
+        rows.append((i, " ".join(words) + "."))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(rows), labels)
+    tried = ["an i-d-i-o-t here", "an id1ot here", "a bl-ockhead here", "a b-l-o-c-k-h-e-a-d", "an idi.ot", "plain words only", "a rainy-tin inter-state"]
+    memo = toxicity.Memo(toxicity.Landmarks(model.landmarks))
+    scores = toxicity._scores(memo, model, tried)
+    assert min(scores[:5]) >= 0.5 and max(scores[5:]) < 0.5
+    values = toxicity.Landmarks(["idiot"]).values(["i-d-i-o-t", "id1ot"])
+    assert 0.05 < values[0][0] < 0.1 and 0.1 < values[1][0] < 0.2
