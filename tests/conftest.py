@@ -47,8 +47,3 @@ def text_file(tmp_path):
         path.write_bytes(text.encode("latin-1"))
         return str(path)
     return write
-
-
-def rows(df, *order):
-    """All rows as plain tuples in a fixed order."""
-    return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]

@@ -5,7 +5,7 @@ import os
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank
 from eddymap.functions.flow_math import plogp_value

@@ -5,7 +5,7 @@ import json
 import os
 
 import networks
-from conftest import rows
+from helpers import rows
 
 from eddymap import Graph, init_partition, pair_merge, read_pajek, run
 from eddymap.graph import EDGE_SCHEMA, VERTEX_SCHEMA

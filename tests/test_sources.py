@@ -4,7 +4,7 @@ import json
 
 import networks
 import pytest
-from conftest import rows
+from helpers import rows
 
 from eddymap import graph_from_tables, read_graph, read_pajek, read_parquet_graph
 from eddymap.sources import PajekError, read_node_link

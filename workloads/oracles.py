@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from workloads.queries import ABROAD
 from workloads.views import (
-    CHAIN_EDGES, CHAIN_ROWS, CUSTOMER_SUPPLIER, NATION_FLOW,
+    CHAIN_EDGES, CHAIN_ROWS, CUSTOMER_SUPPLIER, NATION_FLOW, ORDER_RUNS, market_sql,
 )
 
 TELE, FACTOR, TIES = 0.15, 20.0, 1e-12
@@ -196,6 +197,9 @@ CHAIN = (CHAIN_EDGES, NODES, OPEN_LINKS, CONVERGED, START)
 NATION = (NATION_FLOW, NODES, OPEN_LINKS, CONVERGED, START)
 BIPARTITE = (CUSTOMER_SUPPLIER, NODES, ALL_LINKS)
 ONE_ROUND = (*CHAIN, round_(0))
+RUNS = (ORDER_RUNS, OPEN_LINKS, CONVERGED, START)
+MARKETS = (market_sql(), NODES, OPEN_LINKS, CONVERGED, START)
+WIDE_MARKETS = (market_sql(ABROAD), NODES, OPEN_LINKS, CONVERGED, START)
 
 MODULE_COLUMNS = ", ".join(["module", "n", *[r8(c, c, 10) for c in "pwq"]])
 MODULE_COLUMNS_8 = ", ".join(["module", "n", *[r8(c, c) for c in "pwq"]])
@@ -289,6 +293,23 @@ def induced(where: str) -> str:
         SELECT module, (SELECT count(*) FROM inner_flow WHERE src = module)
             + (SELECT count(*) FROM inner_flow WHERE dst = module) AS degree FROM kept"""
 
+
+def module_stats(*parts: str) -> str:
+    return with_(*parts, MODULE_LABELS, f"""
+    k AS (SELECT n, p, n = 1 AS one, {SMALL} AS small, {SIGNIFICANT} AS big FROM modules1),
+    s AS (SELECT count(*) AS modules, count(*) FILTER (one) AS singletons,
+                 count(*) FILTER (small) AS small, count(*) FILTER (one OR small) AS insignificant,
+                 count(*) FILTER (big) AS significant, avg(n) FILTER (big) AS mean_nodes,
+                 avg(p) FILTER (big) AS mean_frequency,
+                 coalesce(sum(p) FILTER (big), 0) AS total_frequency,
+                 (SELECT count(DISTINCT label) FROM labelled) AS components FROM k)""") + f"""
+    SELECT modules, singletons, small, insignificant, significant, {r8('mean_nodes', 'mean_nodes')},
+           {r8('mean_frequency', 'mean_frequency')}, {r8('total_frequency', 'total_frequency')},
+           {r8('insignificant::DOUBLE / significant', 'insignificant_per_significant')}, components,
+           {r8('(modules - insignificant)::DOUBLE / components', 'significant_per_component')}
+    FROM s"""
+
+
 ORACLES: dict[str, str] = {
     "drop_self_loops": with_(CHAIN_ROWS) + "SELECT src, dst, weight FROM chain_rows WHERE src <> dst",
     "reverse_edges": with_(CHAIN_ROWS) + "SELECT dst AS src, src AS dst, weight FROM chain_rows",
@@ -355,19 +376,7 @@ ORACLES: dict[str, str] = {
     "pair_merge_nation": with_(*NATION, PAIR_PARTS) + PAIR_ROWS,
     "component_sizes": with_(*ONE_ROUND, MODULE_LABELS)
         + "SELECT label, count(*) AS modules FROM labelled GROUP BY label",
-    "module_stats": with_(*ONE_ROUND, MODULE_LABELS, f"""
-        k AS (SELECT n, p, n = 1 AS one, {SMALL} AS small, {SIGNIFICANT} AS big FROM modules1),
-        s AS (SELECT count(*) AS modules, count(*) FILTER (one) AS singletons,
-                     count(*) FILTER (small) AS small, count(*) FILTER (one OR small) AS insignificant,
-                     count(*) FILTER (big) AS significant, avg(n) FILTER (big) AS mean_nodes,
-                     avg(p) FILTER (big) AS mean_frequency,
-                     coalesce(sum(p) FILTER (big), 0) AS total_frequency,
-                     (SELECT count(DISTINCT label) FROM labelled) AS components FROM k)""") + f"""
-        SELECT modules, singletons, small, insignificant, significant, {r8('mean_nodes', 'mean_nodes')},
-               {r8('mean_frequency', 'mean_frequency')}, {r8('total_frequency', 'total_frequency')},
-               {r8('insignificant::DOUBLE / significant', 'insignificant_per_significant')}, components,
-               {r8('(modules - insignificant)::DOUBLE / components', 'significant_per_component')}
-        FROM s""",
+    "module_stats": module_stats(*ONE_ROUND),
     "degree": with_(*ONE_ROUND) + """
         SELECT module, (SELECT count(*) FROM flow1 WHERE src = module)
             + (SELECT count(*) FROM flow1 WHERE dst = module) AS degree FROM modules1""",
@@ -432,4 +441,18 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT chr(9) || chr(9) || '{"source": "' || src || '", "target": "' || dst || '", "value": "'
             || weight::VARCHAR || '"}' || CASE WHEN back = 1 THEN '' ELSE ',' END
         FROM link_rows""",
+    "run_components": with_(ORDER_RUNS, components("cc", "edges")) + "SELECT id, label FROM cc",
+    "run_label_edges": with_(ORDER_RUNS, components("cc", "edges"))
+        + "SELECT e.src, e.dst, c.label FROM edges e JOIN cc c ON c.id = e.src",
+    "run_component_sizes": with_(ORDER_RUNS, components("cc", "edges")) + """
+        SELECT coalesce(c.label, n.id) AS label, count(*) AS modules
+        FROM nodes n LEFT JOIN cc c ON c.id = n.id GROUP BY 1""",
+    "run_singletons": with_(*RUNS, round_(0)) + "SELECT module, 0::BIGINT AS degree FROM modules1 WHERE n = 1",
+    "market_component_sizes": with_(*MARKETS, round_(0), MODULE_LABELS)
+        + "SELECT label, count(*) AS modules FROM labelled GROUP BY label",
+    "market_module_stats": module_stats(*MARKETS, round_(0)),
+    "market_merge_asym": with_(*WIDE_MARKETS, search(False), final_modules())
+        + f"SELECT id, module FROM at{ROUNDS}" + ENDED,
+    "market_trace_asym": with_(*WIDE_MARKETS, search(False)) + f"SELECT * FROM ({multi_trace()})" + ENDED,
+    "market_trace_sym": with_(*WIDE_MARKETS, search(True)) + f"SELECT * FROM ({multi_trace()})" + ENDED,
 }

@@ -366,6 +366,86 @@ def induced_large(spark, sf_dir):
     return _induced(spark, sf_dir, lambda part: F.col("p") > F.lit(0.001))
 
 
+# --- graphs with many components, and with directed blocks ---------------------------------------
+
+def _runs(spark, sf_dir):
+    """The forest of order runs; an order without a near successor or predecessor stands alone."""
+    store = Store(spark)
+    edges = store.cut(views.order_runs(spark, sf_dir), "edges").df
+    everyone = views.table(spark, sf_dir, "orders").select("o_orderkey")
+    return store, graph_from_tables(everyone, edges, strict=None)
+
+
+def _markets(spark, sf_dir, abroad=0.0):
+    store = Store(spark)
+    graph = _graph(store, views.market_links(spark, sf_dir, abroad))
+    return store, graph, init_partition(graph, store=store)
+
+
+def run_components(spark, sf_dir):
+    store, graph = _runs(spark, sf_dir)
+    return connected_components(graph.edges, store).df
+
+
+def run_label_edges(spark, sf_dir):
+    store, graph = _runs(spark, sf_dir)
+    return label_edges(graph.edges, store)
+
+
+def run_component_sizes(spark, sf_dir):
+    """Orders per run, single orders included."""
+    store, graph = _runs(spark, sf_dir)
+    part = init_partition(graph, store=store)
+    return analysis.component_sizes(part.modules, part.links, store)
+
+
+def run_singletons(spark, sf_dir):
+    """Orders that are a module of their own after the first round."""
+    store, graph = _runs(spark, sf_dir)
+    part = init_partition(graph, store=store)
+    merges = merge.choose_merges(part, "symmetric", store)
+    part = contract(part, merge.module_map(merges.df, store, merges.rows).df, store)
+    kept, inside = analysis.induced_subgraph(part.modules, part.links, analysis.is_singleton())
+    return analysis.degrees(kept, inside)
+
+
+def _markets_contracted(spark, sf_dir):
+    store, graph, part = _markets(spark, sf_dir)
+    merges = merge.choose_merges(part, "symmetric", store)
+    return store, contract(part, merge.module_map(merges.df, store, merges.rows).df, store)
+
+
+def market_component_sizes(spark, sf_dir):
+    store, part = _markets_contracted(spark, sf_dir)
+    return analysis.component_sizes(part.modules, part.links, store)
+
+
+def market_module_stats(spark, sf_dir):
+    store, part = _markets_contracted(spark, sf_dir)
+    return tidy(analysis.module_stats(part.modules, part.links, store))
+
+
+# What a link to the next order of the nation weighs, beside 20 inside a market.
+ABROAD = 1.0
+
+
+def _market_search(spark, sf_dir, direction):
+    store, graph, part = _markets(spark, sf_dir, ABROAD)
+    return multi_merge(graph, part, direction, store=store)
+
+
+def market_merge_asym(spark, sf_dir):
+    return _market_search(spark, sf_dir, "asymmetric").graph.vertices.select("id", "module")
+
+
+def market_trace_asym(spark, sf_dir):
+    return tidy(_market_search(spark, sf_dir, "asymmetric").trace)
+
+
+def market_trace_sym(spark, sf_dir):
+    return tidy(_market_search(spark, sf_dir, "symmetric").trace)
+
+
 # --- sinks and sources ---------------------------------------------------------------------------
 
 def full_json_nodes(spark, sf_dir):
@@ -548,4 +628,7 @@ QUERIES: dict[str, Query] = {
     "parquet_round_trip_vertices": parquet_round_trip_vertices,
     "pajek_lists": pajek_lists,
     "pajek_implicit_vertices": pajek_implicit_vertices,
+    **{f.__name__: f for f in (
+        run_components, run_label_edges, run_component_sizes, run_singletons, market_component_sizes,
+        market_module_stats, market_merge_asym, market_trace_asym, market_trace_sym)},
 }
