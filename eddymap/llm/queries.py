@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddymap.llm import (
-    fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, toxicity, url_filter,
+    fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, token_files, toxicity, url_filter,
 )
 from eddymap.llm.common import table
+from eddymap.store import Store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +79,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, prefixes, listed)
 
 
+#: The byte-level vocabulary of the queries on tokens.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def file_text(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files to the shared folder, and what the files say of them."""
+    path = f"{Store(spark).folder}/token-files"
+    token_files.write_files(documents(spark, sf_dir), path, file_text(BYTE_LEVEL))
+    return token_files.read_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources,
-        op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter)
+        op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter, op13_token_files)
 }
 
 ORACLES: dict[str, str] = {
