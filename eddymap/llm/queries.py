@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddymap.llm import (
-    fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, token_files, toxicity, url_filter,
+    alignment, fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, token_files, toxicity,
+    url_filter,
 )
 from eddymap.llm.common import table
 from eddymap.store import Store
@@ -88,6 +89,12 @@ def file_text(path: str) -> str:
         return file.read()
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(PIECES_MODEL, "rb") as file:
+        model = file.read()
+    return alignment.align_documents(documents(spark, sf_dir), file_text(BYTE_LEVEL), model)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files to the shared folder, and what the files say of them."""
     path = f"{Store(spark).folder}/token-files"
@@ -98,7 +105,8 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources,
-        op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter, op13_token_files)
+        op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter, op11_token_alignment,
+        op13_token_files)
 }
 
 ORACLES: dict[str, str] = {
