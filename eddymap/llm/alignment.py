@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import compress
 from types import SimpleNamespace
 
 import numpy as np
@@ -38,7 +39,7 @@ RANGE, FOLD = 1 << 16, 8
 #: Pairs whose counts are broadcast: 16 bytes each.
 HEAVY = 1 << 20
 #: Stretches that a worker remembers, and distinct pairs it counts before it hands them on.
-MEMO, HELD_PAIRS = 300_000, 1_000_000
+MEMO, HELD_PAIRS = 500_000, 1_000_000
 #: A link is one number: the first id times this, plus the second.
 SHIFT = 1 << 16
 _MEMOS: dict = {}
@@ -54,14 +55,22 @@ def links_of(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: n
     return a_ids[np.searchsorted(a_ends, ends)] * SHIFT + b_ids[np.searchsorted(b_ends, ends)]
 
 
-def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[str, int]:
-    """The groups as text, ``a1,a2|b1;a3|b2``, and their number."""
+_DIGITS = list(map(str, range(SHIFT)))
+
+
+def group_list(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Every group as text, ``a1,a2|b1``, and the offset where it ends."""
     shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
     i, j = (np.searchsorted(a_ends, shared) + 1).tolist(), (np.searchsorted(b_ends, shared) + 1).tolist()
-    a, b = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    if len(shared) == len(a) == len(b):
-        return ";".join(map("|".join, zip(a, b))), len(shared)
-    return ";".join([f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in zip([0, *i], i, [0, *j], j)]), len(shared)
+    a, b = [_DIGITS[x] for x in a_ids.tolist()], [_DIGITS[x] for x in b_ids.tolist()]
+    return [f"{a[p]}|{b[r]}" if q - p == s - r == 1 else f"{','.join(a[p:q])}|{','.join(b[r:s])}"
+            for p, q, r, s in zip([0, *i], i, [0, *j], j)], shared
+
+
+def groups_text(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[str, int]:
+    """The groups as text, ``a1,a2|b1;a3|b2,b3``, and their number."""
+    groups, _ = group_list(a_ids, b_ids, a_ends, b_ends)
+    return ";".join(groups), len(groups)
 
 
 @dataclass
@@ -142,22 +151,33 @@ class Aligner:
         self.a, self.b = byte_level(spec), sentence_pieces(model)
         self.known = Memo(self._aligned, memo)
 
-    def _encoded(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        for part, a, b in zip(parts, encode_apart(self.a, parts), encode_apart(self.b, parts)):
-            a, b = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
-            data = part.encode()
-            yield a, b, self.b.spells(b, data) and int(self.a.lengths[a].sum()) == len(data)
+    def _spelt(self, parts: list[str]) -> tuple[list[bytes], list[bytes], list[int], list[bool]]:
+        """Ids of every part by both vocabularies, its number of bytes, and whether both spell it."""
+        a, b, data = encode_apart(self.a, parts), encode_apart(self.b, parts), [part.encode() for part in parts]
+
+        def same(own_a: bytes, own_b: bytes, text: bytes) -> bool:
+            ids = np.frombuffer(own_b, "<u2")
+            return int(self.a.lengths[np.frombuffer(own_a, "<u2")].sum()) == len(text) and self.b.spells(ids, text)
+
+        every = same(b"".join(a), b"".join(b), b"".join(data))
+        return a, b, list(map(len, data)), [every or same(*row) for row in zip(a, b, data)]
 
     def _aligned(self, parts: list[str]) -> list[tuple | None]:
-        out = []
-        for a, b, good in self._encoded(parts):
-            if not good:
-                out.append(None)
-                continue
-            ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
-            text, groups = groups_text(a, b, *ends)
-            out.append((len(a), len(b), groups, text, links_of(a, b, *ends).astype("<u4").tobytes()))
-        return out
+        """All parts at once: each ends where tokens of both end, so their concatenation has their groups."""
+        a, b, sizes, good = self._spelt(parts)
+        known = iter(self._aligned_spelt(*(list(compress(x, good)) for x in (a, b, sizes))))
+        return [next(known) if fine else None for fine in good]
+
+    def _aligned_spelt(self, a: list[bytes], b: list[bytes], sizes: list[int]) -> Iterator[tuple]:
+        a_ids, b_ids = (np.frombuffer(b"".join(x), "<u2").astype(np.int64) for x in (a, b))
+        a_ends, b_ends, stops = np.cumsum(self.a.lengths[a_ids]), np.cumsum(self.b.lengths[b_ids]), np.cumsum(sizes)
+        groups, shared = group_list(a_ids, b_ids, a_ends, b_ends)
+        ends = np.union1d(a_ends, b_ends)
+        codes = (a_ids[np.searchsorted(a_ends, ends)] * SHIFT + b_ids[np.searchsorted(b_ends, ends)]).astype("<u4").tobytes()
+        i = j = 0
+        for own_a, own_b, p, q in zip(a, b, (np.searchsorted(shared, stops) + 1).tolist(), ((np.searchsorted(ends, stops) + 1) * 4).tolist()):
+            yield len(own_a) // 2, len(own_b) // 2, p - i, ";".join(groups[i:p]), codes[j:q]
+            i, j = p, q
 
     def document(self, text: str) -> Fragment:
         """A whole document: stretches end where both vocabularies' tokens end."""
@@ -172,10 +192,10 @@ class Aligner:
 
     def range(self, text: str, at: int, start: int, stop: int) -> Fragment:
         """The byte range ``(start, stop]`` of a document; ``text`` covers it and begins at byte ``at``."""
-        a, b, good = zip(*self._encoded(stretches(text)))
+        a, b, _, good = self._spelt(stretches(text))
         if not all(good):
             return Fragment(good=False)
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = (np.frombuffer(b"".join(x), "<u2").astype(np.int64) for x in (a, b))
         ends = at + np.cumsum(self.a.lengths[a]), at + np.cumsum(self.b.lengths[b])
         return fragment_of(a, b, *ends, start, stop, self.a.lengths, self.b.lengths)
 

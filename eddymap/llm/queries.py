@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eddymap.llm import (
-    alignment, fingerprints, jaccard_join, line_crf, mixing, pieces, pii, secrets, substring_dedup, token_files, toxicity,
-    url_filter,
+    alignment, fingerprints, jaccard_join, line_crf, mixing, phrases, pieces, pii, secrets, substring_dedup, token_files,
+    toxicity, url_filter,
 )
 from eddymap.llm.common import table
 from eddymap.store import Store
@@ -95,6 +95,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), file_text(BYTE_LEVEL), model)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token files to the shared folder, and what the files say of them."""
     path = f"{Store(spark).folder}/token-files"
@@ -106,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_secret_scan, op3_personal_data, op4_fingerprints, op5_mix_sources,
         op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_jaccard_join, op10_url_filter, op11_token_alignment,
-        op13_token_files)
+        op12_phrases, op13_token_files)
 }
 
 ORACLES: dict[str, str] = {
@@ -162,4 +166,31 @@ ORACLES: dict[str, str] = {
         SELECT n.page_id, host, path, rule,
                coalesce(says, CASE WHEN listed.canon IS NOT NULL AND contains(n.url, '://') THEN 'block' ELSE 'allow' END) AS verdict
         FROM named n LEFT JOIN ruled r ON r.page_id = n.page_id AND r.url = n.url LEFT JOIN listed ON listed.canon = n.canon""",
+    "op12_phrases": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM texts),
+        sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+        counts AS MATERIALIZED (
+            SELECT lang, phrase, k, count(*) AS f FROM (
+                SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+                FROM pieces, range(1, 6) AS t(k) WHERE len(words) >= k)
+            GROUP BY ALL HAVING count(*) >= 100),
+        cuts AS (
+            SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS words, unnest(range(1, k)) AS c FROM counts WHERE k > 1),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, c.c,
+                   ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.c], ' ')
+            JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.c + 1:], ' ')
+            JOIN sizes s ON s.lang = c.lang),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        kept AS (
+            SELECT * FROM weakest w WHERE NOT EXISTS (
+                SELECT 1 FROM counts o WHERE o.lang = w.lang AND o.f >= w.a AND length(o.phrase) > length(w.phrase)
+                    AND contains(' ' || o.phrase || ' ', ' ' || w.phrase || ' ')))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept QUALIFY rank <= 2000""",
 }
