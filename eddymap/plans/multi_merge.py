@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eddymap.graph import TRACE_SCHEMA, Graph, Partition
 from eddymap.operators.merge import TIE_TOLERANCE, choose_merges, module_map
@@ -34,6 +35,24 @@ def trace_row(round_no: int, part: Partition, before: Partition | None) -> tuple
     return (round_no, part.n_modules, part.n_links, part.codelength, delta)
 
 
+def compose_maps(maps: list[DataFrame], store: Store) -> DataFrame:
+    """One map ``(module, target)`` for several, applied in turn.
+
+    A module that a later map moves was not moved by an earlier one, so its row is taken over.  Maps get
+    shorter from round to round, so all joins together move about as many rows as the first map has.
+    """
+    whole = maps[-1]
+    for earlier in reversed(maps[:-1]):
+        onward = whole.select(F.col("module").alias("target"), F.col("target").alias("onward"))
+        led = earlier.join(onward, "target", "left").select("module", F.coalesce("onward", "target").alias("target"))
+        whole = store.cut(led.unionByName(whole), "composed-map").df
+    return whole
+
+
+def _moved(graph: Graph, maps: list[DataFrame], store: Store) -> Graph:
+    return relabel_nodes(graph, compose_maps(maps, store)) if maps else graph
+
+
 def multi_merge(
     graph: Graph, part: Partition, direction: str = "symmetric",
     tie_tol: float = TIE_TOLERANCE, max_rounds: int = 1000,
@@ -42,12 +61,14 @@ def multi_merge(
     """Merge each module with its best neighbour, all at once, while the code length falls.
 
     A round whose code length does not fall is rejected and the state before it returned.  The
-    rounds work on the module tables alone; the vertex table follows as a chain of lookups in the
-    stored maps and is read once, when the result is used.
+    rounds work on the module tables alone; their maps are composed at the end, from the last to the
+    first, and the vertex table is joined once with what they make together.
     """
     store = store or Store(graph.spark)
     trace = [trace_row(0, part, None)]
     held: list[Written] = []  # tables of the current state that the search wrote itself
+    maps: list[DataFrame] = []
+    first = graph
     for round_no in range(max_rounds):
         if on_round:
             on_round(round_no, graph, part)
@@ -55,14 +76,16 @@ def multi_merge(
         merges = choose_merges(part, direction, store, tie_tol)
         if merges.rows == 0:
             merges.drop()
-            return Communities(graph, part, trace)
+            return Communities(_moved(first, maps, store), part, trace)
         moved = module_map(merges.df, store, merges.rows)
         merges.drop()
         after = contract(part, moved.df, store)
         if after.codelength >= part.codelength:
             store.drop_since(start)
-            return Communities(graph, part, trace)
-        graph = relabel_nodes(graph, moved.df)
+            return Communities(_moved(first, maps, store), part, trace)
+        maps.append(moved.df)
+        if on_round:
+            graph = relabel_nodes(graph, moved.df)
         trace.append(trace_row(round_no + 1, after, part))
         part = after
         for table in held:

@@ -195,17 +195,73 @@ def _raise_first_fault(lines: DataFrame, body: DataFrame, count: int | None, fou
         raise PajekError(ONE_VERTICES_SECTION)
 
 
-def _raise_duplicate_vertex(declared: DataFrame) -> None:
+def _duplicate_vertices(declared: DataFrame) -> DataFrame:
+    """The declarations of an id behind its first."""
     first = declared.groupBy("id").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("times"))
-    again = (
-        declared.join(first.filter("times > 1"), "id")
-        .withColumn("at", _position()).filter("at > first")
-        .agg(F.min_by("id", "at").alias("id")).first()
-    )
+    return declared.join(first.filter("times > 1"), "id").withColumn("at", _position()).filter("at > first")
+
+
+def _raise_duplicate_vertex(declared: DataFrame) -> None:
+    again = _duplicate_vertices(declared).agg(F.min_by("id", "at").alias("id")).first()
     if again.id is not None:
         raise PajekError(DUPLICATE_VERTEX.format(id=again.id))
 
 
+def _declared(body: DataFrame) -> DataFrame:
+    return body.filter("section = 'vertices'").select(
+        *POSITION,
+        F.regexp_extract("text", VERTEX, 1).try_cast("bigint").alias("id"),
+        F.regexp_extract("text", VERTEX, 2).alias("name"),
+    )
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """The position of each line and ``line``, counted from 1 in the order of the document.
+
+    Lines are counted inside each file split; a split's first number is the sum of the splits before it,
+    taken over a table with one row per split.
+    """
+    of_split = lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("lines"))
+    earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    before = of_split.select(*SPLIT, F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*SPLIT).orderBy("line_id"))
+    return (
+        lines.select(*POSITION, place.alias("place")).join(before, list(SPLIT))
+        .select(*POSITION, (F.col("before") + F.col("place")).alias("line"))
+    )
+
+
+def pajek_faults(spark: SparkSession, path: str, store: Store | None = None) -> DataFrame:
+    """Every fault of a Pajek file at once: ``(line, fault)`` with the messages that reading raises.
+
+    Lines count as the reader counts them, without comments and empty lines.  A missing vertices section
+    has no line.  Nothing but the first two vertices headings and one unknown one reaches the driver.
+    """
+    store = store or Store(spark)
+    raw = store.cut(_lines(spark, path), "pajek-lines").df
+    count, found = _headings(raw)
+    body = store.cut(_sections(raw), "pajek-sections").df
+    heads, where = raw.filter("header IS NOT NULL"), found["where"]
+    of_heading = F.when(~F.col("header").isin(*SECTIONS), F.lit(UNKNOWN_SECTION))
+    if where is not None:
+        vertices = F.col("header") == "vertices"
+        of_heading = of_heading.when(vertices & _after(where), F.lit(ONE_VERTICES_SECTION))
+        if count is None:
+            of_heading = of_heading.when(vertices, F.lit(BAD_NODE_NUMBER))
+    again = F.replace(F.lit(DUPLICATE_VERTEX), F.lit("{id}"), F.col("id").cast("string"))
+    faults = (
+        body.select(*POSITION, _fault(count, where).alias("fault"))
+        .unionByName(heads.select(*POSITION, of_heading.alias("fault")))
+        .unionByName(_duplicate_vertices(_declared(body)).select(*POSITION, again.alias("fault")))
+        .filter("fault IS NOT NULL")
+    )
+    line = F.col("line").cast("string")
+    placed = faults.join(numbered_lines(raw), list(POSITION)).select("line", F.replace("fault", F.lit("{line}"), line).alias("fault"))
+    if where is not None:
+        return placed
+    return placed.unionByName(spark.createDataFrame([(None, ONE_VERTICES_SECTION)], "line bigint, fault string"))
+
+
 def read_pajek(spark: SparkSession, path: str, store: Store | None = None) -> Graph:
     """Read a Pajek file.
 
@@ -224,11 +280,7 @@ def read_pajek(spark: SparkSession, path: str, store: Store | None = None) -> Gr
     _raise_first_fault(raw.df, body, count, found)
     raw.drop()
 
-    declared = body.filter("section = 'vertices'").select(
-        *POSITION,
-        F.regexp_extract("text", VERTEX, 1).try_cast("bigint").alias("id"),
-        F.regexp_extract("text", VERTEX, 2).alias("name"),
-    )
+    declared = _declared(body)
     _raise_duplicate_vertex(declared)
     vertices = (
         spark.range(1, count + 1).join(declared.select("id", "name"), "id", "left")

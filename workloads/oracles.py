@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workloads.queries import ABROAD
+from workloads.queries import ABROAD, DECLARED
 from workloads.views import (
     CHAIN_EDGES, CHAIN_ROWS, CUSTOMER_SUPPLIER, NATION_FLOW, ORDER_RUNS, market_sql,
 )
@@ -310,6 +310,17 @@ def module_stats(*parts: str) -> str:
     FROM s"""
 
 
+def last_of(mode: str, trace: str) -> str:
+    return (f"SELECT '{mode}' AS mode, max(round) AS rounds, arg_max(modules, round) AS modules,"
+            f" arg_max(codelength, round) AS codelength FROM ({trace})")
+
+
+COMPARED = " UNION ALL ".join([
+    last_of("pair", with_(*NATION, PAIR_PARTS) + PAIR_ROWS),
+    last_of("symmetric", with_(*NATION, search(True)) + f"SELECT * FROM ({multi_trace()})" + ENDED),
+    last_of("asymmetric", with_(*NATION, search(False)) + f"SELECT * FROM ({multi_trace()})" + ENDED),
+])
+
 ORACLES: dict[str, str] = {
     "drop_self_loops": with_(CHAIN_ROWS) + "SELECT src, dst, weight FROM chain_rows WHERE src <> dst",
     "reverse_edges": with_(CHAIN_ROWS) + "SELECT dst AS src, src AS dst, weight FROM chain_rows",
@@ -408,8 +419,8 @@ ORACLES: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
     "parquet_round_trip": with_(CHAIN_EDGES) + "SELECT src, dst, weight FROM edges",
     "pair_merge_modules": with_(*NATION, PAIR_PARTS, pair_modules(PAIR_ROUNDS)) + f"SELECT id, module FROM at{PAIR_ROUNDS}",
-    "snapshots": with_(*NATION, PAIR_PARTS, pair_modules(3)) + " UNION ALL ".join(
-        f"SELECT {r}::INTEGER AS merges, id, module FROM at{r} WHERE (SELECT v FROM go{r})" for r in range(4)),
+    "snapshots": with_(*NATION, PAIR_PARTS, pair_modules(PAIR_ROUNDS)) + " UNION ALL ".join(
+        f"SELECT {r}::INTEGER AS merges, id, module FROM at{r} WHERE (SELECT v FROM go{r})" for r in range(PAIR_ROUNDS + 1)),
     "run_vertices": with_(*CHAIN, search(True), final_modules())
         + f"SELECT id, id::VARCHAR AS name, module FROM at{ROUNDS}" + ENDED,
     "run_text_modules": with_(*CHAIN, search(True), last_modules()) + f"SELECT {MODULE_COLUMNS_8} FROM last" + ENDED,
@@ -455,4 +466,27 @@ ORACLES: dict[str, str] = {
         + f"SELECT id, module FROM at{ROUNDS}" + ENDED,
     "market_trace_asym": with_(*WIDE_MARKETS, search(False)) + f"SELECT * FROM ({multi_trace()})" + ENDED,
     "market_trace_sym": with_(*WIDE_MARKETS, search(True)) + f"SELECT * FROM ({multi_trace()})" + ENDED,
+    "compare_modes": f"""
+        SELECT mode, rounds, modules, codelength, {r8('codelength / min(codelength) OVER () - 1', 'above_best')}
+        FROM ({COMPARED})""",
+    "parquet_manifest_vertices": with_(NATION_FLOW, NODES) + "SELECT id, id::VARCHAR AS name, id AS module FROM nodes",
+    "saved_state_modules": with_(*WIDE_MARKETS, round_(0)) + f"SELECT {MODULE_COLUMNS_8} FROM modules1",
+    "saved_state_links": with_(*WIDE_MARKETS, round_(0)) + f"SELECT src, dst, {r8('weight', 'weight')} FROM flow1",
+    "saved_state_vertices": with_(*WIDE_MARKETS, round_(0)) + """
+        SELECT id, id::VARCHAR AS name, coalesce(target, id) AS module FROM nodes LEFT JOIN map0 ON module = id""",
+    "pajek_faults": f"""
+        WITH people AS (SELECT c_custkey + 1 AS id, 1 + row_number() OVER (ORDER BY c_custkey) AS line FROM customer),
+        n AS (SELECT count(*) + 1 AS n FROM customer),
+        again AS (SELECT n_nationkey + 1 AS id, n + row_number() OVER (ORDER BY n_nationkey) AS line FROM nation, n),
+        arcs AS (SELECT o_custkey + 1 AS src, o_orderkey % 500 = 7 AS broken, o_orderkey % 1000 - 5 AS weight,
+                        (SELECT n + 1 FROM n) + (SELECT count(*) FROM nation) + row_number() OVER (ORDER BY o_orderkey) AS line
+                 FROM orders),
+        outside AS (SELECT line, 'Vertex index must be within [1,{DECLARED}]: line ' || line AS fault FROM people WHERE id > {DECLARED})
+        SELECT * FROM outside
+        UNION ALL SELECT line, 'Vertex ' || id || ' is not unique!' FROM again WHERE id IN (SELECT id FROM people)
+        UNION ALL SELECT line, CASE
+            WHEN broken THEN 'Edge definition error: line ' || line
+            WHEN src > {DECLARED} THEN 'Vertex index must be within [1,{DECLARED}]: line ' || line
+            ELSE 'Edge weight must be non-negative: line ' || line END
+        FROM arcs WHERE broken OR src > {DECLARED} OR weight < 0""",
 }

@@ -15,12 +15,13 @@ from eddymap.operators.partition import (
     codelength_table, contract, contract_edges, contract_modules, relabel_nodes,
 )
 from eddymap.operators.walk import pagerank_step, prepare_walk, sparse_matvec, start_frequencies
+from eddymap.plans.compare import compare_modes
 from eddymap.plans.pipeline import detect_communities
 from eddymap.sinks import (
     full_nodes, node_link_lines, reduced_nodes, vertex_lines, write_node_link, write_parquet,
 )
 from eddymap.sinks.node_link import links_of
-from eddymap.sources import read_node_link, read_pajek, read_parquet_graph
+from eddymap.sources import pajek_faults, read_node_link, read_pajek, read_parquet_graph, read_saved
 from eddymap.store import Store
 from workloads import views
 
@@ -287,7 +288,7 @@ def snapshots(spark, sf_dir):
 
     def keep(number, state, _):
         seen.append(store.cut(state.vertices.select(F.lit(number).alias("merges"), "id", "module"), "snapshot").df)
-    pair_merge(graph, part, max_merges=3, on_round=keep, store=store)
+    pair_merge(graph, part, on_round=keep, store=store)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -567,6 +568,71 @@ def parquet_round_trip_vertices(spark, sf_dir):
     return spark.read.parquet(f"{stem}-graph-vertices")
 
 
+def parquet_manifest_vertices(spark, sf_dir):
+    """Vertices of a saved graph, read through its manifest."""
+    store, graph, part = _nations(spark, sf_dir)
+    stem = f"{store.folder}/saved"
+    write_parquet(graph, part, stem)
+    spark.range(1).select(F.to_json(F.struct(
+        F.lit(f"{stem}-graph-vertices").alias("Vertex File"), F.lit(f"{stem}-graph-edges").alias("Edge File"),
+    ))).write.text(f"{stem}-manifest")
+    return read_parquet_graph(spark, f"{stem}-manifest").vertices
+
+
+# Vertices that the faulty file declares; customers beyond are out of range.
+DECLARED = 1000
+
+
+def pajek_faults_query(spark, sf_dir):
+    """All faults of a file whose vertices repeat and whose arcs leave the range, fall below 0 or do not parse."""
+    store = Store(spark)
+    zero = F.lit(0).cast("bigint")
+    named = lambda df, key, name: df.select(
+        F.col(key).cast("bigint").alias("key"), F.concat(F.col(key) + 1, F.lit(' "'), F.col(name), F.lit('"')).alias("value"))
+    weight = F.when(F.col("o_orderkey") % 500 == 7, F.lit("x")).otherwise((F.col("o_orderkey") % 1000 - 5).cast("string"))
+    one = spark.range(1)
+    parts = [
+        one.select(zero.alias("key"), F.lit(f"*Vertices {DECLARED}").alias("value")),
+        named(views.table(spark, sf_dir, "customer"), "c_custkey", "c_name"),
+        named(views.table(spark, sf_dir, "nation"), "n_nationkey", "n_name"),
+        one.select(zero.alias("key"), F.lit("*Arcs").alias("value")),
+        views.table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("key"),
+            F.concat_ws(" ", F.col("o_custkey") + 1, F.col("o_orderkey") % 97 + 1, weight).alias("value")),
+    ]
+    lines = reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(i)) for i, df in enumerate(parts)])
+    path = f"{store.folder}/faulty.net"
+    lines.orderBy("part", "key").select("value").write.text(path)
+    return pajek_faults(spark, path, store)
+
+
+def _saved_states(spark, sf_dir, kind):
+    """The state after the first round of a run with every state saved, read back."""
+    store = Store(spark)
+    graph = _graph(store, views.market_links(spark, sf_dir, ABROAD))
+    path = f"{store.folder}/states.{kind}"
+    run(graph, outputs={kind: path}, debug=True, strict=None)
+    return read_saved(spark, path, kind, suffix="1")
+
+
+def saved_state_modules(spark, sf_dir):
+    return tidy(_saved_states(spark, sf_dir, "parquet")[1].modules)
+
+
+def saved_state_links(spark, sf_dir):
+    return tidy(_saved_states(spark, sf_dir, "text")[1].links)
+
+
+def saved_state_vertices(spark, sf_dir):
+    return _saved_states(spark, sf_dir, "text")[0].vertices
+
+
+def compare_modes_query(spark, sf_dir):
+    """All three searches on the flow between nations; the measured seconds are left out."""
+    store, graph, part = _nations(spark, sf_dir)
+    return tidy(compare_modes(graph, part, store=store).drop("seconds"))
+
+
 QUERIES: dict[str, Query] = {
     "drop_self_loops": drop_self_loops,
     "reverse_edges": reverse_edges,
@@ -628,7 +694,10 @@ QUERIES: dict[str, Query] = {
     "parquet_round_trip_vertices": parquet_round_trip_vertices,
     "pajek_lists": pajek_lists,
     "pajek_implicit_vertices": pajek_implicit_vertices,
+    "pajek_faults": pajek_faults_query,
+    "compare_modes": compare_modes_query,
     **{f.__name__: f for f in (
+        parquet_manifest_vertices, saved_state_modules, saved_state_links, saved_state_vertices,
         run_components, run_label_edges, run_component_sizes, run_singletons, market_component_sizes,
         market_module_stats, market_merge_asym, market_trace_asym, market_trace_sym)},
 }
