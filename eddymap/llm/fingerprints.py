@@ -202,7 +202,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     placed = placed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), len(splits)).otherwise(
         len(splits) - 1 - F.col("range")).cast("int").alias("part"))
     # One row per part: its first id and, of equal ids, the first text by digest.
-    order = F.struct((-F.col("doc_id")).alias("minus"), F.md5("text").alias("digest"))
+    # The bitwise complement turns the order round and exists for the smallest id as well.
+    order = F.struct(F.bitwise_not(F.col("doc_id")).alias("minus"), F.md5("text").alias("digest"))
     firsts = {r["part"]: r["first"] for r in placed.groupBy("part").agg(F.min(order).alias("first")).collect()}
     used = sorted(firsts)
     closes = {following: part for part, following in zip(used, used[1:] + used[:1])}
@@ -210,7 +211,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     heads = F.broadcast(docs.sparkSession.createDataFrame(
         [(p, closes[p], *firsts[p]) for p in used], "of int, closes int, minus long, digest string"))
     closing = (
-        placed.join(heads, (F.col("part") == F.col("of")) & (-F.col("doc_id")).eqNullSafe(F.col("minus"))
+        placed.join(heads, (F.col("part") == F.col("of")) & F.bitwise_not(F.col("doc_id")).eqNullSafe(F.col("minus"))
                     & (F.md5("text") == F.col("digest")))
         .groupBy(F.col("closes").alias("part"))
         .agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.lit(True).alias("close"))
