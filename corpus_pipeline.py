@@ -14,6 +14,10 @@ from eddymap.llm.common import cut, table
 from eddymap.llm.queries import PIECES_MODEL
 
 
+# Columns of the join stage; no table is expected to use these names.
+STAND_IN, KEPT_ID = "_pipeline_stand_in", "_pipeline_kept_id"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored one half or more go; the model is fitted on the labelled ones among ``docs``."""
     return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -27,11 +31,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     top = max(docs.agg(F.max("doc_id").alias("top")).first()["top"] or 0, 0)
     room = max((1 << 63) - 2 - top, 1)
-    held = docs.withColumn("stand_in", F.coalesce("doc_id", F.lit(top) + F.pmod(F.xxhash64("text"), F.lit(room)) + 1))
-    judged = jaccard_join.link_components(held, id_col="stand_in", size=5, cover=80)
-    kept = cut(judged.filter("stand_in = component_id").select(F.col("stand_in").alias("kept_id")).distinct(), "kept-ids")
-    return (held.join(kept, held["stand_in"] == kept["kept_id"]).dropDuplicates(["stand_in", "text"])
-            .drop("kept_id", "stand_in"))
+    held = docs.withColumn(STAND_IN, F.coalesce("doc_id", F.lit(top) + F.pmod(F.xxhash64("text"), F.lit(room)) + 1))
+    judged = jaccard_join.link_components(held, id_col=STAND_IN, size=5, cover=80)
+    kept = cut(judged.filter(F.col(STAND_IN) == F.col("component_id")).select(F.col(STAND_IN).alias(KEPT_ID)).distinct(), "kept-ids")
+    return (held.join(kept, held[STAND_IN] == kept[KEPT_ID]).dropDuplicates([STAND_IN, "text"])
+            .drop(KEPT_ID, STAND_IN))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
