@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from eddymap.llm.common import bounded_batches, rows_of
 
-LENGTH, DECAY = 4, 0.7
+LENGTH, DECAY = 3, 0.9
 WIDTH = 24  # longer words are seen through overlapping windows of this many characters
-POWERS = (4,)  # a normalised kernel's powers are kernels; higher ones tell near words apart
+POWERS = (3,)  # a normalised kernel's powers are kernels; higher ones tell near words apart
+SHORTEST = 4  # landmarks have this many letters or more
+STEPS = 1000  # kernel values of training sentences are kept as whole thousandths
 _EDGE = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[\W\d_]+")
 _SIGNS = str.maketrans("0134578@$!", "oieastbasi")  # signs written for letters; 1 stands for i or l
@@ -205,8 +207,20 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-np.clip(self.slope * margin + self.offset, -50, 50))))
 
 
-def _train(landmarks: list[str], bags: list[tuple[int, list[dict[int, float]]]], rounds: int = 2000) -> Model:
-    """Hinge loss on sentences in the Nyström map, then a logistic curve on documents."""
+def misspelt(word: str) -> list[str]:
+    """``word`` with a letter inserted, doubled or, from five letters on, left out, at every inner place."""
+    inner = range(1, len(word))
+    dropped = [word[:i] + word[i + 1:] for i in inner[:-1]] if len(word) > SHORTEST else []
+    return [word[:i] + c + word[i:] for i in inner for c in "aeiorsx"] + [word[:i] + word[i - 1] + word[i:] for i in inner] + dropped
+
+
+def _train(landmarks: list[str], labels: np.ndarray, bags: list[np.ndarray], times: np.ndarray, rounds: int = 2000) -> Model:
+    """Hinge loss on sentences in the Nyström map, then a logistic curve on documents.
+
+    ``bags`` hold a document's sentences, one row of kernel values each, ``times`` how many documents are
+    like it.  Beside the labelled sentences stand the landmarks' misspellings that are nearer to them than
+    clean documents come; these weigh as much as the toxic sentences together.
+    """
     marks = Landmarks(landmarks)
     m = len(landmarks)
     gram = np.stack([kernel(np.repeat(marks.rows[i:i + 1], m, 0), marks.rows) for i in range(m)])
@@ -215,41 +229,57 @@ def _train(landmarks: list[str], bags: list[tuple[int, list[dict[int, float]]]],
     for i, power in enumerate(POWERS):
         value, vector = np.linalg.eigh(gram ** power)
         root[i * m:(i + 1) * m, i * m:(i + 1) * m] = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.1))) @ vector.T
-    dense = lambda s: np.array([s.get(k, 0.0) ** power for power in POWERS for k in range(m)])
-    x, y = [np.zeros(len(root))], [-1.0]  # a sentence without anything in common
-    for label, bag in bags:
-        vectors = [dense(s) for s in bag]
-        if label and vectors:
-            worst = max(float(v.max()) for v in vectors)
-            vectors = [v for v in vectors if v.max() >= 0.9 * worst]  # which sentence earned the label is not known
-        x += vectors
-        y += [1.0 if label else -1.0] * len(vectors)
-    x, y = np.array(x) @ root, np.array(y)
-    balance = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / (y < 0).sum())
+    powered = lambda values: np.concatenate([values ** power for power in POWERS], 1)
+    # Nearest a landmark that 199 of 200 clean documents stay: what is no nearer teaches nothing about it.
+    clean = np.array([bag.max(0) if len(bag) else np.zeros(m) for label, bag in zip(labels, bags) if not label])
+    usual = np.quantile(np.repeat(clean, times[labels == 0].astype(int), 0), 0.995, axis=0)
+    forms_of = [(k, form) for k, word in enumerate(landmarks) for form in misspelt(word)]
+    near = marks.values([form for _, form in forms_of])
+    spoilt = [[found.get(k, 0.0) for k in range(m)] for i, found in near.items()
+              if found.get(forms_of[i][0], 0.0) > usual[forms_of[i][0]] + 0.02]
+    spoilt = np.array(spoilt + [np.eye(m)[0]])  # and the first landmark itself, so that there is one
+    x, y, n = [np.zeros((1, m)), spoilt], [[-1.0], np.ones(len(spoilt))], [[1.0], np.zeros(len(spoilt))]
+    for label, bag, count in zip(labels, bags, times):
+        if label and len(bag):
+            bag = bag[bag.max(1) >= 0.9 * bag.max()]  # which sentence earned the label is not known
+        x.append(bag)
+        y.append(np.full(len(bag), 1.0 if label else -1.0))
+        n.append(np.full(len(bag), float(count)))
+    x, y, n = powered(np.concatenate(x)) @ root, np.concatenate(y), np.concatenate(n)
+    n[1:1 + len(spoilt)] = max(n[y > 0].sum(), 1.0) / len(spoilt)
+    balance = n * np.where(y > 0, 0.5 / n[y > 0].sum(), 0.5 / n[y < 0].sum())
     w, b, mean_w, mean_b = np.zeros(len(root)), 0.0, np.zeros(len(root)), 0.0
     for t in range(1, rounds + 1):
         hit = (y * (x @ w + b) < 1) * balance
-        rate = 4.0 / np.sqrt(t)
+        rate = 8.0 / np.sqrt(t)
         w = (1 - rate * 1e-4) * w + rate * ((hit * y) @ x)
         b += rate * float((hit * y).sum())
         mean_w, mean_b = mean_w + (w - mean_w) / t, mean_b + (b - mean_b) / t
     model = Model(landmarks, root @ mean_w, mean_b)
-    margins = np.array([model.margin(bag) for _, bag in bags])
-    labels = np.array([label for label, _ in bags], float)
+    bags = [*bags, *[row[None] for row in spoilt]]
+    labels = np.concatenate([labels, np.ones(len(spoilt))]).astype(float)
+    times = np.concatenate([times, np.full(len(spoilt), times[labels[:len(times)] > 0].sum() / len(spoilt))])
+    margins = np.array([max([model.bias, *(powered(bag) @ model.weights + model.bias)]) for bag in bags])
     for _ in range(500):
         p = 1 / (1 + np.exp(-np.clip(model.slope * margins + model.offset, -50, 50)))
-        model.slope += float(((labels - p) * margins).mean())
-        model.offset += float((labels - p).mean())
+        model.slope += float(np.average((labels - p) * margins, weights=times))
+        model.offset += float(np.average(labels - p, weights=times))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_docs: int = 8000, max_landmarks: int = 64) -> Model:
+        label_col: str = "toxic", max_docs: int = 8000, max_landmarks: int = 64,
+        min_docs: int = 4, min_lift: float = 4.5, lift_share: float = 0.35, alike: float = 0.6) -> Model:
     """Fit on the ``max_docs`` labelled documents with the smallest hashed ids.
 
-    Left out are those whose CRC-32 of the id as text is a multiple of 5.  Landmarks are the words most
-    over-represented in toxic documents of the sample, no two of them much alike.  Without labels of
-    both kinds the model scores everything 0.
+    Left out are those whose CRC-32 of the id as text is a multiple of 5.  Landmarks are at most
+    ``max_landmarks`` words of ``SHORTEST`` to ``WIDTH`` characters without digits that stand in ``min_docs``
+    toxic documents of the sample or more and there more often than their share by ``min_lift`` standard
+    deviations, and by ``lift_share`` of what the foremost word shows; no two of them have a kernel value of
+    ``alike`` or more.  Without labels of both kinds the model scores everything 0.
+
+    The driver receives one row of whole numbers per different kind of document in the sample: its
+    different sentences' kernel values and how many documents are like it.
     """
     bounded_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0)).select(
@@ -262,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     words = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")))
     counts = (
         sample.select("label", F.explode(words).alias("word"))
-        .filter(F.length("word").between(LENGTH, WIDTH) & ~F.col("word").rlike("[0-9]"))
+        .filter(F.length("word").between(SHORTEST, WIDTH) & ~F.col("word").rlike("[0-9]"))
         .groupBy("word").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("docs"))
     )
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
@@ -270,16 +300,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model([], np.zeros(0), -1.0, 1.0, -50.0)
     prior = sizes[1] / (sizes[0] + sizes[1])
     lift = (F.col("bad") - prior * F.col("docs")) / F.sqrt(prior * (1 - prior) * F.col("docs"))
-    ranked = counts.filter("bad >= 4").withColumn("lift", lift).filter("lift > 4.5").orderBy(
+    ranked = counts.filter(F.col("bad") >= min_docs).withColumn("lift", lift).filter(F.col("lift") > min_lift).orderBy(
         F.col("lift").desc(), "word").limit(10 * max_landmarks).collect()
     landmarks: list[str] = []
-    for word in (r["word"] for r in ranked):
-        alike = Landmarks(landmarks).values([word]).get(0, {}) if landmarks else {}
-        if len(landmarks) < max_landmarks and max(alike.values(), default=0.0) < 0.7:
+    for word in (r["word"] for r in ranked if r["lift"] >= lift_share * ranked[0]["lift"]):
+        near = Landmarks(landmarks).values([word]).get(0, {}) if landmarks else {}
+        if len(landmarks) < max_landmarks and max(near.values(), default=0.0) < alike:
             landmarks.append(word)
     if not landmarks:
         return Model([], np.zeros(0), -1.0, 1.0, -50.0)
 
+    m = len(landmarks)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Landmarks(landmarks))
         for _, (marks, texts) in rows_of(batches):
@@ -287,14 +319,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for start in range(0, len(texts), 500):
                 split = [document_words(t) for t in texts[start:start + 500]]
                 memo.learn(set().union(*split))
-                bags += [[sorted(s.items()) for s in sentences(w, memo.known)] for w in split]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(
-                [[[{"k": k, "v": v} for k, v in s] for s in bag] for bag in bags],
-                pa.list_(pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float64())]))))], names=["label", "bag"])
-
-    found = sample.mapInArrow(describe, "label int, bag array<array<struct<k: int, v: double>>>").limit(2 * max_docs).collect()
-    bags = [(r["label"], [{x["k"]: x["v"] for x in s} for s in r["bag"]]) for r in found]
-    return _train(landmarks, sorted(bags, key=str))
+                for words in split:
+                    rows = np.zeros((0, m), "<u2")
+                    if found := sentences(words, memo.known):
+                        rows = np.unique([[round(STEPS * s.get(k, 0.0)) for k in range(m)] for s in found], axis=0).astype("<u2")
+                    bags.append(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(bags, pa.binary())], names=["label", "bag"])
+
+    # Documents that are labelled several times, or whose ids repeat, all count.
+    kinds = sample.mapInArrow(describe, "label int, bag binary").groupBy("label", "bag").count().orderBy("label", "bag").toArrow()
+    bags = [np.frombuffer(bag, "<u2").reshape(-1, m) / STEPS for bag in kinds.column("bag").to_pylist()]
+    return _train(landmarks, kinds.column("label").to_numpy(), bags, kinds.column("count").to_numpy().astype(float))
 
 
 def _scores(memo: Memo, model: Model, texts: list[str | None]) -> list[float]:

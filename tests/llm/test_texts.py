@@ -203,5 +203,21 @@ def test_toxicity_reads_altered_insults(spark, docs):
     memo = toxicity.Memo(toxicity.Landmarks(model.landmarks))
     scores = toxicity._scores(memo, model, tried)
     assert min(scores[:5]) >= 0.5 and max(scores[5:]) < 0.5
-    values = toxicity.Landmarks(["idiot"]).values(["i-d-i-o-t", "id1ot"])
-    assert 0.05 < values[0][0] < 0.1 and 0.1 < values[1][0] < 0.2
+    forms = ["i-d-i-o-t", "id1ot", "idxiot"]
+    values = toxicity.Landmarks(["idiot"]).values(forms)
+    for i, form in enumerate(forms):
+        own = brute_kernel(form, form) * brute_kernel("idiot", "idiot")
+        assert values[i][0] == pytest.approx(brute_kernel(form, "idiot") / own ** 0.5)
+    # One letter inserted, doubled or left out, read by the kernel alone; nine of ten and more count.
+    spoilt = [w[:i] + c + w[i:] for w in ("blockhead", "idiot", "foolzwump") for i in range(1, len(w)) for c in ("x", w[i])]
+    spoilt += [w[:i] + w[i + 1:] for w in ("blockhead", "foolzwump") for i in range(1, len(w) - 1)]
+    tried = [f"what a {w} here" for w in spoilt]
+    memo.learn({x for t in tried for x in t.split()})
+    scores = toxicity._scores(memo, model, tried)
+    assert sum(x >= 0.5 for x in scores) >= 0.9 * len(scores)
+
+
+def test_fingerprints_take_the_smallest_id(spark, docs):
+    rows = [(-(1 << 63), "lowest id of all"), ((1 << 63) - 1, "highest id of all"), (0, "in between")]
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs(rows)).collect()}
+    assert set(found) == {i for i, _ in rows}
