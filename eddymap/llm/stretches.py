@@ -24,14 +24,14 @@ from tokenizers import Tokenizer  # noqa: E402
 WHITE = "\t-\r \x85\xa0  -     　"
 _OTHER = "\t\x0b-\r\x85\xa0  -     　"  # but for blank and line feed
 _STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:[{_OTHER}][{WHITE}]*(?:[^{WHITE}]+|\\Z))*|[{WHITE}]+")
-_UNEVEN = re.compile(f"[{WHITE}][ \n]|\0")
-_WHITE_ONLY = re.compile(f"[{WHITE}]")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_RARE = tuple(re.findall(f"[{_OTHER}]", "".join(map(chr, range(0x3001))))) + ("\0",)
 BLANK_MARK = "▁"
 
 
 def stretches(text: str) -> list[str]:
     """``text`` cut at every place where tokens certainly end; joined, the parts are the text."""
-    if _UNEVEN.search(text):
+    if any(pair in text for pair in _PAIRS) or any(sign in text for sign in _RARE):
         return _STRETCH.findall(text)
     # Every blank and line feed follows another character, so each of them begins a stretch.
     parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
@@ -40,7 +40,7 @@ def stretches(text: str) -> list[str]:
 
 def joins_freely(stretch: str) -> bool:
     """Whether the stretch may stand between others without changing anybody's tokens."""
-    return stretch[0] in " \n" and not _WHITE_ONLY.match(stretch[-1])
+    return stretch[0] in " \n" and not stretch[-1].isspace()
 
 
 class ByteLevel:
@@ -104,7 +104,7 @@ def sentence_pieces(model: bytes) -> SentencePieces:
     return SentencePieces(model)
 
 
-def encode_apart(vocabulary, parts: list[str], dtype: str = "<u2", run: int = 32) -> list[bytes]:
+def encode_apart(vocabulary, parts: list[str], dtype: str = "<u2", run: int = 48) -> list[bytes]:
     """Ids of every stretch as bytes; those that may stand together are encoded ``run`` at a time."""
     found: list[bytes | None] = [None] * len(parts)
     wide = np.dtype(dtype).itemsize
@@ -129,18 +129,24 @@ def encode_apart(vocabulary, parts: list[str], dtype: str = "<u2", run: int = 32
 
 
 class Memo(dict):
-    """Stretch -> what ``work`` makes of it; beyond ``limit`` entries it starts anew."""
+    """Stretch -> what ``work`` makes of it.
+
+    Beyond ``limit`` entries only those remain that were asked for again since the last time.
+    """
 
     def __init__(self, work: Callable[[list[str]], list], limit: int):
         super().__init__()
-        self.work, self.limit = work, limit
+        self.work, self.limit, self.again = work, limit, set()
 
     def learn(self, parts: set[str]) -> None:
         """Afterwards every one of ``parts`` is known."""
-        new = [part for part in parts if part not in self]
-        if len(self) + len(new) > self.limit and len(self):
+        if len(self) + len(parts) > self.limit:
+            kept = {part: self[part] for part in self.again} if len(self.again) < self.limit // 2 else {}
             self.clear()
-            new = list(parts)
+            self.update(kept)
+            self.again = set()
+        self.again |= parts & self.keys()
+        new = list(parts - self.keys())
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
             self.update(zip(some, self.work(some)))
