@@ -40,8 +40,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in every text gives way to a mark."""
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(pii.candidates(F.col("text")).alias("found"))
-    redactor = pii.fit(cut(found.filter(F.size("found") > 0), "pii-candidates"))
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
+        pii.candidate_parts(F.col("text")).alias("found"))
+    redactor = pii.fit(cut(found.filter(F.exists("found", lambda f: F.size(f) > 0)), "pii-candidates"))
     return pii.redact(docs, redactor).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -21,6 +21,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from eddymap.llm.common import cut
 
@@ -49,6 +50,11 @@ CUES = "(?i)(?:call|tel|phone|fax|mobile|mail|contact|card|visa|account|address|
 GROUPED = r"^(?:[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}$"
 BRACKETED, COMMON_END = r"[(\[](?:at|dot)[)\]]", r"(?i)(?:com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu)$"
 LONGEST_NUMBER = 21
+#: Least length of a part of a long text, and how many characters before a candidate are looked at.
+PART, BEFORE = 4096, 24
+# A part ends before a character that no pattern holds, or before a blank that none can have there.
+_HELD = rf"{LOCAL}@\x20()\[\]"
+_FREE_BLANK = r"(?<!at)(?<!dot)(?<![)\]])\x20(?:\+|(?!at|dot)[A-Za-z])"
 LEVELS = {"kind": 6, "digits": 6, "marks": 4, "variety": 3, "left": 4, "right": 4, "cue": 2, "shape": 3}
 _CANDIDATE = "array<struct<kind: int, start: int, stop: int, passed: boolean, " + ", ".join(
     f"{f}: int" for f in list(LEVELS)[1:]) + ">>"
@@ -93,26 +99,53 @@ def _shape(kind: str, hit: Column) -> Column:
     return F.when(hit.rlike(GROUPED), 1).otherwise(0)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Candidates of one kind in a text, in order, with their features.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(text: Column, size: int = PART) -> Column:
+    """The text in parts: an array of ``at``, ``lead`` (what stands before), ``body`` and ``follow`` (the next character).
+
+    Joined in order the bodies are the text, and every match in the text is a match in one body.
+    """
+    long_parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{{size}}}(?:(?!{_FREE_BLANK})[{_HELD}])*+|(?s).+"), F.lit(0))
+    bodies = F.when(F.length(text) > size, long_parts).otherwise(F.array(text))
+    ends = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+
+    def laid(x: Column) -> Column:
+        return F.transform(x["bodies"], lambda body, i: F.struct(
+            F.get(x["ends"], i).alias("at"),
+            F.coalesce(F.right(F.get(x["bodies"], i - 1), F.lit(BEFORE)), F.lit("")).alias("lead"),
+            body.alias("body"),
+            F.coalesce(F.substring(F.get(x["bodies"], i + 1), 1, 1), F.lit("")).alias("follow")))
+
+    return _let(bodies, lambda b: _let(F.struct(b.alias("bodies"), ends(b).alias("ends")), laid))
+
+
+def _found(part: Column, kind: str) -> Column:
+    """Candidates of one kind in a part of a text, in order, with their features; positions are the text's.
 
     ``split`` gives what lies between the matches, so lengths add up to positions in code points.
     """
-    pattern = BASE.get(kind) or GENERATED[kind]
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+    pattern, body = BASE.get(kind) or GENERATED[kind], part["body"]
+    pieces = F.zip_with(F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)),
                         lambda before, hit: F.struct(before.alias("before"), hit.alias("hit")))
 
     def described(start: Column, stop: Column, hit: Column, kind: str = kind, shape: int | None = None) -> Column:
         digits = F.regexp_replace(hit, "[^0-9]", "")
-        before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-        left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
+        near = F.substring(body, F.greatest(start - (BEFORE - 1), F.lit(1)), F.least(start, F.lit(BEFORE)))
+        before = F.right(F.concat(part["lead"], near), F.lit(BEFORE))
+        left = F.when(start > 0, F.substring(body, start, F.lit(1))).otherwise("")
+        right = F.when(stop < F.length(body), F.substring(body, stop + 1, F.lit(1))).otherwise(part["follow"])
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.cast("int").alias("start"), stop.cast("int").alias("stop"),
+            F.lit(KINDS.index(kind)).alias("kind"),
+            (part["at"] + start).cast("int").alias("start"), (part["at"] + stop).cast("int").alias("stop"),
             (_passes(kind, hit) if kind in BASE else F.lit(False)).alias("passed"),
             _bucket(F.length(digits), 7, 9, 12, 16, 20).alias("digits"),
             _bucket(F.length(hit) - F.length(digits), 1, 2, 4).alias("marks"),
             _bucket(F.size(F.array_distinct(F.split(digits, ""))), 3, 7).alias("variety"),
-            _beside(left).alias("left"), _beside(F.substring(text, stop + 1, F.lit(1))).alias("right"),
+            _beside(left).alias("left"), _beside(right).alias("right"),
             before.rlike(CUES).cast("int").alias("cue"), (_shape(kind, hit) if shape is None else F.lit(shape)).alias("shape"))
 
     def forms(start: Column, hit: Column) -> Column:
@@ -138,16 +171,25 @@ def _found(text: Column, kind: str) -> Column:
             (start + F.length(x["hit"])).alias("at"),
             F.when(plausible, F.concat(state["spans"], forms(start, x["hit"]))).otherwise(state["spans"]).alias("spans")))
 
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_CANDIDATE).alias("spans")), step)["spans"]
-    return F.when(text.rlike(NEEDED[kind]), spans).otherwise(F.array().cast(_CANDIDATE))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(_CANDIDATE).alias("spans")), step)["spans"]
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of a text: an array of kind, start, stop, whether base checks pass, and features.
+def candidate_parts(text: Column, size: int = PART) -> Column:
+    """All candidates of a text, an array for each of its parts; candidates of different parts never overlap.
 
-    Masked forms of base spans are among them, for ``fit``.
+    A candidate has kind, start, stop, whether base checks pass, and features.  Masked forms of base
+    spans are among them, for ``fit``.
     """
-    return F.concat(*[_found(text, kind) for kind in KINDS])
+    def of_part(part: Column, needed: Column) -> Column:
+        return F.concat(*[F.when(needed[kind], _found(part, kind)).otherwise(F.array().cast(_CANDIDATE)) for kind in KINDS])
+
+    needed = F.struct(*[text.rlike(NEEDED[kind]).alias(kind) for kind in KINDS])
+    return _let(needed, lambda n: F.transform(_parts(text, size), lambda part: of_part(part, n)))
+
+
+def candidates(text: Column, size: int = PART) -> Column:
+    """All candidates of a text in one array (see ``candidate_parts``)."""
+    return F.flatten(candidate_parts(text, size))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -238,7 +280,7 @@ class Redactor:
 
 
 def fit(candidate_rows: DataFrame, precision: float = 0.9) -> Redactor:
-    """Boost on all candidates of a table with a column ``found`` (see ``candidates``).
+    """Boost on all candidates of a table with a column ``found`` (see ``candidate_parts``, or ``candidates``).
 
     The driver receives one row per distinct feature vector: at most the product of ``LEVELS``, 41,472.
     The floor of a kind is the lowest score above which at least ``precision`` of the labelled candidates
@@ -262,8 +304,11 @@ def fit(candidate_rows: DataFrame, precision: float = 0.9) -> Redactor:
         return F.transform(found, lambda c: F.struct(c.alias("c"), F.when(
             c["kind"] < len(BASE), c["passed"]).otherwise(label(c)).alias("label")))
 
+    in_parts = isinstance(candidate_rows.schema["found"].dataType.elementType, ArrayType)
+    parts = F.col("found") if in_parts else F.array("found")
     counted = (
-        candidate_rows.filter(F.size("found") > 0).select(F.explode(weak(F.col("found"))).alias("x"))
+        candidate_rows.select(F.explode(parts).alias("found")).filter(F.size("found") > 0)
+        .select(F.explode(weak(F.col("found"))).alias("x"))
         .filter("x.label IS NOT NULL")
         .groupBy(*[F.col(f"x.c.{f}").alias(f) for f in LEVELS])
         .agg(F.sum(F.col("x.label").cast("int")).alias("good"), F.count(F.lit(1)).alias("all"))
@@ -298,7 +343,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     # The text is a column of its own before the expressions that look at it many times.
     scanned = cut(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-                  .select("doc_id", candidates(F.col("text")).alias("found")), "pii-candidates")
+                  .select("doc_id", candidate_parts(F.col("text")).alias("found")), "pii-candidates")
     redactor = fit(scanned)
     names = F.array(*map(F.lit, KINDS))
 
@@ -307,11 +352,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.array_join(F.transform(ordered, lambda c: F.concat_ws(
             ":", F.element_at(names, c["kind"] + 1), c["start"].cast("string"), c["stop"].cast("string"))), ",")
 
-    base = F.filter("found", lambda c: c["passed"])
+    base = F.filter(F.flatten("found"), lambda c: c["passed"])
     return scanned.select(
         F.col("doc_id").alias(id_col),
         *[F.size(F.filter(base, lambda c: c["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)],  # noqa: B023
-        F.sha2(told(base), 256).alias("base_sha256"), told(redactor.selected(F.col("found"))).alias("spans"))
+        F.sha2(told(base), 256).alias("base_sha256"), told(F.flatten(F.transform("found", redactor.selected))).alias("spans"))
 
 
 def redact(docs: DataFrame, redactor: Redactor, text_col: str = "text", mark: str = "[PII]") -> DataFrame:
@@ -321,18 +366,21 @@ def redact(docs: DataFrame, redactor: Redactor, text_col: str = "text", mark: st
     """
     text = F.col(text_col)
 
-    def step(state: Column, c: Column) -> Column:
-        fresh = c["start"] >= state["at"]
-        gap = F.substring(text, state["at"] + 1, c["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], c["stop"]).alias("at"),
-                        F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+    def clean(part: Column, found: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            fresh = c["start"] >= state["at"]
+            gap = F.substring(part["body"], state["at"] - part["at"] + 1, c["start"] - state["at"])
+            return F.struct(F.greatest(state["at"], c["stop"]).alias("at"),
+                            F.when(fresh, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
+
+        spans = F.array_sort(F.transform(redactor.selected(found), lambda c: F.struct(c["start"], c["stop"])))
+        return F.aggregate(spans, F.struct(part["at"].alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(
+            s["out"], F.substring(part["body"], s["at"] - part["at"] + 1, F.length(part["body"]))))
 
-    spans = F.array_sort(F.transform(redactor.selected(F.col("found")), lambda c: F.struct(c["start"], c["stop"])))
-    cleaned = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                          lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias(text_col))
+    cleaned = F.array_join(F.zip_with(_parts(text), "found", clean), "")
     return (
-        held.withColumn("found", candidates(text))
-        .select("row", F.when(F.size("found") > 0, cleaned).otherwise(text).alias("cleaned"))
+        held.withColumn("found", candidate_parts(text))
+        .select("row", F.when(F.exists("found", lambda f: F.size(f) > 0), cleaned).otherwise(text).alias("cleaned"))
         .select(F.col("row").withField(text_col, F.col("cleaned")).alias("row")).select("row.*")
     )

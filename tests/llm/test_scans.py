@@ -128,3 +128,26 @@ def test_local_phones_and_obfuscated_addresses_are_added(docs):
     assert all(found[300 + i] == "number:3:17" for i in range(20))
     assert found[400] == "contact:6:37" and found[401] == "contact:6:29" and found[402] == found[403] == ""
     assert not any("number" in found[100 + i] for i in range(60))
+
+
+def test_parts_of_long_texts_hold_the_same_candidates(docs):
+    rng = random.Random(3)
+    bits = ["+49 30 1234567", "call", "at", "dot", "com", "joe@x.org", "joe at foo dot com", "joe (at) foo (dot) com", "555-123-4567",
+            "4111 1111 1111 1111", "10.0.0.1", ",", "ü", "\n", "(030) 123", "x+y", "+", "word", "atlas", "dotted", "[at]", "é7", "12345678", "-", "."]
+    rows = [(i, rng.choice([" ", "", " "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 120)))) for i in range(150)]
+    text = F.col("text")
+    found = docs([*rows, (998, ""), (999, "1 " * 500)]).select(
+        text, F.array_sort(pii.candidates(text, 32)).alias("parted"), F.array_sort(pii.candidates(text, 1 << 20)).alias("whole"),
+        pii._parts(text, 32).alias("parts")).collect()
+    assert all(r["parted"] == r["whole"] for r in found)
+    assert all("".join(p["body"] for p in r["parts"]) == r["text"] for r in found)
+    assert sum(len(r["parts"]) for r in found) > 1000 and sum(len(r["whole"]) for r in found) > 1000
+
+
+def test_a_long_text_of_phone_numbers(docs):
+    n, text = 4000, " ".join(f"call +49 30 {1000000 + i} now" for i in range(4000))
+    table = docs([(1, text), (2, "clean")])
+    found = {r["doc_id"]: r for r in pii.find_personal_data(table).collect()}
+    assert found[1]["n_phone"] == n and found[2]["spans"] == ""
+    redactor = pii.fit(table.select(pii.candidate_parts(F.col("text")).alias("found")))
+    assert sorted(r["text"] for r in pii.redact(table, redactor).collect()) == [" ".join(["call [PII] now"] * n), "clean"]
