@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from eddymap.graph import Graph, Partition
 from eddymap.operators.merge import scored_pairs, with_delta
+from eddymap.store import Store, Written
 
 CANDIDATE_COLUMNS = (
     "m1", "m2", "n1", "n2", "p1", "p2", "w1", "w2", "w1221", "q1", "q2", "dl",
@@ -83,6 +84,73 @@ def update_candidates(candidates: DataFrame, part: Partition, merge: Row) -> Dat
     return with_delta(summed, part).select(*CANDIDATE_COLUMNS)
 
 
+# Merges after which the candidate index is written anew; its filters name at most twice as many modules.
+FOLD_EVERY = 32
+
+
+@dataclass
+class CandidateIndex:
+    """The candidate table as a written base and the rows that each later merge changed.
+
+    A merge changes the rows of two modules, but every ``dl``, since that depends on the total exit rate.
+    So only changed rows are appended, under the merge's number, and ``dl`` is computed while the best
+    candidate is looked for.  A row is dead once a later merge has changed one of its modules.  After
+    ``fold_every`` merges, or when the appended rows outnumber the base, the live rows become the new base.
+    """
+
+    store: Store
+    base: Written
+    best: Row | None
+    fold_every: int = FOLD_EVERY
+    added: list[Written] = field(default_factory=list)
+    changed: dict[int, int] = field(default_factory=dict)
+    n_added: int = 0
+
+    @classmethod
+    def start(cls, part: Partition, store: Store, fold_every: int = FOLD_EVERY) -> "CandidateIndex":
+        base = store.cut(candidate_table(part).withColumn("merge", F.lit(0)), "candidates", best=best_merge_metric())
+        return cls(store, base, base.stats["best"], fold_every)
+
+    def live(self) -> DataFrame:
+        """The rows that hold now, without ``dl``, and the number of the merge that wrote them."""
+        schema = self.base.df.schema
+        rows = self.store.spark.read.schema(schema).parquet(self.base.path, *[t.path for t in self.added]).drop("dl")
+        if not self.changed:
+            return rows
+        modules = list(self.changed)
+        last = F.create_map(*[F.lit(x) for pair in self.changed.items() for x in pair])
+        fresh = [F.col("merge") >= F.coalesce(F.try_element_at(last, F.col(m)), F.lit(0)) for m in ("m1", "m2")]
+        untouched = ~F.col("m1").isin(modules) & ~F.col("m2").isin(modules)
+        return rows.filter(untouched | ((F.col("merge") > 0) & fresh[0] & fresh[1]))
+
+    def apply(self, part: Partition, merge: Row) -> None:
+        """Carry out ``merge``, after which ``part`` holds, in one job that also finds the next best candidate."""
+        number, rows = len(self.added) + 1, self.live()
+        touched = F.col("m1").isin(merge.m1, merge.m2) | F.col("m2").isin(merge.m1, merge.m2)
+        columns = [*CANDIDATE_COLUMNS, "merge"]
+        after = with_delta(rows.filter(~touched), part).select(*columns).union(
+            update_candidates(rows.filter(touched), part, merge).withColumn("merge", F.lit(number)).select(*columns))
+        is_new = F.col("merge") == number
+        table = self.store.cut(after, "candidates", keep=is_new, best=best_merge_metric(), new=F.count_if(is_new))
+        self.best = table.stats["best"]
+        self.added.append(table)
+        self.n_added += table.stats["new"]
+        self.changed |= {merge.m1: number, merge.m2: number}
+        if number >= self.fold_every or self.n_added > self.base.rows:
+            self.fold(part)
+
+    def fold(self, part: Partition) -> None:
+        """Write the live rows as the new base."""
+        rows = with_delta(self.live().drop("merge"), part).select(*CANDIDATE_COLUMNS).withColumn("merge", F.lit(0))
+        base = self.store.cut(rows, "candidates")
+        self.close()
+        self.base, self.added, self.changed, self.n_added = base, [], {}, 0
+
+    def close(self) -> None:
+        for table in (self.base, *self.added):
+            table.drop()
+
+
 def merged_scalars(part: Partition, merge: Row) -> Partition:
     """The partition's scalars after ``merge``; its tables are left as they were."""
     return replace(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +15,9 @@ from eddymap.store import Store, Written
 
 # Most rows of one source that a single task joins; a busier source is spread over more slots.
 ROWS_PER_SLOT = 1_000_000
-# Links that one partition of the prepared graph holds on average, once there are enough of them.
-ROWS_PER_PARTITION = 4_000_000
+# Links, and vertices, that one bucket of the prepared graph holds on average, once there are enough of them.
+ROWS_PER_BUCKET = 4_000_000
+NODES_PER_BUCKET = 1_000_000
 
 
 def sparse_matvec(matrix: DataFrame, constant: DataFrame, vector: DataFrame) -> DataFrame:
@@ -44,19 +44,24 @@ def sparse_matvec(matrix: DataFrame, constant: DataFrame, vector: DataFrame) ->
 class Walk:
     """A graph prepared for walking.
 
-    ``links`` are the normalised edges ``(src, slot, dst, weight)``, kept partitioned and sorted by
-    ``(src, slot)`` so that a step moves only vertex rows and partial sums, and sorts no edges.  ``nodes``
-    are ``(id, slots)``: over how many slots the out-edges are spread, 0 for a dangling vertex.
+    ``stored`` holds the normalised edges ``(src, slot, dst, weight)`` on shared storage in buckets of
+    ``(src, slot)``, so that a step moves only vertex rows and partial sums, sorts no edges, and a lost
+    executor loses none.  ``nodes`` are ``(id, slots)``: over how many slots the out-edges are spread, 0
+    for a dangling vertex.
     """
 
-    links: DataFrame
+    stored: Written
     nodes: Written
     out: Written
     n_nodes: int
     n_dangling: int
 
+    @property
+    def links(self) -> DataFrame:
+        return self.stored.df
+
     def close(self) -> None:
-        self.links.unpersist()
+        self.stored.drop()
         self.nodes.drop()
         self.out.drop()
 
@@ -64,7 +69,7 @@ class Walk:
 def prepare_walk(
     vertices: DataFrame, edges: DataFrame, store: Store, rows_per_slot: int = ROWS_PER_SLOT
 ) -> Walk:
-    """Normalise the edges, spread busy sources over slots and keep the result for all steps."""
+    """Normalise the edges, spread busy sources over slots and write the result for all steps."""
     spark = vertices.sparkSession
     totals = out_weight(edges).filter("total > 0").select(
         "src", "total", "degree", F.ceil(F.col("degree") / F.lit(rows_per_slot)).cast("int").alias("slots")
@@ -78,7 +83,9 @@ def prepare_walk(
     )
     if nodes.rows == 0:
         raise ValueError("the graph has no vertices")
-    partitions = max(spark.sparkContext.defaultParallelism, -(-(out.stats["links"] or 0) // ROWS_PER_PARTITION))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-(out.stats["links"] or 0) // ROWS_PER_BUCKET),
+                  -(-nodes.rows // NODES_PER_BUCKET))
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     links = (
         edges.join(out.df, "src")
         .select(
@@ -87,11 +94,9 @@ def prepare_walk(
             "dst",
             (F.col("weight") / F.col("total")).alias("weight"),
         )
-        .repartition(partitions, "src", "slot")
-        .sortWithinPartitions("src", "slot")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    return Walk(links, nodes, out, nodes.rows, nodes.stats["dangling"])
+    stored = store.cut_in_buckets(links, "links", buckets, "src", "slot")
+    return Walk(stored, nodes, out, nodes.rows, nodes.stats["dangling"])
 
 
 def start_frequencies(walk: Walk) -> DataFrame:
@@ -100,11 +105,14 @@ def start_frequencies(walk: Walk) -> DataFrame:
 
 
 def flow_rows(walk: Walk, state: DataFrame) -> DataFrame:
-    """Flow ``(src, dst, weight)`` over each link: source frequency times normalised weight."""
+    """Flow ``(src, dst, weight)`` over each link: source frequency times normalised weight.
+
+    The sources of a bucket are hashed, some ``NODES_PER_BUCKET`` rows, and its links stream past them unsorted.
+    """
     sources = state.filter("slots > 0").selectExpr(
         "id AS src", "explode(sequence(0, slots - 1)) AS slot", "p"
     )
-    return walk.links.join(sources, ["src", "slot"]).selectExpr("src", "dst", "p * weight AS weight")
+    return walk.links.join(sources.hint("shuffle_hash"), ["src", "slot"]).selectExpr("src", "dst", "p * weight AS weight")
 
 
 def pagerank_step(

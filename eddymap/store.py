@@ -40,6 +40,7 @@ class Written:
     path: str
     stats: dict = field(default_factory=dict)
     store: "Store | None" = None
+    table: str | None = None
 
     @property
     def rows(self) -> int:
@@ -47,6 +48,8 @@ class Written:
 
     def drop(self) -> None:
         """Delete the files; call only when a newer table has replaced this one."""
+        if self.table:
+            self.store.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         self.store.delete(self.path)
 
 
@@ -70,22 +73,39 @@ class Store:
         self._live = {number: table for number, table in self._live.items() if table.path != path}
         self._fs.delete(self._hadoop_path(path), True)
 
-    def cut(self, df: DataFrame, name: str, **metrics: Column) -> Written:
+    def _next_path(self, name: str) -> str:
+        self._count += 1
+        return f"{self.folder}/{self._count:05d}-{name}"
+
+    def cut(self, df: DataFrame, name: str, keep: Column | None = None, **metrics: Column) -> Written:
         """Write ``df`` in one job that also computes ``metrics``, and read it back.
 
         The metrics are taken in the writing stage, where Spark counts each finished task once, so
-        a retried task does not distort them.
+        a retried task does not distort them.  With ``keep`` they see all rows, but only those for which it
+        is true are written.
         """
-        self._count += 1
-        path = f"{self.folder}/{self._count:05d}-{name}"
+        path = self._next_path(name)
         seen = Observation()
         columns = [F.count(F.lit(1)).alias("rows")]
         columns += [metric.alias(key) for key, metric in metrics.items()]
-        df.observe(seen, *columns).write.parquet(path)
+        observed = df.observe(seen, *columns)
+        (observed if keep is None else observed.filter(keep)).write.parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         written = self._live[self._count] = Written(table, path, seen.get, self)
         return written
 
+    def cut_in_buckets(self, df: DataFrame, name: str, buckets: int, *by: str) -> Written:
+        """Write ``df`` as a table with one file per bucket of the columns ``by``, and read it back.
+
+        A join on these columns reads each bucket in place and moves only the other side.
+        """
+        path = self._next_path(name)
+        table = f"eddymap_{uuid.uuid4().hex}"
+        (df.repartition(buckets, *by).write.bucketBy(buckets, *by).option("path", path)
+         .saveAsTable(table, format="parquet"))
+        written = self._live[self._count] = Written(self.spark.table(table), path, {}, self, table)
+        return written
+
     def mark(self) -> int:
         """A point in time for :meth:`drop_since`."""
         return self._count

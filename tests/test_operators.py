@@ -10,7 +10,7 @@ from helpers import rows
 from eddymap import Graph, graph_from_tables, init_partition, multi_merge, pagerank
 from eddymap.functions.flow_math import plogp_value
 from eddymap.graph import EDGE_SCHEMA, VERTEX_SCHEMA
-from eddymap.operators import analysis, merge, walk
+from eddymap.operators import analysis, merge, pairs, walk
 from eddymap.operators.components import connected_components, label_edges
 from eddymap.operators.partition import codelength, contract
 from eddymap.operators.walk import sparse_matvec
@@ -255,19 +255,49 @@ def test_histogram(spark):
 
 
 def test_step_moves_no_links(spark, net, monkeypatch):
-    """Even without broadcasts a step neither shuffles, sorts nor recomputes the kept links."""
+    """Even without broadcasts and caches a step neither shuffles, sorts nor recomputes the written links."""
     for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(key, "-1")
     try:
         graph, cut = net("four-groups"), Store(spark)
         prepared = walk.prepare_walk(graph.vertices, graph.edges, cut)
+        spark.catalog.clearCache()
         step = walk.pagerank_step(prepared, walk.start_frequencies(prepared), 0.0, 0.85)
         step.collect()
         plan = step._jdf.queryExecution().executedPlan().toString()
         final = plan[:plan.index("Initial Plan")]
-        joined = final[final.index("SortMergeJoin"):final.index("InMemoryTableScan")]
+        joined = final[final.index("ShuffledHashJoin"):final.index("Bucketed: true")]
         assert "Exchange" not in joined and "Sort [" not in joined
         prepared.close()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("fold_every", [1, 3, 100])
+def test_candidate_index_equals_the_rewritten_table(spark, fold_every):
+    """Appended rows give the same best pair and the same live table as rewriting all candidates per merge."""
+    rng = random.Random(8)
+    links = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(60)})
+    graph = graph_from_tables(
+        spark.createDataFrame([(i,) for i in range(24)], "id bigint"),
+        spark.createDataFrame([(a, b, rng.random()) for a, b in links], "src bigint, dst bigint, weight double"))
+    cut = Store(spark)
+    part = init_partition(graph)
+    index = pairs.CandidateIndex.start(part, cut, fold_every)
+    table = spark.createDataFrame(pairs.candidate_table(part).toPandas())
+    written = 0
+    for _ in range(6):
+        best = index.best
+        assert best.asDict() == pytest.approx(pairs.best_merge(table).first().asDict())
+        part = pairs.merged_scalars(part, best)
+        table = spark.createDataFrame(pairs.update_candidates(table, part, best).toPandas())
+        index.apply(part, best)
+        written += index.n_added
+        live = {(r.m1, r.m2): r.w1221 for r in index.live().collect()}
+        assert live == pytest.approx({(r.m1, r.m2): r.w1221 for r in table.collect()})
+    assert len(index.added) == {1: 0, 3: 0, 100: 6}[fold_every]
+    if fold_every == 100:
+        assert index.n_added < 3 * len(links)
+    index.close()
+    assert not cut.written_since(0)
