@@ -35,22 +35,24 @@ def trace_row(round_no: int, part: Partition, before: Partition | None) -> tuple
     return (round_no, part.n_modules, part.n_links, part.codelength, delta)
 
 
-def compose_maps(maps: list[DataFrame], store: Store) -> DataFrame:
-    """One map ``(module, target)`` for several, applied in turn.
+def compose_maps(maps: list[Written], store: Store) -> Written:
+    """One map ``(module, target)`` for several, applied in turn; the several are dropped.
 
     A module that a later map moves was not moved by an earlier one, so its row is taken over.  Maps get
     shorter from round to round, so all joins together move about as many rows as the first map has.
     """
     whole = maps[-1]
     for earlier in reversed(maps[:-1]):
-        onward = whole.select(F.col("module").alias("target"), F.col("target").alias("onward"))
-        led = earlier.join(onward, "target", "left").select("module", F.coalesce("onward", "target").alias("target"))
-        whole = store.cut(led.unionByName(whole), "composed-map").df
+        onward = whole.df.select(F.col("module").alias("target"), F.col("target").alias("onward"))
+        led = earlier.df.join(onward, "target", "left").select("module", F.coalesce("onward", "target").alias("target"))
+        later, whole = whole, store.cut(led.unionByName(whole.df), "composed-map")
+        later.drop()
+        earlier.drop()
     return whole
 
 
-def _moved(graph: Graph, maps: list[DataFrame], store: Store) -> Graph:
-    return relabel_nodes(graph, compose_maps(maps, store)) if maps else graph
+def _moved(graph: Graph, maps: list[Written], store: Store) -> Graph:
+    return relabel_nodes(graph, compose_maps(maps, store).df) if maps else graph
 
 
 def multi_merge(
@@ -67,7 +69,7 @@ def multi_merge(
     store = store or Store(graph.spark)
     trace = [trace_row(0, part, None)]
     held: list[Written] = []  # tables of the current state that the search wrote itself
-    maps: list[DataFrame] = []
+    maps: list[Written] = []
     first = graph
     for round_no in range(max_rounds):
         if on_round:
@@ -83,7 +85,7 @@ def multi_merge(
         if after.codelength >= part.codelength:
             store.drop_since(start)
             return Communities(_moved(first, maps, store), part, trace)
-        maps.append(moved.df)
+        maps.append(moved)
         if on_round:
             graph = relabel_nodes(graph, moved.df)
         trace.append(trace_row(round_no + 1, after, part))

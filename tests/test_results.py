@@ -82,8 +82,11 @@ def test_composed_maps_equal_maps_in_turn(spark):
             roots[m] = roots[moved[m]]  # targets are smaller, so already settled
         maps.append({m: t for m, t in roots.items() if m != t})
         left = [m for m in left if m not in maps[-1]]
-    frames = [spark.createDataFrame(list(m.items()), "module long, target long") for m in maps]
-    found = dict(rows(compose_maps(frames, Store(spark))))
+    store = Store(spark)
+    tables = [store.cut(spark.createDataFrame(list(m.items()), "module long, target long"), "map") for m in maps]
+    whole = compose_maps(tables, store)
+    found = dict(rows(whole.df))
+    assert store.written_since(0) == [whole]
     for module in range(1, 60):
         at = module
         for one in maps:
