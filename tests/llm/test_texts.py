@@ -221,3 +221,26 @@ def test_fingerprints_take_the_smallest_id(spark, docs):
     rows = [(-(1 << 63), "lowest id of all"), ((1 << 63) - 1, "highest id of all"), (0, "in between")]
     found = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs(rows)).collect()}
     assert set(found) == {i for i, _ in rows}
+
+
+def test_a_step_of_the_line_field_follows_the_likelihood():
+    """One round moves the weights along the gradient of the likelihood summed over all label sequences."""
+    numbers = np.random.default_rng(4)
+    sequences, labels = [numbers.random((n, line_crf.FEATURES)) for n in (3, 1, 5, 3)], [1, 0, 0, 1]
+
+    def likelihood(weights):
+        emit, step = weights[:-4].reshape(2, -1), weights[-4:].reshape(2, 2)
+
+        def score(x, path):
+            return sum(x[t] @ emit[k] for t, k in enumerate(path)) + sum(step[a, b] for a, b in itertools.pairwise(path))
+
+        return sum(score(x, [y] * len(x)) - np.logaddexp.reduce([score(x, p) for p in itertools.product((0, 1), repeat=len(x))])
+                   for x, y in zip(sequences, labels)) / sum(map(len, sequences))
+
+    before = line_crf.fit(sequences, labels, rounds=2, decay=0.0)
+    after = line_crf.fit(sequences, labels, rounds=3, decay=0.0)
+    at = np.concatenate([before.emit.ravel(), before.step.ravel()])
+    moved = np.concatenate([(after.emit - before.emit).ravel() / 5.0, (after.step - before.step).ravel() / 0.5])
+    tiny = np.eye(len(at)) * 1e-6
+    slopes = [(likelihood(at + d) - likelihood(at - d)) / 2e-6 for d in tiny]
+    assert np.allclose(moved, slopes, atol=1e-6)
