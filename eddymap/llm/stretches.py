@@ -104,24 +104,39 @@ def sentence_pieces(model: bytes) -> SentencePieces:
     return SentencePieces(model)
 
 
+def _parted(vocabulary, parts: list[str], runs: list[int], ids: list[np.ndarray], dtype: str) -> list[bytes] | None:
+    """Ids of every part, from those of runs of so many parts; None if some part does not end where a token does."""
+    every = np.concatenate(ids)
+    ends = np.cumsum(np.fromiter(map(len, map(str.encode, parts)), np.int64, len(parts)))
+    token_ends = np.concatenate([[0], np.cumsum(vocabulary.lengths[every])])
+    run_ends = ends[np.cumsum(runs) - 1]
+    cuts = np.searchsorted(token_ends, ends)
+    if (token_ends[np.cumsum(list(map(len, ids)))] != run_ends).any() or (token_ends[cuts] != ends).any():
+        return None
+    data, stops = every.astype(dtype).tobytes(), (cuts * np.dtype(dtype).itemsize).tolist()
+    return [data[start:stop] for start, stop in zip([0, *stops], stops)]
+
+
 def encode_apart(vocabulary, parts: list[str], dtype: str = "<u2", run: int = 48) -> list[bytes]:
     """Ids of every stretch as bytes; those that may stand together are encoded ``run`` at a time."""
     found: list[bytes | None] = [None] * len(parts)
-    wide = np.dtype(dtype).itemsize
     free, alone = [], []
     for i, part in enumerate(parts):
         (free if joins_freely(part) else alone).append(i)
     runs = [free[s:s + run] for s in range(0, len(free), run)]
-    for own, ids in zip(runs, vocabulary.encode(["".join([parts[i] for i in own]) for own in runs])):
-        ends = np.cumsum([len(parts[i].encode()) for i in own])
-        token_ends = np.cumsum(vocabulary.lengths[ids])
-        cuts = np.searchsorted(token_ends, ends)
-        if len(token_ends) and token_ends[-1] == ends[-1] and (token_ends[cuts] == ends).all():
-            data, start = ids.astype(dtype).tobytes(), 0
-            for i, stop in zip(own, ((cuts + 1) * wide).tolist()):
-                found[i], start = data[start:stop], stop
+    left = [(runs, vocabulary.encode(["".join([parts[i] for i in own]) for own in runs]))] if runs else []
+    while left:
+        some, ids = left.pop()
+        members = [i for own in some for i in own]
+        split = _parted(vocabulary, [parts[i] for i in members], list(map(len, some)), ids, dtype)
+        if split:
+            for i, data in zip(members, split):
+                found[i] = data
+        elif len(some) > 1:
+            half = len(some) // 2
+            left += [(some[:half], ids[:half]), (some[half:], ids[half:])]
         else:  # something in it is not spelt by its own bytes
-            alone += own
+            alone += some[0]
     if alone:
         for i, ids in zip(alone, vocabulary.encode([parts[i] for i in alone])):
             found[i] = ids.astype(dtype).tobytes()
@@ -129,24 +144,28 @@ def encode_apart(vocabulary, parts: list[str], dtype: str = "<u2", run: int = 48
 
 
 class Memo(dict):
-    """Stretch -> what ``work`` makes of it.
+    """Stretch -> what ``work`` makes of it, in two generations of at most ``limit`` entries together.
 
-    Beyond ``limit`` entries only those remain that were asked for again since the last time.
+    When the younger one is full it becomes the older one, whose entries return when they are asked for;
+    so what is asked for again and again remains.  One call's ``parts`` are always held, whatever their number.
     """
 
     def __init__(self, work: Callable[[list[str]], list], limit: int):
         super().__init__()
-        self.work, self.limit, self.again = work, limit, set()
+        self.work, self.limit, self.older = work, limit, {}
 
     def learn(self, parts: set[str]) -> None:
         """Afterwards every one of ``parts`` is known."""
-        if len(self) + len(parts) > self.limit:
-            kept = {part: self[part] for part in self.again} if len(self.again) < self.limit // 2 else {}
+        new = [part for part in parts if part not in self]
+        if not new:
+            return
+        if 2 * (len(self) + len(new)) > self.limit:
+            self.older = dict(self)
             self.clear()
-            self.update(kept)
-            self.again = set()
-        self.again |= parts & self.keys()
-        new = list(parts - self.keys())
+            new = list(parts)
+        back = {part: self.older[part] for part in new if part in self.older}
+        self.update(back)
+        new = [part for part in new if part not in back]
         for start in range(0, len(new), 20_000):
             some = new[start:start + 20_000]
             self.update(zip(some, self.work(some)))

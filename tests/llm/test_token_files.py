@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from eddymap.llm import token_files
 from eddymap.llm.elias_fano import EliasFano
 from eddymap.llm.queries import BYTE_LEVEL, PIECES_MODEL, file_text
-from eddymap.llm.stretches import byte_level, encode_apart, sentence_pieces, stretches
+from eddymap.llm.stretches import Memo, byte_level, encode_apart, sentence_pieces, stretches
 from eddymap.store import Store
 
 
@@ -91,3 +91,18 @@ def test_odd_and_empty_tables(spark, odd_docs, empty_docs):
 def test_other_bytes_are_refused():
     with pytest.raises(ValueError):
         list(token_files.segments(b"x" * 100))
+
+
+def test_memory_holds_what_a_call_asks_for_and_what_returns():
+    asked = []
+    memo = Memo(lambda parts: asked.extend(parts) or [part.upper() for part in parts], 8)
+    for turn in range(6):
+        memo.learn({"often", f"once{turn}", f"twice{turn // 2}"})
+        assert memo["often"] == "OFTEN" and memo[f"once{turn}"] == f"ONCE{turn}"
+        assert len(memo) + len(memo.older) <= 8
+    assert asked.count("often") == 1
+    memo.learn({str(i) for i in range(50)})  # more than the limit
+    assert [memo[str(i)] for i in range(50)] == list(map(str, range(50)))
+    memo.learn(set())
+    memo.learn({"x"})
+    assert memo["x"] == "X" and len(memo) == 1
