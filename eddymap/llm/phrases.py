@@ -37,7 +37,7 @@ _TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 _END = b"\xff"
 SKETCH_BITS, BLOCK = 22, 1 << 16
 #: Different windows that a task holds before it hands them on, and windows of a range.
-HELD_WINDOWS, RANGE_WINDOWS = 400_000, 200_000
+HELD_WINDOWS, RANGE_WINDOWS = 250_000, 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
