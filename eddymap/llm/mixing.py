@@ -124,7 +124,8 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
             F.first("first.bucket").alias("edge_from"), F.first("first.words").alias("edge_words"),
             F.coalesce(F.min(F.when(F.col("seen") - F.col("first.docs") >= edge, F.col("bucket"))),
                        F.max("bucket")).alias("edge_to")), "mix-edges")
-    placed = beside(ranked, edges, "source")
+    # Written, as below: each is read several times, and the plan would hold all that made it as often.
+    placed = cut(beside(ranked, edges, "source"), "mix-placed")
     inside = F.coalesce(F.col("bucket").between(F.col("edge_from"), F.col("edge_to")), F.lit(False))
 
     # At the edge of a source, at least `edge` documents and whole buckets: a bounded number of rows.
@@ -132,13 +133,14 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     # most one that leaves less missing than before.
     whole = Window.partitionBy("source")
     in_order = whole.orderBy("rank", "size", "u", F.col("doc_id").asc_nulls_first())
-    at_edge = (
+    at_edge = cut(
         placed.filter(inside)
         .withColumn("gap", F.col("need") - F.col("edge_words"))
         .withColumn("upto", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("chosen", F.col("upto") <= F.col("gap"))
         .withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("chosen"), F.col("upto"))).over(whole), F.lit(0)))
-        .withColumn("place", F.row_number().over(whole.orderBy("chosen", "upto", "rank", "size", "u", F.col("doc_id").asc_nulls_first())))
+        .withColumn("place", F.row_number().over(whole.orderBy("chosen", "upto", "rank", "size", "u", F.col("doc_id").asc_nulls_first()))),
+        "mix-at-edge",
     )
     fits = lambda left, next_: next_["size"] <= left["gap"]
     last = F.array_min(F.transform(F.filter("queue", lambda q: ~F.array_contains("taken.places", q["place"])),
@@ -176,10 +178,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that agree in id, text and source are interchangeable: together they appear as often as the
     mix takes them, with the other columns of one of them.
     """
-    given = (
+    given = cut(
         _mix(docs, id_col, text_col, source_col, seed=seed, **options)
         .groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("u").alias("mix_u"))
-        .agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).filter("mix_copies > 0")
+        .agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).filter("mix_copies > 0"),
+        "mix-given",
     )
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("row_id"),

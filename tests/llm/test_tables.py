@@ -42,6 +42,13 @@ def test_targets_and_words_taken(docs):
     assert len(found) == len(rows)
 
 
+def test_mixing_reads_written_steps(docs):
+    """What the mix reads several times is written, or its plan grows beyond what the driver holds."""
+    table = docs([(i, "w " * (5 + i % 7), "ab"[i % 2]) for i in range(200)])
+    plan = mixing.mixed_documents(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 4
+
+
 def test_mixed_rows_are_whole(docs, odd_docs, empty_docs):
     rows = [(i, " ".join(["w"] * (5 + i % 7)), "ab"[i % 2]) for i in range(200)] + [(1, "w w w w w w", "b")] * 2
     table = docs(rows)
