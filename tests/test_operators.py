@@ -301,3 +301,57 @@ def test_candidate_index_equals_the_rewritten_table(spark, fold_every):
         assert index.n_added < 3 * len(links)
     index.close()
     assert not cut.written_since(0)
+
+
+@pytest.mark.parametrize("direction", ["symmetric", "asymmetric"])
+def test_pairs_dealt_over_slots_give_the_same_merges(net, direction, monkeypatch):
+    graph = net("four-groups")
+    store = Store(graph.spark)
+    part = init_partition(graph, store=store)
+    written, cut = {}, Store.cut
+
+    def counted(self, df, name, *args, **metrics):
+        table = cut(self, df, name, *args, **metrics)
+        written.setdefault(name, []).append(table.rows)
+        return table
+    monkeypatch.setattr(Store, "cut", counted)
+    plain = merge.choose_merges(part, direction, store)
+    dealt = merge.choose_merges(part, direction, store, rows_per_slot=1)
+    assert written["busy-cells"] and rows(plain.df) == rows(dealt.df)
+    assert rows(merge.scored_pairs(part, store, 1).select("m1", "m2", "forth", "back")) == rows(
+        merge.scored_pairs(part, store).select("m1", "m2", "forth", "back"))
+    # What cannot be the best of its source is not written.
+    every = (merge.symmetric_deltas if direction == "symmetric" else merge.delta_table)(part).filter("dl < 0")
+    assert written["proposals"][0] < every.count()
+    least = merge.smallest_delta(every)
+    assert rows(plain.df) == rows(merge.best_targets(every, least))
+
+
+def test_prepared_links_move_once(net, monkeypatch):
+    """Besides the few rows of the sources, only one exchange, into the buckets themselves."""
+    graph, seen = net("four-groups"), []
+    graph = Graph(graph.vertices, Store(graph.spark).cut(graph.edges, "edges").df)
+    write = Store.cut_in_buckets
+    monkeypatch.setattr(Store, "cut_in_buckets", lambda self, df, name, buckets, *by, placed: (
+        seen.append(df if placed else df.repartition(buckets, *by)), write(self, df, name, buckets, *by, placed=placed))[1])
+    graph.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    graph.spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        prepared = walk.prepare_walk(graph.vertices, graph.edges, Store(graph.spark))
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+        prepared.close()
+    finally:
+        graph.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        graph.spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # Two for the join with the (empty) table of busy sources, which this test keeps from being broadcast.
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count(", 23), ENSURE") == 2
+
+
+def test_graphs_of_queries_hold_written_sums(spark):
+    from workloads.queries import _graph
+
+    store = Store(spark)
+    links = spark.createDataFrame([(1, 2, 1.0), (1, 2, 2.0), (2, 1, 1.0)], EDGE_SCHEMA)
+    graph = _graph(store, links)
+    assert rows(graph.edges) == [(1, 2, 3.0), (2, 1, 1.0)]
+    assert "Aggregate" not in graph.edges._jdf.queryExecution().executedPlan().toString()

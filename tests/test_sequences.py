@@ -40,3 +40,19 @@ def test_equal_rows_and_empty_tables(spark):
     found = with_next(table, "k", ["place"], ["place"], Store(spark)).collect()
     assert sorted(r.next is None for r in found) == [False] * 4 + [True]
     assert with_next(table.limit(0), "k", ["place"], ["place"], Store(spark)).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_key", [1, 100, 10 ** 6])
+def test_busy_keys_fill_blocks_and_others_one_task(spark, rows_per_key):
+    rng = random.Random(6)
+    rows = [(rng.choice([7, 7, 7, 7, 1, 2, None]), rng.randrange(50), i) for i in range(900)]
+    table, store = spark.createDataFrame(rows, "k long, place int, v int"), Store(spark)
+    found = with_next(table, "k", ["place", "v"], ["v"], store, rows_per_key=rows_per_key)
+    assert found.columns == ["k", "place", "v", "next"]
+    assert sorted(((r.k, r.place, r.v, r.next and r.next.v) for r in found.collect()), key=repr) == expected(rows)
+    # Without busy keys nothing is laid out in blocks first: the rows move once.
+    names = {written.path.rsplit("-", 1)[1] for written in store.written_since(0)}
+    assert ("blocks" in names) == (rows_per_key < 10 ** 6)
+    if rows_per_key == 10 ** 6:
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
