@@ -12,7 +12,7 @@ from eddymap.functions.flow_math import plogp_value
 from eddymap.graph import EDGE_SCHEMA, VERTEX_SCHEMA
 from eddymap.operators import analysis, merge, pairs, walk
 from eddymap.operators.components import connected_components, label_edges
-from eddymap.operators.partition import codelength, contract
+from eddymap.operators.partition import HASHED_MODULES, codelength, contract, contract_edges
 from eddymap.operators.walk import sparse_matvec
 from eddymap.store import Store
 
@@ -357,3 +357,52 @@ def test_graphs_of_queries_hold_written_sums(spark):
     graph = _graph(store, links)
     assert rows(graph.edges) == [(1, 2, 3.0), (2, 1, 1.0)]
     assert "Aggregate" not in graph.edges._jdf.queryExecution().executedPlan().toString()
+
+
+def recorded(monkeypatch):
+    """Name, row count and executed plan of every table written from now on."""
+    seen, cut = [], Store.cut
+
+    def keep(self, df, name, *args, **metrics):
+        table = cut(self, df, name, *args, **metrics)
+        seen.append((name, table.rows, df._jdf.queryExecution().executedPlan().toString()))
+        return table
+    monkeypatch.setattr(Store, "cut", keep)
+    return seen
+
+
+def test_last_rounds_of_components_exchange_nothing(spark, monkeypatch):
+    """Rounds over few edges stay in single partitions; their labels are those of the other way."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(i, i + 1) for i in range(500, 700)]
+    links = Store(spark).cut(spark.createDataFrame(edges, "src bigint, dst bigint").repartition(3), "edges")
+    spread = connected_components(links.df, n_edges=links.rows, rows_in_one_task=0)
+    mixed = connected_components(links.df, n_edges=links.rows, rows_in_one_task=100)
+    seen = recorded(monkeypatch)
+    alone = connected_components(links.df, n_edges=links.rows)
+    expected = sorted(smallest_ids(edges).items())
+    assert rows(alone.df) == rows(mixed.df) == rows(spread.df) == expected
+    assert len(seen) > 6 and not [name for name, _, plan in seen if "Exchange" in plan]
+
+
+@pytest.mark.parametrize("direction", ["symmetric", "asymmetric"])
+def test_only_proposals_near_the_best_are_written(net, direction, monkeypatch):
+    """A source's proposals meet in one task, so those above its smallest are left out of the written table."""
+    graph = net("four-groups")
+    part = init_partition(graph, store=Store(graph.spark))
+    seen = recorded(monkeypatch)
+    merges = merge.choose_merges(part, direction, Store(graph.spark))
+    written = {name: n for name, n, _ in seen}
+    assert written["proposals"] == written["merges"] == merges.rows
+
+
+def test_many_modules_are_hashed_not_sorted(net):
+    graph = net("four-groups")
+    store = Store(graph.spark)
+    part = init_partition(graph, store=store)
+    moved = merge.module_map(merge.choose_merges(part, "symmetric", store).df, store).df
+    plain, hashed = contract_edges(part.links, moved), contract_edges(part.links, moved, HASHED_MODULES)
+    plan = hashed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan
+    key = lambda df: [(a, b, round(w, 12)) for a, b, w in rows(df)]
+    assert key(plain) == key(hashed)
