@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eddymap.llm import jaccard_join, mixing, pieces, pii, toxicity
 from eddymap.llm.common import cut, table
 from eddymap.llm.queries import PIECES_MODEL
+from eddymap.store import Store
 
 
 # Columns of the join stage; no table is expected to use these names.
@@ -32,9 +33,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     top = max(docs.agg(F.max("doc_id").alias("top")).first()["top"] or 0, 0)
     room = max((1 << 63) - 2 - top, 1)
     held = docs.withColumn(STAND_IN, F.coalesce("doc_id", F.lit(top) + F.pmod(F.xxhash64("text"), F.lit(room)) + 1))
-    judged = jaccard_join.link_components(held, id_col=STAND_IN, size=5, cover=80)
-    kept = cut(judged.filter(F.col(STAND_IN) == F.col("component_id")).select(F.col(STAND_IN).alias(KEPT_ID)).distinct(), "kept-ids")
-    return (held.join(kept, held[STAND_IN] == kept[KEPT_ID]).dropDuplicates([STAND_IN, "text"])
+    store = Store(spark)
+    judged = jaccard_join.link_components(held, id_col=STAND_IN, size=5, cover=80, store=store)
+    kept = store.cut(judged.filter(F.col(STAND_IN) == F.col("component_id")).select(F.col(STAND_IN).alias(KEPT_ID)).distinct(), "kept-ids")
+    store.drop_since(0, kept)
+    return (held.join(kept.df, F.col(STAND_IN) == F.col(KEPT_ID)).dropDuplicates([STAND_IN, "text"])
             .drop(KEPT_ID, STAND_IN))
 
 
@@ -42,7 +45,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in every text gives way to a mark."""
     found = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(
         pii.candidate_parts(F.col("text")).alias("found"))
-    redactor = pii.fit(cut(found.filter(F.exists("found", lambda f: F.size(f) > 0)), "pii-candidates"))
+    candidates = Store(spark).cut(found.filter(F.exists("found", lambda f: F.size(f) > 0)), "pii-candidates")
+    redactor = pii.fit(candidates.df)
+    candidates.drop()  # the fitted trees are an expression
     return pii.redact(docs, redactor).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import cut, word_count
+from eddymap.llm.common import word_count
+from eddymap.store import Store
 
 
 def water_fill(df: DataFrame, group: list[str], weight: str, cap: str, total: str, out: str) -> DataFrame:
@@ -61,17 +62,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     repeat are sampled on their own and tie, either being as good; an empty table gives no rows;
     other columns are ignored.
     """
-    return _mix(docs, id_col, text_col, source_col, **options).drop("u").withColumnRenamed("doc_id", id_col)
+    return _mix(Store(docs.sparkSession), docs, id_col, text_col, source_col, **options).drop("u").withColumnRenamed("doc_id", id_col)
 
 
-def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (5, 2, 1),
+def _mix(store: Store, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (5, 2, 1),
          max_copies: int = 3, short_words: int = 50, short_weight: float = 0.5, seed: int = 20,
          buckets: int = 8192, edge: int = 64) -> DataFrame:
-    narrow = cut(docs.select(
+    start = store.mark()
+    narrow = store.cut(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         uniform(seed, F.col(id_col), F.col(text_col)).alias("u"),
-    ).withColumn("short", F.col("size") < short_words), "mix-sizes")
+    ).withColumn("short", F.col("size") < short_words), "mix-sizes").df
 
     classes = narrow.groupBy("source", "short").agg(F.sum("size").alias("class_size"))
     sources = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
@@ -90,12 +92,12 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
                 (F.col("class_size") * max_copies).alias("cap"))
     )
     filled = water_fill(share.filter("class_size > 0"), ["source"], "weight", "cap", "target", "class_target")
-    expected = cut(
+    expected = store.cut(
         filled.withColumn("x", F.least(F.col("class_target") / F.col("class_size"), F.lit(float(max_copies))))
         .withColumn("whole", F.floor("x")).withColumn("p", F.col("x") - F.col("whole"))
         .withColumn("need", F.col("target") - F.sum(F.col("whole") * F.col("class_size")).over(Window.partitionBy("source")))
-        .select("source", "short", "whole", "p", "need"), "mix-classes")
-    of_source = cut(sources, "mix-sources")
+        .select("source", "short", "whole", "p", "need"), "mix-classes").df
+    of_source = store.cut(sources, "mix-sources").df
 
     def beside(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
         """A left join that treats null as a value and lets a hot source be split."""
@@ -119,13 +121,15 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
             "bucket", (F.col("upto") - F.col("words")).alias("words"), (F.col("seen") - F.col("docs")).alias("docs"))
         )).over(Window.partitionBy("source")))
     )
-    edges = cut(
+    edges = store.cut(
         sums.groupBy("source").agg(
             F.first("first.bucket").alias("edge_from"), F.first("first.words").alias("edge_words"),
             F.coalesce(F.min(F.when(F.col("seen") - F.col("first.docs") >= edge, F.col("bucket"))),
-                       F.max("bucket")).alias("edge_to")), "mix-edges")
+                       F.max("bucket")).alias("edge_to")), "mix-edges").df
     # Written, as below: each is read several times, and the plan would hold all that made it as often.
-    placed = cut(beside(ranked, edges, "source"), "mix-placed")
+    kept = store.cut(beside(ranked, edges, "source"), "mix-placed")
+    store.drop_since(start, kept)
+    placed = kept.df
     inside = F.coalesce(F.col("bucket").between(F.col("edge_from"), F.col("edge_to")), F.lit(False))
 
     # At the edge of a source, at least `edge` documents and whole buckets: a bounded number of rows.
@@ -133,7 +137,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     # most one that leaves less missing than before.
     whole = Window.partitionBy("source")
     in_order = whole.orderBy("rank", "size", "u", F.col("doc_id").asc_nulls_first())
-    at_edge = cut(
+    at_edge = store.cut(
         placed.filter(inside)
         .withColumn("gap", F.col("need") - F.col("edge_words"))
         .withColumn("upto", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -141,7 +145,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
         .withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("chosen"), F.col("upto"))).over(whole), F.lit(0)))
         .withColumn("place", F.row_number().over(whole.orderBy("chosen", "upto", "rank", "size", "u", F.col("doc_id").asc_nulls_first()))),
         "mix-at-edge",
-    )
+    ).df
     fits = lambda left, next_: next_["size"] <= left["gap"]
     last = F.array_min(F.transform(F.filter("queue", lambda q: ~F.array_contains("taken.places", q["place"])),
                                    lambda q: F.struct(F.abs(q["size"] - F.col("taken.gap")).alias("miss"), q["place"].alias("place"))))
@@ -178,16 +182,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that agree in id, text and source are interchangeable: together they appear as often as the
     mix takes them, with the other columns of one of them.
     """
-    given = cut(
-        _mix(docs, id_col, text_col, source_col, seed=seed, **options)
+    store = Store(docs.sparkSession)
+    given = store.cut(
+        _mix(store, docs, id_col, text_col, source_col, seed=seed, **options)
         .groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("u").alias("mix_u"))
         .agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).filter("mix_copies > 0"),
         "mix-given",
     )
+    store.drop_since(0, given)
     rows = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("row_id"),
         docs[source_col].alias("row_source"), uniform(seed, docs[id_col], docs[text_col]).alias("row_u"))
-    met = rows.join(given, (F.col("row_u") == F.col("mix_u")) & F.col("row_id").eqNullSafe(F.col("mix_id"))
+    met = rows.join(given.df, (F.col("row_u") == F.col("mix_u")) & F.col("row_id").eqNullSafe(F.col("mix_id"))
                     & F.col("row_source").eqNullSafe(F.col("mix_source")))
     single = met.filter("mix_rows = 1").select("row", "mix_copies")
     several = (

@@ -27,6 +27,7 @@ LENGTH, DECAY = 3, 0.9
 WIDTH = 24  # longer words are seen through overlapping windows of this many characters
 POWERS = (3,)  # a normalised kernel's powers are kernels; higher ones tell near words apart
 SHORTEST = 4  # landmarks have this many letters or more
+PAIRS = 8192  # the driver evaluates kernels for so many pairs of words at a time
 STEPS = 1000  # kernel values of training sentences are kept as whole thousandths
 _EDGE = re.compile(r"^\W+|\W+$")
 _INNER = re.compile(r"[\W\d_]+")
@@ -105,7 +106,7 @@ class Landmarks:
         self.common = CommonLengths(words)
         self.needed = [max(LENGTH, -(-len(w) * 6 // 10)) for w in words]
 
-    def values(self, words: list[str]) -> dict[int, dict[int, float]]:
+    def values(self, words: list[str], pairs_at_once: int | None = None) -> dict[int, dict[int, float]]:
         """For the words with anything in common: landmark number -> kernel value."""
         if not self.words or not words:
             return {}
@@ -117,7 +118,10 @@ class Landmarks:
             return {}
         once, of = np.unique(at, return_inverse=True)
         width = max(map(len, self.words))
-        value = kernel(rows[at], self.rows[mark, :width]) / np.sqrt(_own(rows[once])[of] * self.own[mark])
+        step = pairs_at_once or len(at)
+        value = np.concatenate([
+            kernel(rows[at[s:s + step]], self.rows[mark[s:s + step], :width]) for s in range(0, len(at), step)])
+        value /= np.sqrt(_own(rows[once])[of] * self.own[mark])
         found: dict[int, dict[int, float]] = {}
         for i in range(len(at)):
             found.setdefault(int(at[i]), {})[int(mark[i])] = float(value[i])
@@ -234,7 +238,7 @@ def _train(landmarks: list[str], labels: np.ndarray, bags: list[np.ndarray], tim
     clean = np.array([bag.max(0) if len(bag) else np.zeros(m) for label, bag in zip(labels, bags) if not label])
     usual = np.quantile(np.repeat(clean, times[labels == 0].astype(int), 0), 0.995, axis=0)
     forms_of = [(k, form) for k, word in enumerate(landmarks) for form in misspelt(word)]
-    near = marks.values([form for _, form in forms_of])
+    near = marks.values([form for _, form in forms_of], PAIRS)
     spoilt = [[found.get(k, 0.0) for k in range(m)] for i, found in near.items()
               if found.get(forms_of[i][0], 0.0) > usual[forms_of[i][0]] + 0.02]
     spoilt = np.array(spoilt + [np.eye(m)[0]])  # and the first landmark itself, so that there is one

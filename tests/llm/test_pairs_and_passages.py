@@ -1,6 +1,7 @@
 """Substring dedup and the Jaccard join against brute force."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 
 from eddymap.llm import jaccard_join, substring_dedup
 from eddymap.llm.hashing import Spans, mixed, shingle_hashes
+from eddymap.store import Store
 
 
 def test_span_hashes_do_not_depend_on_the_place():
@@ -94,3 +96,10 @@ def test_links_of_odd_and_empty_tables(odd_docs, empty_docs):
     found = sorted((r[0] or -1, r[1], r[2] or -1) for r in jaccard_join.link_components(odd_docs).collect())
     assert found == [(-1, 0, -1), (-1, 1, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 1, 4), (5, 1, 5), (6, 1, 6)]
     assert jaccard_join.link_components(empty_docs).collect() == []
+
+
+def test_the_joins_tables_go_when_they_have_been_read(spark, docs, prose):
+    store = Store(spark)
+    found = jaccard_join.link_components(docs(prose), store=store)
+    assert [name.split("-", 1)[1] for name in os.listdir(store.folder.removeprefix("file:"))] == ["join-components"]
+    assert found.count() == len(prose)

@@ -14,7 +14,7 @@ from eddymap.operators import analysis, merge, pairs, walk
 from eddymap.operators.components import connected_components, label_edges
 from eddymap.operators.partition import HASHED_MODULES, codelength, contract, contract_edges
 from eddymap.operators.walk import sparse_matvec
-from eddymap.store import Store
+from eddymap.store import FILE_CLEANUP, Store
 
 def smallest_ids(edges):
     """Brute force: repeat until no label falls."""
@@ -207,6 +207,19 @@ def test_superseded_tables_are_dropped(net):
     assert found.graph.vertices.count() == 25
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    store = Store(spark)
+    before = files()
+    table = store.cut(spark.range(1000).repartition(4).groupBy("id").count(), "moved")
+    bucketed = store.cut_in_buckets(spark.range(1000), "bucketed", 4, "id")
+    assert files() <= before
+    assert table.rows == 1000 and bucketed.df.count() == 1000
+    assert spark.conf.get(FILE_CLEANUP, None) is None
+
+
 def test_hubs_over_many_slots(net):
     graph = net("four-groups")
     plain, spread = (rows(pagerank(graph, rows_per_slot=n)) for n in (10 ** 6, 1))
