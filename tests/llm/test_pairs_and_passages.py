@@ -1,10 +1,13 @@
 """Substring dedup and the Jaccard join against brute force."""
 
+import cProfile
 import hashlib
 import os
+import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eddymap.llm import jaccard_join, substring_dedup
@@ -85,6 +88,43 @@ def test_small_sets_meet_through_subsets():
         assert len(jaccard_join.subset_keys(a, 85, 40)) == jaccard_join.subset_count(n, 85)
 
 
+def test_sets_of_a_batch_match_sets_of_words(prose):
+    odd = [None, "", " \t\n", "a", "A  b", "a\x0bb\x0cc\rd", "x" * 200 + " " + "x" * 200 + "y", "é Ü", "\x00", "\x00 \x00\x00", "a\xa0b c",
+           " lead", "trail ", "a b c d e " * 9, "eightful eightfully eightful"]
+    texts = odd + [t for _, t in prose]
+    found = jaccard_join.sets_of(pa.array(texts, pa.string()), 4)
+    known = {}
+    for text, elements in zip(texts, found):
+        assert len(elements) == len(shingles(text))
+        assert elements.tolist() == sorted(set(elements.tolist()))
+        assert elements.tolist() == jaccard_join.sets_of(pa.array([text], pa.string()), 4)[0].tolist()
+        assert known.setdefault(shingles(text), elements.tolist()) == elements.tolist()
+    assert len(set(map(tuple, known.values()))) == len(known)
+
+
+def test_the_work_on_a_text_does_not_call_python_for_each_word():
+    rng = random.Random(2)
+
+    def calls(n):
+        texts = pa.array([" ".join(rng.randbytes(4).hex() for _ in range(n)) for _ in range(20)])
+        profile = cProfile.Profile()
+        profile.runcall(jaccard_join.sets_of, texts, 4)
+        return sum(entry.callcount for entry in profile.getstats())
+    assert calls(2000) < 2 * calls(20) + 200
+
+
+def test_heads_are_the_rarest_elements():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 1, 3, 80, 300, 300)]
+    frequent = np.sort(rng.permutation(500)[:400].astype(np.uint64))
+    bounds = np.r_[0, np.cumsum([len(s) for s in sets])]
+    lengths = np.array([0, 1, 0, 12, len(sets[4]), 40])
+    for known in (frequent, frequent[:0]):
+        found = jaccard_join.prefixes_of(np.concatenate(sets), bounds, jaccard_join.Frequent(known), lengths)
+        want = [sorted(s.tolist(), key=lambda x: (x in known, x))[:n] for s, n in zip(sets, lengths)]
+        assert found.tolist() == [x for w in want for x in w]
+
+
 def test_overlaps_of_every_two_sets():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 30, 50, 50, 9)]
