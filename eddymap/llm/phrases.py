@@ -7,10 +7,12 @@ their first words; the size of such a partition is the count of the phrase.  A p
 ``least`` is abandoned with all it holds.  A range's first and last window may share words with its
 neighbours, so their phrases are always handed on, and partial counts are summed afterwards.
 
-A window ends where a pair of words is certainly rare: a table of ``2 ** sketch_bits`` counters, each the
-sum of all pairs that hash to it and so never too small, is added up over the corpus first, and one bit
-of each counter reaches the tasks.  It only shortens windows that could not count: no phrase of ``least``
-occurrences holds a rare pair.  Equal windows are summed before they are moved.
+A window ends where a word or a pair of words is certainly rare: ``2 ** sketch_bits`` counters, each the
+sum of all words and pairs that hash to it and so never too small, are added up over the corpus first.  Only
+counters that were hit are kept and moved, so their number may be far larger than the corpus; of those that
+reach ``least``, one bit each goes to the tasks.  It only shortens windows that could not count: no phrase of
+``least`` occurrences holds a rare word or pair.  The window of a rare word is that word, and only adds to its language's
+total; it is in no range.  Windows with equal 64-bit hashes are summed inside a task before they are moved.
 
 A null text is empty, a null language reads ``und``; ids are not read, repeated rows count each time,
 further columns are ignored, an empty table has no phrases.
@@ -18,156 +20,242 @@ further columns are ignored, an empty table has no phrases.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eddymap.llm.common import bounded_batches, cut, rows_of
-from eddymap.llm.hashing import WordHashes, mixed
+from eddymap.llm.common import bounded_batches, cut, parts_of
+from eddymap.llm.hashing import joined, mixed, places, powers, text_bounds, word_hashes
 
 #: Signs and line ends that end a piece; blank and tab part words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-_TABLE = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
-#: Stands between pieces; no UTF-8 text holds this byte.
-_END = b"\xff"
-SKETCH_BITS, BLOCK = 22, 1 << 16
-#: Different windows that a task holds before it hands them on, and windows of a range.
-HELD_WINDOWS, RANGE_WINDOWS = 250_000, 100_000
+#: For each byte: 0 in a word, 1 between words, 2 between pieces.
+_KINDS = bytes(2 if byte in PIECE_ENDS else byte in b" \t" for byte in range(256))
+SKETCH_BITS, BLOCKS = 32, 512
+#: Words and pairs that a task counts at a time, windows that it holds before it hands them on, and windows of a range.
+HELD_SLOTS, HELD_WINDOWS, RANGE_WINDOWS = 1 << 22, 1 << 21, 100_000
+#: Rows that are sorted at once.
+FEW_ROWS = 4096
+#: Bytes of texts that such windows lie in, and bytes of windows in a batch.
+HELD_BYTES, WINDOW_BYTES = 1 << 26, 1 << 22
+#: Bits that tell the tasks which counters reach the limit: this many times as many as those, within these powers of two.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 32, 10, 28
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words in lower case (A to Z alone), with an end mark behind each piece."""
-    return (text.encode().lower().translate(_TABLE).replace(b"\n", b" \xff ") + b" \xff").split()
-
-
-def _pair_slots(hashes: np.ndarray, langs: np.ndarray, bits: int) -> np.ndarray:
-    """The counter of each word and the next."""
-    return (mixed(hashes[:-1] * _ODD + hashes[1:] + langs[:-1]) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class _Reader:
-    """Batches of texts as one array of words."""
-
-    def __init__(self):
-        self.memo = WordHashes()
-
-    def words(self, texts: list[str | None], langs: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
-        """Words, their hashes, a number for each word's language, and how many words each text has."""
-        words: list[bytes] = []
-        sizes = []
-        for text in texts:
-            own = split_words(text) if text else []
-            sizes.append(len(own))
-            words += own
-        codes = np.array([self.memo[b"\xfe" + lang.encode()] for lang in langs], np.uint64)
-        return words, self.memo.of(words), np.repeat(codes, sizes), sizes
-
-
-def rare_pairs(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """One byte per counter: whether a pair of words that belongs to it may occur ``least`` times."""
-    end = WordHashes()[_END]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, total = _Reader(), np.zeros(1 << bits, np.uint32)
-        for _, (texts, langs) in rows_of(batches, 256):
-            _, hashes, codes, _ = reader.words(texts, langs)
-            inside = hashes != end
-            found, times = np.unique(_pair_slots(hashes, codes, bits)[inside[:-1] & inside[1:]], return_counts=True)
-            total[found] += times.astype(np.uint32)
-            # A counter that has reached the limit need not be exact, and cannot run over.
-            np.minimum(total, 1 << 31, out=total)
-        low = np.minimum(total, least).astype("<u4")
-        for block in range(0, 1 << bits, BLOCK):
-            part = low[block:block + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
-
+class _Words:
+    """The words of a batch of texts, in lower case (A to Z alone), and what their windows need."""
+
+    def __init__(self, texts: pa.Array, langs: pa.Array):
+        self.data = joined(texts)
+        kinds = self.data.translate(_KINDS)
+        self.start, self.stop = places(kinds)
+        self.inside = np.frombuffer(kinds, np.uint8) == 0
+        self.hashes = word_hashes(self.data, self.start, self.stop)
+        self.sizes = np.diff(text_bounds(texts, self.start))
+        # The texts are parted by line ends, so no piece reaches into the next text.
+        piece = np.cumsum(np.frombuffer(kinds, np.uint8) == 2, dtype=np.int32)[self.start]
+        self.follows = piece[1:] == piece[:-1]
+        names = langs.dictionary_encode()
+        self.langs = names.dictionary
+        self.lang = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), self.sizes)
+        name_hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
+        self.codes = name_hashes[self.lang] if len(name_hashes) else np.zeros(0, np.uint64)
+
+    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The counter of each word, and of each word and the next."""
+        top = np.uint64(64 - bits)
+        words = mixed(self.hashes + self.codes) >> top
+        pairs = mixed(self.hashes[:-1] * _ODD + self.hashes[1:] + self.codes[:-1]) >> top
+        return words.astype(np.uint32), pairs.astype(np.uint32)
+
+    def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of the windows of ``lengths`` words, one from each word on, bytes that hold the words with one blank between each, and where
+        the windows start and how long they are there."""
+        keys, at = self.codes.copy(), np.arange(len(lengths))
+        for k, power in enumerate(powers(int(lengths.max(initial=0)))):
+            longer = np.flatnonzero(lengths > k)
+            keys[longer] += self.hashes[longer + k] * power
+        keys = mixed(keys + lengths.astype(np.uint64) * _ODD)
+        kept = self.inside.copy()
+        kept[self.stop] = True
+        data = np.frombuffer(self.data, np.uint8).copy()
+        data[self.stop] = 32
+        ends = np.cumsum(self.stop - self.start + 1)
+        starts = ends - (self.stop - self.start) - 1
+        return keys, data[kept], starts, (ends[at + lengths - 1] - 1 - starts[at]).astype(np.int32)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit numbers, their lowest bytes first, so that small ones pack well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _added(slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots in order, and the sum of the counts of each."""
+    order = np.argsort(slots)
+    slots = slots[order]
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]][:len(slots)])
+    return slots[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else counts[:0].astype(np.int64)
+
+
+def often_counters(rows: DataFrame, least: int, bits: int, held: int = HELD_SLOTS) -> np.ndarray:
+    """Bits, as bytes, of the leading bits of all counters that reach ``least``; their number is a power of two."""
     if least >= 1 << 31:
         raise ValueError("least must be below 2 ** 31")
-    schema = "block long, counts binary"
-    # Summed in two steps, so that no task reads the counters of all others.
-    some = rows.mapInArrow(count, schema).repartition("block", F.spark_partition_id() % 16).mapInArrow(_added(least), schema)
-    often = np.zeros(1 << bits, bool)
-    for row in cut(some.repartition("block").mapInArrow(_added(least), schema), "often").toLocalIterator():
-        often[row["block"]:row["block"] + BLOCK] = np.frombuffer(row["counts"], "<u4") >= least
-    return often
+    if not 1 <= bits <= 32:
+        raise ValueError("sketch_bits must be 1 to 32")
+    below = max(bits - (BLOCKS - 1).bit_length(), 0)
 
-
-def _added(least: int):
-    """Sums blocks of counters, none beyond ``least``; a task holds each counter once."""
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for _, (blocks, counts) in rows_of(batches, 16):
-            for block, data in zip(blocks, counts):
-                part = np.frombuffer(data, "<u4")
-                sums[block] = np.minimum(sums[block] + part, least).astype("<u4") if block in sums else part
-        for block, part in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "counts": pa.array([part.tobytes()], pa.binary())})
-    return add
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            found = np.concatenate(slots) if slots else np.zeros(0, np.uint32)
+            slots.clear()
+            found.sort()
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][:len(found)])
+            counts = np.minimum(np.diff(np.r_[first, len(found)]), least)
+            found = found[first]
+            cuts = np.flatnonzero(np.diff(found >> np.uint32(below), prepend=-1))
+            parts = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]))
+            # Within a block the slots are written as their steps.
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(found[a]) >> below for a, _ in parts], pa.int64()),
+                pa.array([_packed(np.diff(found[a:b], prepend=np.uint32(0))) for a, b in parts], pa.binary()),
+                pa.array([_packed(counts[a:b]) for a, b in parts], pa.binary())], names=["block", "slots", "counts"])
+
+        for part in parts_of(batches, 0):
+            words = _Words(part.column(0), part.column(1))
+            one, two = words.slots(bits)
+            slots += [one, two[words.follows]]
+            if sum(map(len, slots)) > held:
+                yield summed()
+        yield summed()
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for block, slots, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                # No sum needs to be larger than the limit.
+                own = blocks.setdefault(block, [])
+                own.append((np.cumsum(_unpacked(slots), dtype=np.uint32), _unpacked(counts)))
+                if len(own) > 64:
+                    slots_, sums = _added(*map(np.concatenate, zip(*own)))
+                    own[:] = [(slots_, np.minimum(sums, least).astype(np.uint32))]
+        for block, own in blocks.items():
+            slots_, sums = _added(*map(np.concatenate, zip(*own)))
+            slots_ = slots_[sums >= least]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(slots_)], pa.int64()), "slots": pa.array([slots_.astype("<u4").tobytes()], pa.binary())})
+
+    counted = rows.mapInArrow(count, "block long, slots binary, counts binary").repartition("block")
+    found = cut(counted.mapInArrow(reach, "n long, slots binary"), "often")
+    n = found.agg(F.sum("n")).first()[0] or 0
+    kept = min(max((n * SPARE_BITS).bit_length(), LEAST_BITS), MOST_BITS, max(bits, 3))
+    often = np.zeros(1 << kept - 3, np.uint8)
+    for row in found.select("slots").toLocalIterator():
+        at = np.frombuffer(row["slots"], "<u4") >> np.uint32(bits - kept) if bits > kept else np.frombuffer(row["slots"], "<u4")
+        np.bitwise_or.at(often, at >> np.uint32(3), np.uint8(1) << (at & np.uint32(7)).astype(np.uint8))
+    return often
 
 
 def windows_of(rows: DataFrame, often: np.ndarray, longest: int, bits: int, held: int = HELD_WINDOWS) -> DataFrame:
-    """``lang, window, n``: the words from every word on, up to ``longest`` or to a rare pair; partial sums."""
-    end = WordHashes()[_END]
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(often))
+    """``lang, window, often, n``: the words from every word on, up to ``longest`` or to a rare word or pair; partial sums.
+
+    ``often`` tells whether the first word may occur ``least`` times.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(often)
+    kept_bits = (8 * len(often)).bit_length() - 1
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts = _Reader(), {}
-        bitmap = np.unpackbits(shared.value).astype(bool)
+        often, shift = shared.value, np.uint32(max(bits - kept_bits, 0))
+        waiting: list[tuple[np.ndarray, ...]] = []  # keys, bytes, starts, sizes, languages, whether often
+        langs: dict[str, int] = {}
+
+        def is_often(slots: np.ndarray) -> np.ndarray:
+            at = slots >> shift
+            return (often[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1 == 1
 
         def rows_held() -> Iterator[pa.RecordBatch]:
-            for lang, own in counts.items():
-                names, n = list(own), list(own.values())
-                for s in range(0, len(names), 50_000):
-                    some = names[s:s + 50_000]
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(some), pa.string()), "window": pa.array(some, pa.binary()).cast(pa.string()),
-                        "n": pa.array(n[s:s + 50_000], pa.int64())})
-            counts.clear()
-
-        for _, (texts, langs) in rows_of(batches, 256):
-            words, hashes, codes, sizes = reader.words(texts, langs)
-            inside = hashes != end
-            pairs = np.zeros(len(words) + longest, bool)
-            if len(words) > 1:
-                pairs[:len(words) - 1] = bitmap[_pair_slots(hashes, codes, bits)] & inside[:-1] & inside[1:]
-            lengths, going = inside.astype(np.int64), inside.copy()
+            if waiting:
+                moved = np.cumsum([0] + [len(data) for _, data, *_ in waiting])
+                keys = np.concatenate([keys for keys, *_ in waiting])
+                order = np.argsort(keys)
+                keys = keys[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                n, one = np.diff(np.r_[first, len(keys)]), order[first]
+                data = np.concatenate([data for _, data, *_ in waiting])
+                start = np.concatenate([start + by for (_, _, start, *_), by in zip(waiting, moved)])[one]
+                size, lang, first_often = (np.concatenate([held_[i] for held_ in waiting])[one] for i in (3, 4, 5))
+                names = pa.array(list(langs), pa.string())
+                waiting.clear()
+                a, total = 0, np.cumsum(size)
+                while a < len(one):
+                    b = min(max(int(np.searchsorted(total, total[a] + WINDOW_BYTES)), a + 1), a + 50_000, len(one))
+                    sizes = size[a:b]
+                    ends = np.cumsum(sizes)
+                    text = data[np.arange(ends[-1]) + np.repeat(start[a:b] - ends + sizes, sizes)]
+                    offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(lang[a:b])), pa.StringArray.from_buffers(b - a, offsets, pa.py_buffer(text)),
+                         pa.array(first_often[a:b]), pa.array(n[a:b], pa.int64())], names=["lang", "window", "often", "n"])
+                    a = b
+            langs.clear()
+
+        for part in parts_of(batches, 0):
+            words = _Words(part.column(0), part.column(1))
+            one, two = words.slots(bits)
+            going = is_often(one)
+            pairs = np.zeros(len(one) + longest, bool)
+            pairs[:len(two)] = is_often(two) & words.follows & going[1:]
+            first = going.copy()
+            lengths = np.ones(len(one), np.int64)
             for k in range(longest - 1):
-                going &= pairs[k:k + len(words)]
+                going &= pairs[k:k + len(one)]
                 lengths += going
-            start = 0
-            for lang, size in zip(langs, sizes):
-                own, length = words[start:start + size], lengths[start:start + size]
-                kept = counts.setdefault(lang, Counter())
-                kept.update(compress(own, (length == 1).tolist()))
-                places = np.flatnonzero(length > 1)
-                kept.update([b" ".join(own[i:i + k]) for i, k in zip(places.tolist(), length[places].tolist())])
-                start += size
-            if sum(map(len, counts.values())) > held:
+            if len(one):
+                numbers = np.array([langs.setdefault(name, len(langs)) for name in words.langs.to_pylist()], np.int32)
+                waiting.append((*words.windows(lengths), numbers[words.lang], first))
+            if sum(len(keys) for keys, *_ in waiting) > held or sum(len(data) for _, data, *_ in waiting) > HELD_BYTES:
                 yield from rows_held()
         yield from rows_held()
 
-    return rows.mapInArrow(take, "lang string, window string, n long")
+    return rows.mapInArrow(take, "lang string, window string, often boolean, n long")
 
 
-def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """``(row, depth, weight)`` of every set of rows equal in their first ``depth`` keys, weighing ``least`` or more.
+def _sorted_partitions(codes: np.ndarray, weights: np.ndarray, least: int, rows: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The sets that :func:`_partitions` finds among a few ``rows`` equal in their first ``depth`` keys, by sorting these."""
+    own = codes[rows, depth:]
+    order = np.lexsort(own.T[::-1])
+    rows, own = rows[order], own[order]
+    weight = weights[rows]
+    changes = np.logical_or.accumulate(own[1:] != own[:-1], axis=1)
+    for k in range(own.shape[1]):
+        first = np.flatnonzero(np.r_[True, changes[:, k]])
+        sums = np.add.reduceat(weight, first)
+        kept = (sums >= least) & (own[first, k] >= 0)
+        yield rows[first[kept]], np.full(int(kept.sum()), depth + k + 1), sums[kept]
 
-    Multikey three-way quicksort of row pointers: a set is parted by one key into smaller, equal and
-    greater rows; the equal ones go on with the next key.  ``-1`` stands behind a row's last key.  Sets
-    that weigh less are abandoned unsorted.
-    """
+
+def _partitions(codes: np.ndarray, weights: np.ndarray, least: int, few: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows, depths and weights of the sets that :func:`equal_partitions` describes."""
     stack = [(np.arange(len(weights)), 0)]
     while stack:
         rows, depth = stack.pop()
         if not len(rows) or int(weights[rows].sum()) < least:
             continue
+        if len(rows) <= few:
+            yield from _sorted_partitions(codes, weights, least, rows, depth)
+            continue
         keys = codes[rows, depth]
         sample = np.sort(keys[::max(len(keys) // 33, 1)])
         pivot = sample[len(sample) // 2]
@@ -177,11 +265,22 @@ def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: int) -> Iter
             continue
         weight = int(weights[equal].sum())
         if weight >= least:
-            yield int(equal[0]), depth + 1, weight
+            yield equal[:1], np.array([depth + 1]), np.array([weight])
             if depth + 1 < codes.shape[1]:
                 stack.append((equal, depth + 1))
 
 
+def equal_partitions(codes: np.ndarray, weights: np.ndarray, least: int, few: int = FEW_ROWS) -> Iterator[tuple[int, int, int]]:
+    """``(row, depth, weight)`` of every set of rows equal in their first ``depth`` keys, weighing ``least`` or more.
+
+    Multikey three-way quicksort of row pointers: a set is parted by one key into smaller, equal and
+    greater rows; the equal ones go on with the next key.  ``-1`` stands behind a row's last key.  Sets
+    that weigh less are abandoned unsorted; those of at most ``few`` rows are sorted by all their keys at once.
+    """
+    for found in _partitions(codes, weights, least, few):
+        yield from zip(*(x.tolist() for x in found))
+
+
 def _outermost(codes: np.ndarray, last: bool) -> int:
     """The first row in the order of the keys, or the last."""
     rows = np.arange(len(codes))
@@ -191,27 +290,39 @@ def _outermost(codes: np.ndarray, last: bool) -> int:
     return int(rows[0])
 
 
-def count_range(langs: list[str], windows: list[str], n: np.ndarray, longest: int, least: int) -> list[tuple[str, str, int, int]]:
-    """``(lang, phrase, n_words, count)`` of one range, which holds whole equal partitions but for its two ends."""
-    names = [[lang, *window.split(" ")] for lang, window in zip(langs, windows)]
-    numbers = {name: i for i, name in enumerate(sorted({x for row in names for x in row}, key=str.encode))}
-    codes = np.full((len(names), longest + 1), -1, np.int64)
-    for i, row in enumerate(names):
-        codes[i, :len(row)] = [numbers[x] for x in row]
-    out, ends = [], set()
-    for row in (_outermost(codes, False), _outermost(codes, True)):
-        same = np.ones(len(names), bool)
-        for depth in range(1, len(names[row]) + 1):
-            same &= codes[:, depth - 1] == codes[row, depth - 1]
-            key = tuple(names[row][:depth])
-            if depth > 1 and key not in ends:
-                ends.add(key)
-                out.append((key[0], " ".join(key[1:]), depth - 1, int(n[same].sum())))
-    for row, depth, weight in equal_partitions(codes, n, least):
-        key = tuple(names[row][:depth])
-        if depth > 1 and key not in ends:
-            out.append((key[0], " ".join(key[1:]), depth - 1, weight))
-    return out
+def _ranks(names: pa.Array) -> np.ndarray:
+    """A number for each name, in the order of their bytes."""
+    named = names.dictionary_encode()
+    rank = np.empty(len(named.dictionary), np.int64)
+    rank[pc.sort_indices(named.dictionary.cast(pa.large_binary())).to_numpy()] = np.arange(len(rank))
+    return rank[named.indices.to_numpy()]
+
+
+def count_range(langs: pa.Array, windows: pa.Array, n: np.ndarray, longest: int, least: int) -> pa.RecordBatch:
+    """``lang, phrase, n_words, part`` of one range, which holds whole equal partitions but for its two ends."""
+    split = pc.split_pattern(windows, " ")
+    sizes = pc.list_value_length(split).to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    codes = np.full((len(sizes), longest + 1), -1, np.int64)
+    codes[:, 0] = _ranks(langs)
+    codes[row, 1 + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = _ranks(split.flatten())
+    rows, depths, weights = (np.concatenate(x) for x in zip(
+        *_partitions(codes, n, least, FEW_ROWS), (np.zeros(0, np.int64),) * 3))
+    for end in {_outermost(codes, False), _outermost(codes, True)}:
+        same = np.ones(len(codes), bool)
+        for depth in range(1, 2 + int(sizes[end])):
+            same &= codes[:, depth - 1] == codes[end, depth - 1]
+            again = (depths == depth) & same[rows]
+            rows, depths, weights = (np.r_[x[~again], y] for x, y in zip((rows, depths, weights), (end, depth, int(n[same].sum()))))
+    parts = []
+    for depth in range(2, longest + 2):
+        at = np.flatnonzero(depths == depth)
+        taken = pa.array(rows[at])
+        words = pc.list_slice(split.take(taken), 0, depth - 1)
+        parts.append(pa.RecordBatch.from_arrays(
+            [langs.take(taken), pc.binary_join(words, " "), pa.array(np.full(len(at), depth - 1)), pa.array(weights[at].astype(np.int64))],
+            names=["lang", "phrase", "n_words", "part"]))
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def phrase_counts(windows: DataFrame, longest: int, least: int, range_windows: int = RANGE_WINDOWS) -> DataFrame:
@@ -223,11 +334,7 @@ def phrase_counts(windows: DataFrame, longest: int, least: int, range_windows: i
         if not sum(batch.num_rows for batch in held):
             return
         table = pa.Table.from_batches(held)
-        found = count_range(*(table.column(c).to_pylist() for c in ("lang", "window")),
-                            table.column("n").to_numpy(), longest, least)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v, t) for v, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64(), pa.int64()))],
-            names=["lang", "phrase", "n_words", "part"])
+        yield count_range(*(table.column(c).combine_chunks() for c in ("lang", "window")), table.column("n").to_numpy(), longest, least)
 
     n = max(-(-windows.count() // range_windows), 1)
     parts = windows.repartitionByRange(n, "lang", F.split("window", " ")).mapInArrow(sort, schema)
@@ -254,10 +361,10 @@ def collocations(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    often = rare_pairs(rows, least, sketch_bits)
+    often = often_counters(rows, least, sketch_bits)
     parts = windows_of(rows, often, longest, sketch_bits, held)
-    windows = cut(parts.groupBy("lang", "window").agg(F.sum("n").alias("n")), "windows")
-    counts = cut(phrase_counts(windows, longest, least, range_windows), "phrase-counts")
+    windows = cut(parts.groupBy("lang", "window", "often").agg(F.sum("n").alias("n")), "windows")
+    counts = cut(phrase_counts(windows.filter("often"), longest, least, range_windows), "phrase-counts")
     sizes = windows.groupBy("lang").agg(F.sum("n").alias("n"))  # one row per language
 
     words = F.split("phrase", " ")

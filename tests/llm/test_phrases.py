@@ -1,10 +1,12 @@
 """Phrases against counting every run of words in plain Python."""
 
+import cProfile
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eddymap.llm import phrases
@@ -76,6 +78,53 @@ def test_equal_partitions_of_a_quicksort():
         assert found == {k: w for k, w in want.items() if w >= least}
 
 
+@pytest.mark.parametrize("few", [0, 7, 60, 1000])
+def test_few_rows_are_sorted_at_once(few):
+    rng = np.random.default_rng(few)
+    codes = rng.integers(0, 3, (400, 3))
+    codes[rng.random(400) < 0.3, 1:] = -1
+    weights = rng.integers(1, 9, 400)
+    for least in (1, 30):
+        found = sorted((tuple(codes[i, :d].tolist()), w) for i, d, w in phrases.equal_partitions(codes, weights, least, few))
+        want = Counter()
+        for row, weight in zip(codes.tolist(), weights.tolist()):
+            for depth in range(1, 4):
+                if -1 not in row[:depth]:
+                    want[tuple(row[:depth])] += weight
+        assert found == sorted((k, w) for k, w in want.items() if w >= least)
+
+
+def texts_of_distinct_words(n, seed=2):
+    rng = random.Random(seed)
+    return [" ".join(rng.randbytes(4).hex() for _ in range(n)) for _ in range(20)]
+
+
+def test_the_work_on_a_text_does_not_call_python_for_each_word():
+    def calls(n):
+        texts = pa.array(texts_of_distinct_words(n))
+        profile = cProfile.Profile()
+        profile.runcall(lambda: phrases._Words(texts, pa.array(["en"] * 20)).slots(32))
+        return sum(entry.callcount for entry in profile.getstats())
+    assert calls(2000) < 2 * calls(20) + 200
+
+
+def test_rare_words_and_pairs_reach_no_range_however_many_there_are(spark):
+    """With 2 ** 17 counters, 200,000 words and their pairs, no counter was certainly rare; the corpus has one frequent pair."""
+    rows = [(text, "en") for text in texts_of_distinct_words(10_000)] + [("new york", "en")] * 40 + [(None, "en"), ("x", "de")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    often = phrases.often_counters(docs, 40, phrases.SKETCH_BITS)
+    found = phrases.windows_of(docs, often, 5, phrases.SKETCH_BITS).groupBy("lang", "window", "often").agg(phrases.F.sum("n").alias("n")).collect()
+    assert {lang: sum(r["n"] for r in found if r["lang"] == lang) for lang in ("en", "de")} == {"en": 200_080, "de": 1}
+    windows = {(r["lang"], r["window"]): r["n"] for r in found if r["often"]}
+    assert {("en", "new york"): 40, ("en", "york"): 40}.items() <= windows.items() and len(windows) < 10_000
+
+
+def test_many_parts_of_a_counter_are_added(spark):
+    docs = spark.createDataFrame([("a b", "en")] * 300, "text string, lang string").repartition(150)
+    found = [phrases.often_counters(docs, least, 32, held=1).any() for least in (300, 301)]
+    assert found == [True, False]
+
+
 def test_products_beyond_64_bits(spark):
     over, under = phrases._exact(phrases.F.lit(1000).cast("decimal(4,0)"), "a", "n"), phrases._exact("l", "r")
     row = spark.createDataFrame([(10**14, 10**18, 10**15, 10**12)], "a long, n long, l long, r long")
